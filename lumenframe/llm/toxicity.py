@@ -182,7 +182,7 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     (id, cosine) of the nearest examples.
 
     Null and empty texts, and texts without a known term, get the smoothed rate of label 1 among examples
-    without one; without any labels that is 0.5, a tie that counts as label 1 nowhere: the score is then 0. Repeated
+    without one, which is 0 without any examples. Repeated
     rows get equal scores; a repeated id among the examples' texts counts with each text.
     """
     spark = df.sparkSession
@@ -206,7 +206,7 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     if 0 < pos < n and len(known):
         fits = telling(known["df"].to_numpy(), known["a"].to_numpy(), n, pos)
         chosen_terms = known["t"].filter(pa.array(fits)).to_pylist()
-    vocabulary = Vocabulary({t: i for i, t in enumerate(sorted(chosen_terms))}, 0.0, (pos + 0.5) / (n + 1))
+    vocabulary = Vocabulary({t: i for i, t in enumerate(sorted(chosen_terms))}, 0.0, (pos + 0.5) / (n + 1) if n else 0.0)
     number = spark.sparkContext.broadcast(vocabulary.number)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
