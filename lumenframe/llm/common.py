@@ -72,6 +72,26 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
+def only_listed(df: DataFrame, key: str, listed: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """``df`` without most rows whose ``key`` isn't in ``listed`` (key): what is left is a superset of the semi-join.
+
+    A bitmap of hashed keys, eight bits or more a key but ``most_bits`` (16 MB) at most, is broadcast as one row;
+    with more keys it lets more other rows through, and the join that follows drops them.
+    """
+    spark = df.sparkSession
+    bits = 1 << 16
+    while bits < min(8 * listed.count(), most_bits):
+        bits *= 2
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    one = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({c} as long)), {bits}) % 64 as int))")
+    words = listed.groupBy(F.floor(slot(key) / 64).alias("i")).agg(F.bit_or(one(key)).alias("w")).toArrow()  # bits / 64 rows at most
+    dense = np.zeros(bits // 64, np.int64)
+    dense[words["i"].to_numpy()] = words["w"].to_numpy()
+    row = spark.createDataFrame(pa.table({"_bits": ragged(dense, np.array([len(dense)]))}))
+    kept = df.join(F.broadcast(row)).where(F.get("_bits", F.floor(slot(key) / 64).cast("int")).bitwiseAND(one(key)) != 0)
+    return kept.drop("_bits")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (multiply and xor-shift rounds)."""
     x = x.astype(np.uint64, copy=True)

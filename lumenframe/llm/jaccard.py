@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import components, map_arrow, mix64, ragged, stage, texts_of
+from lumenframe.llm.common import components, map_arrow, mix64, only_listed, ragged, stage, texts_of
 
 #: Words of an n-gram and the least similarity of a link.
 NGRAM, SIMILARITY = 5, 0.8
@@ -196,7 +196,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     members = stage(candidates.join(sets.select(F.col("set_id").alias("node"), "n_copies"), "node"), "join-members")
     blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = read.join(dealt, F.col("id") == F.col("node"), "inner").groupBy("id", "root", "blocks", "block", "n_copies").agg(F.first("t").alias("t"))
+    near = only_listed(read, "id", members.select(F.col("node").alias("id")))  # few texts have candidates; the others aren't shuffled
+    texts = near.join(dealt.hint("merge"), F.col("id") == F.col("node"), "inner").groupBy("id", "root", "blocks", "block", "n_copies").agg(F.first("t").alias("t"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = texts.select("id", "t", "root", F.col("n_copies").alias("copies"), "block", others)
     pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "copies", "t")
