@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.names import chunk_id
@@ -69,6 +69,16 @@ def jitter(chunks: DataFrame, events: DataFrame, durations: DataFrame, amount: f
     return out.dropDuplicates(["chunk_id"]) if distinct else out
 
 
+def from_durations(clips: DataFrame) -> DataFrame:
+    """Intervals of clips put one after the other: video, class, start_sec (rounded down), end_sec (rounded up).
+
+    ``clips`` has video, pos (order in the video), class (null: filler without an annotation) and duration.
+    """
+    w = Window.partitionBy("video").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    placed = clips.withColumn("_end", F.sum("duration").over(w))
+    return placed.where(F.col("class").isNotNull()).select("video", "class", F.floor(F.col("_end") - F.col("duration")).cast("double").alias("start_sec"), F.ceil("_end").cast("double").alias("end_sec"))
+
+
 def explode_labels(chunks: DataFrame) -> DataFrame:
     """One row for each chunk and label, keyed ``chunk#class``."""
     return chunks.withColumn("label", F.explode("labels")).select(F.concat_ws("#", "chunk_id", "label").alias("key"), "chunk_id", "label")

@@ -88,6 +88,22 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("item", F.round(vectors.dot(F.col("u"), F.col("u")), 6).alias("squared"), F.round(F.element_at("u", 1), 6).alias("first"))
 
 
+@query(
+    select(
+        "SELECT p.item, CAST(row_number() OVER (ORDER BY p.item) - 1 AS BIGINT) AS idx, p.label, p.pred, CAST(p.label = p.pred AS INTEGER) AS correct, "
+        + ", ".join(f"round(s.s{c}, 6) AS s{c}" for c in range(10))
+        + " FROM pred p JOIN (SELECT item, "
+        + ", ".join(f"max(score) FILTER (class = {c}) AS s{c}" for c in range(10))
+        + " FROM scores GROUP BY item) s USING (item) WHERE p.split = 'val'"
+    )
+)
+def sim_scores(spark: SparkSession, sf: str) -> DataFrame:
+    wide = I.scores_long(spark, sf).where("split = 'val'").groupBy("item").pivot("class", list(range(10))).agg(F.round(F.first("score"), 6))
+    pred = I.predictions(spark, sf).where("split = 'val'").select("item", "label", "pred", (F.col("label") == F.col("pred")).cast("int").alias("correct"))
+    named = wide.select("item", *(F.col(str(c)).alias(f"s{c}") for c in range(10)))
+    return sampling.numbered(pred, "item").join(named, "item")
+
+
 # Retrieval
 
 
@@ -243,6 +259,16 @@ def multilabel_explode(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.explode_labels(_chunks(spark, sf))
 
 
+@query(
+    "SELECT video, class, floor(e - d) AS start_sec, ceil(e) AS end_sec FROM (SELECT user_id AS video, event_type AS class, d, sum(d) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS e"
+    f" FROM (SELECT *, floor(value) / 4 + 1 AS d FROM events)) WHERE class <> '{NEGATIVE}'"
+)
+def lesson_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    e = I.table(spark, sf, "events")
+    cls = F.when(F.col("event_type") != NEGATIVE, F.col("event_type"))
+    return intervals.from_durations(e.select(F.col("user_id").alias("video"), F.col("event_id").alias("pos"), cls.alias("class"), (F.floor("value") / 4 + 1).alias("duration")))
+
+
 # Trajectories
 
 
