@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ BLOCKS = frozenset(
 #: Elements without content, and elements whose content is no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "math", "title")
+#: Of these, the ones that hold all the rest of a page if they aren't closed.
+RAW = frozenset("script style textarea title".split())
 #: Elements that are never part of an article, and words in class, id and role that say the same.
 BOILER_TAGS = frozenset("nav footer aside form button select menu dialog head".split())
 BOILER_WORDS = frozenset(
@@ -41,7 +44,9 @@ LONG, MEDIUM = 140, 60
 STOP_HIGH, STOP_LOW = 0.2, 0.08
 LINKED = 0.4
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
+#: A comment, a declaration or a tag. Attributes may hold quoted ">"; a tag with more than 256 stretches of quotes, or
+#: with an unclosed quote, ends at its first ">". No alternative looks far ahead twice, so pages take linear time.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^<>]*>|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,256}+)>|(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _HEADING = re.compile(r"h[1-6]")
@@ -77,9 +82,11 @@ def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order. Broken markup is read as browsers do: what isn't a tag is text."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, boiler, main
+    opened: Counter = Counter()
+    unclosed: set[str] = set()
     parts: list[tuple[str, bool]] = []
     heading = False
-    links = 0
+    links = at = 0
 
     def end_block() -> None:
         nonlocal heading
@@ -90,13 +97,7 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         heading = False
 
-    at, skip = 0, ""
-    for m in _TAG.finditer(page):
-        if skip:
-            if (m[2] or m[5] or "").lower() != skip or not (m[1] or m[4]):
-                continue
-            skip, at = "", m.end()
-            continue
+    while (m := _TAG.search(page, at)) is not None:
         if m.start() > at:
             parts.append((html.unescape(page[at : m.start()]), links > 0))
         at = m.end()
@@ -105,43 +106,47 @@ def blocks_of(page: str) -> list[Block]:
             continue
         closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in NO_TEXT:
-            if not closing and not attrs.endswith("/"):
-                close = re.compile(rf"</{tag}\b", re.I).search(page, at)
-                if close is None:
-                    at = len(page) if tag in ("script", "style", "textarea", "title") else at
-                    if at == len(page):
-                        break
+            if not closing and not attrs.endswith("/") and tag not in unclosed:
+                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                if close is not None:
+                    at = close.end()
+                elif tag in RAW:
+                    at = len(page)
                 else:
-                    skip = tag
+                    unclosed.add(tag)
             continue
         if tag == "a":
             links = max(0, links - 1) if closing else links + 1
             continue
-        if tag in ("br", "td", "th", "wbr"):
-            parts.append(("" if tag == "wbr" else " ", links > 0))
-            if tag in VOID:
-                continue
+        if tag in ("br", "td", "th"):
+            parts.append((" ", links > 0))
         if tag in BLOCKS:
             end_block()
-            links = 0 if not closing else links
+            links = links if closing else 0
         if tag in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            if opened[tag] and tag not in BLOCKS:
+                end_block()  # the end of an inline advert or the like
+            while opened[tag] and stack:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
         if stack and tag in BLOCKS and stack[-1][0] == "p":
+            opened["p"] -= 1
             stack.pop()
         boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         boiler = boiler or _is_boiler(tag, attrs, main)
-        if tag in BLOCKS or boiler and not (stack and stack[-1][1]):
+        if tag in BLOCKS or opened[tag] or boiler and not (stack and stack[-1][1]):
+            if boiler and tag not in BLOCKS:
+                end_block()
             stack.append((tag, boiler, not boiler and (main or tag in ("article", "main"))))
+            opened[tag] += 1
         heading = heading or _HEADING.fullmatch(tag) is not None
-    else:
-        if not skip and at < len(page):
-            parts.append((html.unescape(page[at:]), links > 0))
+    if at < len(page):
+        parts.append((html.unescape(page[at:]), links > 0))
     end_block()
     return out
 

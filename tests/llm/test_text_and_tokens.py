@@ -278,3 +278,17 @@ def test_bands_reach_the_recall():
 
 def test_join_query_equals_sql(spark):
     assert collected(queries.op10_ngram_join(spark, SF)) == oracle(SF, queries.oracle_sql()["op10_ngram_join"])
+
+
+@pytest.mark.parametrize("page", ["<div class='" * 20_000, '<a href="' * 20_000 + "x", "<" * 100_000, "<div>" * 20_000 + "x", "<svg>a" * 20_000, "<a<b" * 30_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_scripts_and_inline_adverts():
+    page = '<article><p>before <script>if (a<b && c == "x") { d = "</p>" }</script>after <span class="ad">buy <span>this</span> now</span></p><p>end</p></article>'
+    assert htmltext.main_text(page) == "before after\nend"
