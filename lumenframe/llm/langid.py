@@ -18,7 +18,7 @@ from lumenframe.llm.common import bucket_of, map_arrow, texts_of
 FEATURES = 4096
 #: At most so many labelled documents train the model, dealt evenly over the languages. A model fit needs no more;
 #: which documents these are depends only on a hash of their id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 #: Text is turned into features in pieces of so many code points; pieces overlap, so none is left out.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -147,14 +147,14 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     for names, labels, svms in [(list(model.families), fam, model.between), *((v, of, model.within) for v in model.families.values())]:
         for a, b in itertools.combinations(names, 2):
             rows = np.flatnonzero((labels == a) | (labels == b))
-            svms[a, b] = linear_svm(x[rows].astype(np.float64), np.where(labels[rows] == a, 1.0, -1.0))
+            svms[a, b] = linear_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0))
     return model
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [(i, lang, x) for i, lang, x in zip(b["h"].to_pylist(), b["lang"].to_pylist(), map(features, texts_of(b["text"])), strict=True) if x is not None]
-        yield pa.RecordBatch.from_pydict({"h": pa.array([x[0] for x in found], pa.int64()), "lang": pa.array([x[1] for x in found], pa.string()), "x": pa.array([x[2].tobytes() for x in found], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"h": pa.array([x[0] for x in found], pa.int64()), "lang": pa.array([x[1] for x in found], pa.string()), "x": pa.array([x[2].astype(np.float16).tobytes() for x in found], pa.binary())})
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
@@ -167,13 +167,16 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.1 * each / n))) for k, n in counts.items()))
     place = (F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))).cast("double")
     chosen = labelled.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    found = map_arrow(chosen, _featurize, "h long, lang string, x binary").collect()
-    by: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["h"] & (1 << 64) - 1)):
-        if len(by.setdefault(r["lang"], [])) < each:
-            by[r["lang"]].append(np.frombuffer(r["x"], np.float32))
-    langs = [k for k, v in by.items() for _ in v]
-    return fit(np.array([x for v in by.values() for x in v], np.float32), langs) if langs else Model({})
+    found = map_arrow(chosen, _featurize, "h long, lang string, x binary").toArrow()
+    seen: dict[str, int] = {}
+    langs, xs = [], []
+    for i in sorted(range(len(found)), key=lambda i: (found["lang"][i].as_py(), found["h"][i].as_py() & (1 << 64) - 1)):
+        lang = found["lang"][i].as_py()
+        seen[lang] = seen.get(lang, 0) + 1
+        if seen[lang] <= each:
+            langs.append(lang)
+            xs.append(np.frombuffer(found["x"][i].as_buffer(), np.float16))
+    return fit(np.array(xs, np.float32), langs) if langs else Model({})
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
