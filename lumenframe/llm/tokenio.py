@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import map_arrow, ragged, stage, stage_dir, texts_of
 from lumenframe.llm.units import library_encoder
 
-#: Ids that a block holds before the next one begins, at a document's end, and ids that a range of documents should hold.
-BLOCK_IDS, RANGE_CHARS = 1 << 15, 24 << 20
+#: Ids that a block holds before the next one begins, at a document's end, and documents of one range of ids.
+BLOCK_IDS, RANGE_ROWS = 1 << 15, 8192
 
 _SHAPES = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 
@@ -61,9 +61,7 @@ def encode_sorted(df: DataFrame, path: str, end_id: int, id_col: str, text: str)
                 before += int(n.sum())
 
     read = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    chars = read.agg(F.sum(F.length("t"))).first()[0] or 0
-    ranges = max(4, -(-chars // RANGE_CHARS))
-    dealt = read.repartitionByRange(int(ranges), "id", F.xxhash64("t")).sortWithinPartitions("id", F.xxhash64("t"), "t")
+    dealt = read.repartitionByRange(max(4, -(-read.count() // RANGE_ROWS)), "id", F.xxhash64("t")).sortWithinPartitions("id", F.xxhash64("t"), "t")
     return map_arrow(dealt.select(F.spark_partition_id().alias("part"), "id", "t"), run, "part int, before long, id long, n long, ids binary")
 
 

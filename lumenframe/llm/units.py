@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -62,29 +63,38 @@ class UnitEncoder:
 
     def _clear(self) -> None:
         self.table = _Table()
-        self.length = np.zeros(0, np.int64)
-        self.start = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
+        self.done = self.used = 0  # words and ids in the arrays, which grow by doubling
+        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat = np.zeros(4096, np.uint16)
 
     def _grow(self) -> None:
-        """Encodes the words that are new, a word that ends in a comma or full stop as its two parts."""
+        """Encodes the words that are new; of one that ends in a comma or full stop, each part that is new."""
         fresh, self.table.fresh = self.table.fresh, []
         if not fresh:
             return
-        bases: dict[str, int] = {}
-        parts = []
+        todo: dict[str, int] = {}
+        plan: list[tuple[int, ...]] = []  # a known word's number, or the complement of a new part's
         for w in fresh:
-            if w[-1] in ".," and w[-2:-1].isalpha() and w[:-1].lstrip(" \n").isalpha():
-                parts.append((bases.setdefault(w[:-1], len(bases)), bases.setdefault(w[-1], len(bases))))
+            if w[-1] in ".," and (w[:-1] if w[0] not in " \n" else w[1:-1]).isalpha():
+                known = self.table.get(w[:-1], self.done)
+                plan.append((known if known < self.done else ~todo.setdefault(w[:-1], len(todo)), ~todo.setdefault(w[-1], len(todo))))
             else:
-                parts.append((bases.setdefault(w, len(bases)),))
-        ids = self.encode_words(list(bases))
-        out = [ids[p[0]] if len(p) == 1 else [*ids[p[0]], *ids[p[1]]] for p in parts]
+                plan.append((~todo.setdefault(w, len(todo)),))
+        ids = self.encode_words(list(todo))
+        out = []
+        for p in plan:
+            first = ids[~p[0]] if p[0] < 0 else self.flat[self.start[p[0]] : self.start[p[0]] + self.length[p[0]]].tolist()
+            out.append(first if len(p) == 1 else [*first, *ids[~p[1]]])
         length = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((t for x in out for t in x), np.uint16, int(length.sum()))
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(length) - length))
-        self.length = np.concatenate((self.length, length))
-        self.flat = np.concatenate((self.flat, flat))
+        total, end = int(length.sum()), self.done + len(out)
+        while end > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.start[self.done : end] = self.used + np.cumsum(length) - length
+        self.length[self.done : end] = length
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(out), np.uint16, total)
+        self.done, self.used = end, self.used + total
 
     def encode_many(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.table) > KEPT:
