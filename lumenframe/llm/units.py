@@ -75,7 +75,8 @@ class UnitEncoder:
         todo: dict[str, int] = {}
         plan: list[tuple[int, ...]] = []  # a known word's number, or the complement of a new part's
         for w in fresh:
-            if w[-1] in ".," and (w[:-1] if w[0] not in " \n" else w[1:-1]).isalpha():
+            # The last letter must be one in every library's Unicode version, and its lower case a letter too.
+            if w[-1] in ".," and w[-2:-1] < "\u0530" and w[-2:-1].lower().isalpha() and (w[:-1] if w[0] not in " \n" else w[1:-1]).isalpha():
                 known = self.table.get(w[:-1], self.done)
                 plan.append((known if known < self.done else ~todo.setdefault(w[:-1], len(todo)), ~todo.setdefault(w[-1], len(todo))))
             else:
