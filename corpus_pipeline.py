@@ -22,14 +22,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose toxicity score is 0.5 or more."""
-    found = toxicity.score_texts(docs.select("doc_id", "text"), toxicity.clean_labels(table(spark, sf_dir, "labels")))
-    bad = found.where("predicted = 1").select("doc_id", F.lit(1).alias("_bad")).distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Rejects documents whose toxicity score is 0.5 or more; rows of one id, or without one, are told apart by their text."""
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text"))
+    found = toxicity.score_texts(docs.select("doc_id", "text", key.alias("_key")), toxicity.clean_labels(table(spark, sf_dir, "labels")), keep=("_key",))
+    return docs.withColumn("_key", key).join(found.where("predicted = 1").select("_key").distinct(), "_key", "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of copies and near copies."""
+    """Keeps the document with the smallest id of each class of copies and near copies.
+
+    Rows of one id are one document and stay or go together; rows without an id are in no class and stay.
+    """
     found = jaccard.ngram_join(docs)
     gone = found.where("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -36,3 +36,11 @@ def test_pipeline_runs(spark):
 def test_empty_corpus(spark, word):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.lit(False))
     assert getattr(corpus_pipeline, word)(spark, docs, SF).count() == 0
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame([(None, "what an idiot and a moron and a loser you are", "en", "src0", 45), (None, "the and of the in a", "en", "src0", 19), (0, None, "en", None, 0)], docs.schema)
+    kept = corpus_pipeline.toxic(spark, docs.unionByName(odd), "/root/testdata/sf0.01")
+    rows = [(r["doc_id"], r["n_chars"]) for r in kept.collect()]
+    assert (None, 45) not in rows and (None, 19) in rows and (0, 0) in rows
