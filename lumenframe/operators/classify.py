@@ -22,8 +22,9 @@ def class_prototypes(items: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_PROMPTS) -> DataFrame:
-    """``df`` marked for broadcast if it has ``limit`` rows at most, by a count of its first rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` computed once and marked for broadcast if it has ``limit`` rows at most; else as it was."""
+    rows = df.limit(limit + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= limit else df
 
 
 def scores(items: DataFrame, prompts: DataFrame) -> DataFrame:

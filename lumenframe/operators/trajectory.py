@@ -82,9 +82,6 @@ def unknown_rate(flagged: DataFrame, warn: float = 0.2) -> DataFrame:
 
 
 def review_queue(flagged: DataFrame, negative: str, min_run: int = 2, chunk: float = 2.0) -> DataFrame:
-    """Runs of unknown windows of violations, for review: position (most confident first), video, class, times, peak_p.
-
-    Positions are numbered over all runs, ties in order of video, class and time.
-    """
+    """Runs of unknown windows of violations, for review, highest peak_p first, ties in order of video, class and time."""
     found = runs(flagged.where(F.col("class") != negative), F.col("unknown") == 1, None, min_run, chunk)
     return found.select(*BY, "start_sec", "end_sec", F.round("peak", 6).alias("peak_p")).orderBy(F.desc("peak_p"), *BY, "start_sec")
