@@ -47,7 +47,7 @@ class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
@@ -102,6 +102,7 @@ def _signatures(bands: int, rows: int, n: int) -> Callable:
                 two.append(int(np.bitwise_xor.reduce(mix64(g ^ _SEED)).view(np.int64)) if len(g) else 0)
                 sig.append(signature(g, bands, rows) if len(g) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int32()), ragged(np.concatenate(sig) if sig else np.zeros(0, np.int64), np.array([len(s) for s in sig]))], ["id", "set1", "set2", "size", "bands"])
+        _hash_of.clear()  # the worker process serves other operators next
 
     return run
 

@@ -20,7 +20,9 @@ TIERS = (2048, 1024, 512, 256)
 #: Sequences of one step group hold so many ids together, or all that are left at a partition's end.
 STEP_IDS = 8 * 2048
 #: Ids of a partition that are packed together; what fills no window waits for the next lot.
-LOT_IDS = 1 << 21
+LOT_IDS = 1 << 20
+#: Words in a worker's table of encoded words (some 80 MB), which stays for the next task.
+KEPT = 400_000
 
 
 class Packer:
@@ -107,7 +109,7 @@ def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        encoder, packer = library_encoder(path, spaced=False), Packer(tiers)
+        encoder, packer = library_encoder(path, spaced=False, kept=KEPT), Packer(tiers)
         ids: dict[int, np.ndarray] = {}
         names: dict[int, object] = {}
         left: dict[int, int] = {}

@@ -66,7 +66,7 @@ class Counted(dict):
         self.heads = {t.strip("^$")[:4] for t in number}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number) if word[:4] in self.heads else ()
         return found
@@ -241,7 +241,7 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
                 if key not in known:
                     known[key] = scorer.value(np.array(t, np.int64), np.array(c, np.float64))
                 out.append(known[key])
-            if len(known) > 20_000:
+            if len(known) > 10_000:
                 known.clear()
             score = np.array([x[0] for x in out], np.float64)
             size = np.array([len(x[1]) for x in out])

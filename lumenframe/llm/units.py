@@ -57,8 +57,8 @@ class UnitEncoder:
     ``spaced``, white space counts: a word is taken with the space or line end before it.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], encode_whole: Callable[[str], Sequence[int]], spaced: bool) -> None:
-        self.encode_words, self.encode_whole, self.spaced = encode_words, encode_whole, spaced
+    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], encode_whole: Callable[[str], Sequence[int]], spaced: bool, kept: int = KEPT) -> None:
+        self.encode_words, self.encode_whole, self.spaced, self.kept = encode_words, encode_whole, spaced, kept
         self._clear()
 
     def _clear(self) -> None:
@@ -98,7 +98,7 @@ class UnitEncoder:
         self.done, self.used = end, self.used + total
 
     def encode_many(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.table) > KEPT:
+        if len(self.table) > self.kept:
             self._clear()
         sizes = np.zeros(len(texts), np.int64)
         numbers, counts, whole = [], np.zeros(len(texts), np.int64), {}
@@ -133,8 +133,8 @@ class UnitEncoder:
 _ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
 
 
-def library_encoder(path: str, spaced: bool) -> UnitEncoder:
-    """The encoder over the tokenizers library for a vocabulary file, one for each worker process."""
+def library_encoder(path: str, spaced: bool, kept: int = KEPT) -> UnitEncoder:
+    """The encoder over the tokenizers library for a vocabulary file, one for each worker process; the first call's ``kept`` holds."""
     if (path, spaced) not in _ENCODERS:
         import os
 
@@ -144,5 +144,5 @@ def library_encoder(path: str, spaced: bool) -> UnitEncoder:
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _ENCODERS[path, spaced] = UnitEncoder(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], lambda t: tok.encode(t, add_special_tokens=False).ids, spaced)
+        _ENCODERS[path, spaced] = UnitEncoder(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], lambda t: tok.encode(t, add_special_tokens=False).ids, spaced, kept)
     return _ENCODERS[path, spaced]
