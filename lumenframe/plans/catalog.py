@@ -485,7 +485,8 @@ def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def train_heads(spark: SparkSession, sf: str) -> DataFrame:
     items = I.items(spark, sf).withColumn("labels", F.array("label"))
-    out = heads.train_heads(items.where("split = 'train'"), items.where("split = 'val'"), [0, 1], grid=(0.1, 1.0))
+    labels = sorted(r["label"] for r in items.select("label").distinct().collect())  # a row for each class
+    out = heads.train_heads(items.where("split = 'train'"), items.where("split = 'val'"), labels)
     return out.select("class", F.size("w").alias("dim"), F.round("b", 6).alias("b"), F.round("t_lo", 6).alias("t_lo"), F.round("t_hi", 6).alias("t_hi"), "c_reg")
 
 

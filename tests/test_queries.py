@@ -22,3 +22,14 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.queries()["zs_argmax"](spark, SF).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_label_gets_a_head_of_the_whole_grid(spark, monkeypatch):
+    from lumenframe.operators import heads
+
+    tried, fit = set(), heads._regression
+    monkeypatch.setattr(heads, "_regression", lambda c, *a, **k: tried.add(c) or fit(c, *a, **k).setMaxIter(2))
+    got = catalog.queries()["train_heads"](spark, SF).collect()
+    labels = {r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().collect()}
+    assert [r["class"] for r in got] == sorted(labels) and len(labels) == 10
+    assert tried == {0.01, 0.1, 1.0}
