@@ -33,3 +33,12 @@ def test_every_label_gets_a_head_of_the_whole_grid(spark, monkeypatch):
     labels = {r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().collect()}
     assert [r["class"] for r in got] == sorted(labels) and len(labels) == 10
     assert tried == {0.01, 0.1, 1.0}
+
+
+def test_the_probe_tries_every_c_in_five_folds(spark, monkeypatch):
+    from lumenframe.operators import heads
+
+    tried, fit = [], heads._regression
+    monkeypatch.setattr(heads, "_regression", lambda c, *a, **k: tried.append(c) or fit(c, *a, **k).setMaxIter(2))
+    got = catalog.queries()["linear_probe"](spark, SF).collect()
+    assert len(got) == 10 and {c: tried[:-1].count(c) for c in tried[:-1]} == {0.1: 5, 1.0: 5, 10.0: 5, 100.0: 5}
