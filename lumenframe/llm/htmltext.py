@@ -32,6 +32,8 @@ BOILER_WORDS = frozenset(
     " pagination pager footer header masthead topbar toolbar comment comments reply replies disqus discussion respond login signup register search copyright legal"
     " contentinfo complementary alert hidden skip".split()
 )
+#: Parts of a class that name the state of an element around something, not what the element is.
+STATE_WORDS = frozenset("has no not with without is overflow hide show visually until if js on off".split())
 #: Frequent function words of the languages that pages are in.
 STOP = frozenset(
     "the of and to in a is that it was for on with as by at this are be or from an not have has he she they which"
@@ -47,7 +49,7 @@ LINKED = 0.4
 #: A comment, a declaration or a tag. Attributes may hold quoted ">"; a tag with more than 256 stretches of quotes, or
 #: with an unclosed quote, ends at its first ">". No alternative looks far ahead twice, so pages take linear time.
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^<>]*>|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,256}+)>|(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z]+")
 _HEADING = re.compile(r"h[1-6]")
 
@@ -61,27 +63,87 @@ class Block:
     boiler: bool
     main: bool
     heading: bool
+    soft: int = -1
+    art: int = -1
     label: bool | None = None
 
 
-def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
+def _attributes(attrs: str) -> dict[str, str]:
+    """Attributes by lower-case name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
+def _names_boiler(token: str) -> bool:
+    """Whether a class, id or role says boilerplate: a word of it, but for states such as has-sidebar; ``hidden`` as the whole of it only."""
+    parts = set(_SPLIT.split(token))
+    return token in BOILER_WORDS or STATE_WORDS.isdisjoint(parts) and not (BOILER_WORDS - {"hidden"}).isdisjoint(parts)
+
+
+def _boiler(tag: str, attrs: str, in_main: bool) -> str:
+    """``hard`` if the element is boilerplate for certain, ``soft`` if only its class, id or role says so, else empty."""
     if tag in BOILER_TAGS or tag == "header" and not in_main:
-        return True
+        return "hard"
     if not attrs or tag in ("html", "body", "main"):
-        return False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and not BOILER_WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+        return ""
+    has = _attributes(attrs)
+    if "hidden" in has or has.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", has.get("style", "")):
+        return "hard"
+    return "soft" if any(_names_boiler(t) for k in ("class", "id", "role") if k in has for t in has[k].split()) else ""
+
+
+def _settle(blocks: list[Block], softs: list[int], arts: list[tuple[int, int, bool]]) -> None:
+    """Makes blocks in soft elements boilerplate, but for soft elements around the article or around most running text.
+
+    ``softs`` has the enclosing soft element of each; ``arts`` that of each article or main element: the enclosing
+    one, its soft element, and whether it is an article. The article is the one with most running text; one in a soft
+    element counts only if no more running text is outside of soft elements.
+    """
+    if not softs:
+        return
+    running = [len(b.text) - b.linked if not b.boiler and len(b.text) >= MEDIUM and b.linked <= LINKED * len(b.text) else 0 for b in blocks]
+    free = sum(w for b, w in zip(blocks, running, strict=True) if b.soft < 0 and not b.boiler)
+    sizes = [[0, 0] for _ in arts]
+    for b, w in zip(blocks, running, strict=True):
+        if b.art >= 0 and not b.boiler:
+            sizes[b.art][0] += w
+            sizes[b.art][1] += len(b.text) - b.linked
+    for i in range(len(arts) - 1, -1, -1):
+        if (up := arts[i][0]) >= 0:
+            sizes[up] = [x + y for x, y in zip(sizes[up], sizes[i], strict=True)]
+    able = [i for i, a in enumerate(arts) if sizes[i][1] > 0 and (a[1] < 0 or sizes[i][0] >= free)]
+    able = [i for i in able if arts[i][2]] or able
+    article = max(able, key=lambda i: (sizes[i], -i)) if able else -1
+    inside = [False] * len(arts)
+    for i, a in enumerate(arts):
+        inside[i] = i == article or a[0] >= 0 and inside[a[0]]
+    off, held, total = [False] * len(softs), [0] * len(softs), 0
+    at = arts[article][1] if able else -1
+    while at >= 0:
+        off[at], at = True, softs[at]
+    for b, w in zip(blocks, running, strict=True):
+        if not able or b.art >= 0 and inside[b.art]:
+            total += w
+            if b.soft >= 0:
+                held[b.soft] += w
+    for i in range(len(softs) - 1, -1, -1):
+        if softs[i] >= 0:
+            held[softs[i]] += held[i]
+    marked = [False] * len(softs)
+    for i, up in enumerate(softs):
+        marked[i] = up >= 0 and marked[up] or not off[i] and 2 * held[i] <= total
+    for b in blocks:
+        b.boiler = b.boiler or b.soft >= 0 and marked[b.soft]
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order. Broken markup is read as browsers do: what isn't a tag is text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boiler, main
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, boiler for certain, main, soft element, article
+    softs: list[int] = []
+    arts: list[tuple[int, int, bool]] = []
     opened: Counter = Counter()
     unclosed: set[str] = set()
     parts: list[tuple[str, bool]] = []
@@ -92,8 +154,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal heading
         text = " ".join("".join(p for p, _ in parts).split())
         if text:
-            boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, sum(len("".join(p.split())) for p, linked in parts if linked), boiler, main, heading))
+            boiler, main, soft, art = stack[-1][1:] if stack else (False, False, -1, -1)
+            out.append(Block(text, sum(len("".join(p.split())) for p, linked in parts if linked), boiler, main, heading, soft, art))
         parts.clear()
         heading = False
 
@@ -137,20 +199,33 @@ def blocks_of(page: str) -> list[Block]:
         if stack and tag in BLOCKS and stack[-1][0] == "p":
             opened["p"] -= 1
             stack.pop()
-        boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        boiler = boiler or _is_boiler(tag, attrs, main)
-        if tag in BLOCKS or opened[tag] or boiler and not (stack and stack[-1][1]):
-            if boiler and tag not in BLOCKS:
+        boiler, main, soft, art = stack[-1][1:] if stack else (False, False, -1, -1)
+        kind = "" if boiler else _boiler(tag, attrs, main)
+        boiler = boiler or kind == "hard"
+        if tag in BLOCKS or opened[tag] or kind:
+            if (boiler or kind) and tag not in BLOCKS:
                 end_block()
-            stack.append((tag, boiler, not boiler and (main or tag in ("article", "main"))))
+            if kind == "soft":
+                softs.append(soft)
+                soft = len(softs) - 1
+            if tag in ("article", "main") and not boiler:
+                arts.append((art, soft, tag == "article"))
+                art = len(arts) - 1
+            stack.append((tag, boiler, not boiler and (main or tag in ("article", "main")), soft, art))
             opened[tag] += 1
         heading = heading or _HEADING.fullmatch(tag) is not None
     if at < len(page):
         parts.append((html.unescape(page[at:]), links > 0))
     end_block()
+    _settle(out, softs, arts)
     return out
 
 
+def _runs(block: Block) -> bool:
+    """Long text with few links: running text in whatever language, unless its place says otherwise."""
+    return not block.boiler and len(block.text) >= LONG and block.linked <= LINKED * len(block.text) / 2
+
+
 def decide(block: Block, has_main: bool) -> bool | None:
     """First pass: what a block's place, length, links and stop words say about it alone."""
     if block.boiler or has_main and not block.main:
@@ -164,7 +239,7 @@ def decide(block: Block, has_main: bool) -> bool | None:
         return True
     if n >= MEDIUM and stop >= STOP_HIGH and block.linked <= LINKED * n / 2:
         return True
-    if not block.main and (n >= LONG and stop < STOP_LOW or block.linked and n < MEDIUM):
+    if not block.main and (n >= LONG and stop < STOP_LOW and not _runs(block) or block.linked and n < MEDIUM):
         return False
     return None
 
@@ -175,12 +250,17 @@ def main_text(page: str | None) -> str:
     Second pass: an undecided block takes the label of the nearest decided block before or after it; the nearer one
     counts if they differ, the better one if they are equally near, and a heading goes with what follows. Inside an
     article or main element only its own blocks are neighbours, and without a decided one the blocks outside boilerplate are text.
+    Undecided long text with few links, as in a language without known stop words, is text if a decided neighbour is or
+    if the page has no decided text at all.
     """
     blocks = blocks_of(page or "")
     has_main = any(b.main and not b.boiler for b in blocks)
     for b in blocks:
         b.label = decide(b, has_main)
     seen = [b for b in blocks if not b.boiler and (b.main or not has_main)] if has_main else blocks
+    if not any(b.label for b in seen):
+        for b in seen:
+            b.label = True if b.label is None and _runs(b) else b.label
     n = len(seen)
     before, after = [(-1, None)] * n, [(-1, None)] * n
     last = None
@@ -198,6 +278,8 @@ def main_text(page: str | None) -> str:
                 found = not b.boiler
             elif p is None or q is None:
                 found = (p or q)[1]
+            elif _runs(b):
+                found = p[1] or q[1]
             elif p[1] == q[1] or b.heading:
                 found = q[1]
             elif i - p[0] == q[0] - i:

@@ -292,3 +292,39 @@ def test_broken_pages_take_linear_time(page):
 def test_scripts_and_inline_adverts():
     page = '<article><p>before <script>if (a<b && c == "x") { d = "</p>" }</script>after <span class="ad">buy <span>this</span> now</span></p><p>end</p></article>'
     assert htmltext.main_text(page) == "before after\nend"
+
+
+ENGLISH = "The first of the lines is long enough, and it has the words that a text has: it is on the page for all of the people who are here, and they read it."
+OTHERS = [
+    "Каждое утро старый смотритель поднимался на башню маяка, протирал стёкла большой лампы, записывал погоду в толстую тетрадь, потом долго смотрел вдаль, где проходили корабли.",
+    "Każdego ranka stary latarnik wchodził powoli po schodach, czyścił szkła wielkiej lampy, zapisywał pogodę w grubym zeszycie, potem długo patrzył w dal, gdzie przepływały statki.",
+    "每天早晨，年老的灯塔看守人都会爬上高高的灯塔，擦拭那盏巨大的灯，把天气写进厚厚的本子里，然后久久地望着远方来往的船只。" * 3,
+]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="overflow-hidden"><article><p>{}</p></article></div></body>',
+        '<body><div class="layout has-sidebar"><article><p>{}</p></article><div class="sidebar"><p>Other.</p></div></div></body>',
+        '<body><article class="post no-comments"><p>{}</p><div id="comments"><p>I like it.</p></div></article></body>',
+        '<body><div class="page-header-wrap related"><article><p>{}</p></article></div></body>',
+        '<body><div class="header-layout"><p>{}</p></div><div class="cookie-notice"><p>We use cookies.</p></div></body>',
+        '<body><p title="The hidden valley">{}</p></body>',
+        '<body><div data-hidden="false"><p>{}</p></div><div hidden><p>Gone.</p></div></body>',
+        '<body><nav><a href=/>Home</a></nav><div><p>{}</p></div><div class="related"><article><p>Other news.</p></article></div><footer>Imprint</footer></body>',
+    ],
+)
+def test_names_of_elements_do_not_hide_the_article(page):
+    assert htmltext.main_text(page.format(ENGLISH)) == ENGLISH
+
+
+@pytest.mark.parametrize("text", OTHERS)
+def test_text_without_known_stop_words_stays(text):
+    page = f"<body><nav><a href=/>Home</a></nav><div><p>{text}</p><p>{text}</p></div><div><a href=/x>{text}</a></div><footer>Imprint</footer></body>"
+    assert htmltext.main_text(page) == f"{text}\n{text}"
+
+
+def test_boilerplate_by_class_stays_out():
+    junk = "".join(f'<div class="{c}"><p>All of the news that is on the site for you and for the people who are here.</p></div>' for c in ("site-footer", "ad", "cookie-notice", "related posts"))
+    assert htmltext.main_text(f"<body><p>{ENGLISH}</p><p>{ENGLISH}</p><p>{ENGLISH}</p>{junk}</body>") == "\n".join([ENGLISH] * 3)
