@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosine of statements to templates, then inheritance from the nearest licensed directory above.
 
-DataFrame and SQL functions only. A text's statements are its lines and sentences. Files take the licence of their
-own best statement; files without one take that of the nearest directory above them that holds a licence file.
+DataFrame and SQL functions only. A text's statements are its lines and sentences; the standard headers and licence
+files are looked for in lines and in sentences over wrapped lines. Files take the licence of their own best statement;
+files without one take that of the nearest directory above them that holds a licence file.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.common import stage
+
 #: What headers and licence files say, by licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -27,10 +30,55 @@ TEMPLATES = {
     "Proprietary": "All rights reserved",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_HEADER = "This program is free software you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or at your option any later version"
+_LESSER = "This library is free software you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version {} of the License, or at your option any later version"
+#: Headings, sentences of licence files and standard headers, by licence. Versions that differ little stand
+#: beside each other, so that the nearest one is found.
+TEXTS = {
+    "AGPL-3.0": ("GNU Affero General Public License Version 3, 19 November 2007", _HEADER.format("Affero", "3")),
+    "Apache-2.0": (
+        "Apache License, Version 2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Licensed under the Apache License, Version 2.0 (the License)",
+        "you may not use this file except in compliance with the License",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    ),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License",
+        _BSD,
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International Public License"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    "GPL-2.0": ("GNU General Public License Version 2, June 1991", _HEADER.format("", "2")),
+    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007", "GNU General Public License Version 3", _HEADER.format("", "3")),
+    "ISC": ("ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "LGPL-2.1": ("GNU Lesser General Public License Version 2.1, February 1999", _LESSER.format("2.1")),
+    "LGPL-3.0": ("GNU Lesser General Public License Version 3, 29 June 2007", "GNU Lesser General Public License Version 3", _LESSER.format("3"), _HEADER.format("Lesser", "3")),
+    "MIT": (
+        "MIT License",
+        "The MIT License (MIT)",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    "Unlicense": (
+        "The Unlicense",
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ),
+}
 #: The least cosine of a match; salts of a lookup by directory.
 THRESHOLD, SALTS = 0.75, 32
 #: Ends of statements and the gaps between words, for Spark and for SQL engines with RE2 alike.
 STATEMENT, GAP = r"\n|[.!?;] ", r"[^\p{L}\p{N}]+"
+#: Wrapped lines: a line's end before a line with a word, and the marks of a comment that begin that line. Ends of sentences over them.
+WRAP, SENTENCE = r"[^\S\n]*\n(?=[^\p{L}\p{N}\n]*[\p{L}\p{N}])[^\p{L}\p{N}\n]*", r"\n|[.!?;:]\s"
 #: Names of licence files.
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
 
@@ -51,10 +99,10 @@ def document_frequencies(df: DataFrame, text: str, terms: list[str]) -> dict[str
     return {t: math.log((n + 1) / (seen.get(t, 0) + 1)) + 1 for t in [*terms, ""]}
 
 
-def _anchors(idf: dict[str, float], threshold: float) -> list[str]:
+def _anchors(idf: dict[str, float], threshold: float, templates: list[str] | None = None) -> list[str]:
     """Terms of which every matching statement holds one: a template's other terms together stay below the threshold."""
     out: set[str] = set()
-    for template in TEMPLATES.values():
+    for template in TEMPLATES.values() if templates is None else templates:
         count = {w: words(template).count(w) for w in words(template)}
         weight = sorted(((count[w] * idf[w]) ** 2, w) for w in count)
         limit, rest = threshold**2 * sum(x for x, _ in weight) * (1 - 1e-9), 0.0
@@ -108,10 +156,58 @@ def own_license(df: DataFrame, text: str, idf: dict[str, float], threshold: floa
     # A plain test of the whole text first: few texts hold an anchor at all.
     any_anchor = F.col(text).rlike("(?iu)" + "|".join(map(re.escape, anchors)))
     found = df.withColumn("_best", F.when(any_anchor, best))
+    # A standard text says more than "All rights reserved", which many of them hold; other statements stand.
+    whole = F.col("_text")["cosine"] >= threshold
+    found = found.withColumn("_text", text_license(F.col(text), idf, threshold))
+    stands = (F.col("_best")["cosine"] >= threshold) & ((F.col("_best")["license"] != "Proprietary") | ~F.coalesce(whole, F.lit(False)))
+    found = found.withColumn("_best", F.when(F.coalesce(stands, F.lit(False)), F.col("_best")).when(whole, F.col("_text"))).drop("_text")
     match = F.col("_best")["cosine"] >= threshold
     return found.withColumn("own_license", F.when(match, F.col("_best")["license"])).withColumn("own_cosine", F.when(match, F.col("_best")["cosine"])).drop("_best")
 
 
+def text_license(text: Column, idf: dict[str, float], threshold: float = THRESHOLD) -> Column:
+    """(cosine, license) of the best of ``TEXTS`` in a text's lines and sentences over wrapped lines; ties go to the name that sorts first.
+
+    A template of at most six words is a heading, all of whose words must be there: "mit" alone is a German word.
+    A dot product is a sum over a statement's words of the templates' weights of each; equal words are neighbours once sorted.
+    """
+    templates = [(name, t) for name in sorted(TEXTS) for t in TEXTS[name]]
+    terms = sorted({w for _, t in templates for w in words(t)})
+    sizes = [math.sqrt(sum((words(t).count(w) * idf[w]) ** 2 for w in set(words(t)))) for _, t in templates]
+    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in (idf[w] ** 2, *(words(t).count(w) * idf[w] ** 2 / z for (_, t), z in zip(templates, sizes, strict=True)))) + ")" for w in terms)
+    table, known = F.expr(f"array({rows})"), F.array(*map(F.lit, terms))
+    other = F.array(F.lit(idf[""] ** 2), *(F.lit(0.0) for _ in templates))
+    need = [sorted(set(words(t)) - {"the"}) if len(words(t)) <= 6 else [] for _, t in templates]
+    names = F.array(*(F.struct(F.lit(name).alias("license"), (F.array(*map(F.lit, n)) if n else F.array().cast("array<string>")).alias("need")) for (name, _), n in zip(templates, need, strict=True)))
+    none = F.struct(F.lit(0.0).alias("cosine"), F.lit("").alias("license"))
+    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("run"), F.lit(0.0).alias("norm"), F.array(*(F.lit(0.0) for _ in templates)).alias("dots"))
+
+    def add(a: Column, x: Column) -> Column:
+        run = F.when(a["w"] == x["w"], a["run"] + 1.0).otherwise(F.lit(1.0))
+        norm = a["norm"] + (2.0 * run - 1.0) * F.get(x["v"], F.lit(0))
+        return F.struct(x["w"].alias("w"), run.alias("run"), norm.alias("norm"), F.zip_with(a["dots"], F.slice(x["v"], 2, len(templates)), lambda p, q: p + q).alias("dots"))
+
+    def score(statement: Column) -> Column:
+        def cell(a: Column, d: Column, n: Column) -> Column:
+            cosine = F.round(d / F.sqrt(a["norm"]), 6)
+            whole = (cosine >= threshold) & (F.size(F.array_except(n["need"], words_of(statement))) == 0)
+            return F.struct(F.when(whole, cosine).otherwise(F.lit(0.0)).alias("cosine"), n["license"].alias("license"))
+
+        def best(a: Column) -> Column:
+            found = F.zip_with(a["dots"], names, lambda d, n: cell(a, d, n))
+            return F.when(a["norm"] > 0, F.reduce(found, none, lambda b, y: F.when(y["cosine"] > b["cosine"], y).otherwise(b))).otherwise(none)
+
+        looked = F.transform(F.array_sort(words_of(statement)), lambda w: F.struct(w.alias("w"), F.coalesce(F.get(table, (F.array_position(known, w) - 1).cast("int")), other).alias("v")))
+        return F.reduce(looked, start, add, best)
+
+    anchors = _anchors(idf, threshold, [t for _, t in templates])
+    lines = F.split(text, STATEMENT)
+    statements = F.array_distinct(F.concat(lines, F.split(F.regexp_replace(text, WRAP, " "), SENTENCE)))
+    held = F.filter(statements, lambda s: F.arrays_overlap(F.split(F.lower(s), GAP), F.array(*map(F.lit, anchors))))
+    found = F.reduce(F.transform(held, score), none, lambda a, x: F.when((x["cosine"] > a["cosine"]) | ((x["cosine"] == a["cosine"]) & (x["license"] < a["license"])), x).otherwise(a))
+    return F.when(text.rlike(r"(?i)licen[sc]|copyright|permission|redistribution|software|creative|cc0|mozilla"), found)
+
+
 def _salted(probe: DataFrame, table: DataFrame, key: str, salt: Column, how: str) -> DataFrame:
     """Equi-join on ``key`` where a few keys may hold most rows of ``probe``; ``table`` has one row a key."""
     left = probe.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
@@ -147,8 +243,8 @@ def scan(df: DataFrame, path: Column, text: str = "text", keep: tuple[str, ...]
     Document frequencies are counted over all rows' whole texts. Null and empty texts have no licence of their
     own; repeated rows get equal results; an empty table has none.
     """
-    terms = sorted({t for template in TEMPLATES.values() for t in words(template)})
+    terms = sorted({t for template in (*TEMPLATES.values(), *(t for of in TEXTS.values() for t in of)) for t in words(template)})
     read = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), path.alias("path"), F.col(text).alias("t"))
     idf = document_frequencies(read, "t", terms)
-    found = inherit(own_license(read, "t", idf, threshold).drop("t"))
+    found = inherit(stage(own_license(read, "t", idf, threshold).drop("t"), "licenses"))  # own licences are found once, not for each of three uses
     return found.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "path", "own_license", "own_cosine", "license", "license_from")

@@ -139,3 +139,21 @@ def test_toxicity_of_odd_rows(spark):
     assert by[100] == by[101] == 0 and by[102] == by[None] == by[1] == 1 and by[2] == 0
     assert toxicity.score_texts(df.limit(0), labels).count() == 0
     assert {r["predicted"] for r in toxicity.score_texts(df, labels.limit(0)).collect()} == {0}
+
+
+LICENCE_TEXTS = {
+    "MIT": "MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n",
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n",
+    "GPL-2.0": " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.\n",
+    "BSD-3-Clause": "Copyright (c) 2020, Some One\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n",
+}
+
+
+def test_standard_licence_texts_are_found(spark):
+    body = {n: t.split("\n\n", 2)[2] for n, t in LICENCE_TEXTS.items() if n == "MIT"}
+    more = {"MIT heading": "The MIT License (MIT)", "GPL-3.0 heading": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "MIT body": body["MIT"], "Proprietary": "All rights reserved.", "none": "The software is free.\nThe license of the program."}
+    more["Apache-2.0 header"] = '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n'
+    df = spark.createDataFrame(list((LICENCE_TEXTS | more).items()), "p string, text string")
+    got = {r["p"]: r["own_license"] for r in licenses.scan(df, F.concat(F.lit("/a/"), F.col("p")), keep=("p",)).collect()}
+    assert got == {p: None if p == "none" else p.split(" ")[0] for p in got}
