@@ -409,6 +409,15 @@ def tune_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return tuning.tune(I.trajectories(spark, sf).where(F.col("class") != NEGATIVE), _truth(spark, sf), _THR, _WIN, _K, chunk=CHUNK)
 
 
+#: The whole grid, 492 combinations a class. It has no SQL: that of ``tune_thresholds`` is for its 20 combinations.
+FULL_THR, FULL_WIN, FULL_K = grids.parse_grid("0.10:0.50:0.01"), grids.parse_list("1,3,5,9"), grids.parse_list("1,2,3")
+
+
+@query()
+def tune_thresholds_full(spark: SparkSession, sf: str) -> DataFrame:
+    return tuning.tune(I.trajectories(spark, sf).where(F.col("class") != NEGATIVE), _truth(spark, sf), FULL_THR, FULL_WIN, FULL_K, chunk=CHUNK)
+
+
 # Heads and reports
 
 

@@ -196,6 +196,20 @@ def test_tuner_takes_the_first_of_equal_settings(spark):
     assert (best["threshold"], best["window"], best["min_consec"], best["val_f1"]) == (0.2, 1, 1, 1.0)
 
 
+def test_the_whole_grid_finds_what_the_small_one_cannot(spark, monkeypatch):
+    from lumenframe.plans import catalog
+
+    # An event of three windows at 0.44, a blip of two at 0.9 and noise of three at 0.41: only 0.42 to 0.44 with three in a row is right.
+    scores = series(spark, [0.0, 0.44, 0.44, 0.44, 0.0, 0.0, 0.9, 0.9, 0.0, 0.0, 0.41, 0.41, 0.41, 0.0])
+    truth = spark.createDataFrame([("v", "c", 1.0, 5.0, 1)], "video string, class string, start_sec double, end_sec double, pos int")
+    monkeypatch.setattr(catalog.I, "trajectories", lambda *_: scores)
+    monkeypatch.setattr(catalog, "_truth", lambda *_: truth)
+    best = catalog.queries()["tune_thresholds_full"](spark, "").first()
+    assert (best["threshold"], best["window"], best["min_consec"], best["val_f1"]) == (0.42, 1, 3, 1.0)
+    assert catalog.queries()["tune_thresholds"](spark, "").first()["val_f1"] < 1.0
+    assert (len(catalog.FULL_THR), catalog.FULL_WIN, catalog.FULL_K) == (41, [1, 3, 5, 9], [1, 2, 3])
+
+
 def test_degenerate_heads(spark):
     rows = [(i, [float(i), 1.0], ["all"]) for i in range(6)]
     df = spark.createDataFrame(rows, "item int, embedding array<double>, labels array<string>")
