@@ -18,9 +18,9 @@ def as_rows(columns, rows):
     return sorted(columns), sorted(repr(tuple(plain(r[i]) for i in order)) for r in rows)
 
 
-def oracle(sf_dir, sql):
+def oracle(sf_dir, sql, tables=TABLES):
     con = duckdb.connect()
-    for t in TABLES:
+    for t in tables:
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
     found = con.execute(sql)
