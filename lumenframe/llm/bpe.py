@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import map_arrow, spans, texts_of
+from lumenframe.llm.common import by_bytes, map_arrow, ragged, spans
 from lumenframe.llm.units import UnitEncoder
 
 #: Fixed value: how byte-level BPE vocabularies of this kind split a text before any merge.
@@ -53,7 +53,7 @@ class ByteBPE:
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], order
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.units = UnitEncoder(self.encode_words, self.encode_whole, spaced=True)
+        self.units = UnitEncoder(self.encode_units)
 
     def merge(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all pieces and each piece's number of ids.
@@ -119,6 +119,12 @@ class ByteBPE:
         flush()
         return [ids[x[0]] if len(x) == 1 else [t for i in x for t in ids[i]] for x in parts]
 
+    def encode_units(self, units: Sequence[str]) -> list[list[int]]:
+        """Ids of each unit, of those with the beginning of a special token by ``encode_whole``."""
+        whole = {i: self.encode_whole(u) for i, u in enumerate(units) if "<|" in u}
+        plain = iter(self.encode_words([u for i, u in enumerate(units) if i not in whole] if whole else units))
+        return [whole[i] if i in whole else next(plain) for i in range(len(units))] if whole else list(plain)
+
     def encode_whole(self, text: str) -> list[int]:
         """Ids of a whole text; strings of special tokens in it are those tokens."""
         out, at = [], 0
@@ -127,7 +133,7 @@ class ByteBPE:
             at = m.end()
         return out + self.encode_words([text[at:]])[0] if at < len(text) else out
 
-    def encode_many(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_many(self, texts: pa.Array | Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.units.encode_many(texts)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
@@ -160,20 +166,17 @@ def token_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         name = [str(i) for i in range(len(bpe.said_length))]
-        for b in batches:
-            texts = texts_of(b["t"])
-            for low in range(0, len(texts), 250):
-                part = texts[low : low + 250]
-                ids, sizes = bpe.encode_many(part)
-                decoded = bpe.decode(ids, sizes)
-                ends = np.cumsum(sizes)
-                cut = [ids[e - s : e].tolist() for e, s in zip(ends, sizes, strict=True)]
-                if digests:
-                    first = pa.array([hashlib.sha256(",".join(map(name.__getitem__, x)).encode()).hexdigest() for x in cut], pa.string())
-                    second = pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded], pa.string())
-                else:
-                    first, second = pa.array(cut, pa.list_(pa.int32())), pa.array(decoded, pa.string())
-                yield pa.RecordBatch.from_arrays([b["id"].slice(low, 250), pa.array(sizes, pa.int64()), first, second], ["id", "n_tokens", "ids", "decoded"])
+        for b in by_bytes(batches, "t"):
+            ids, sizes = bpe.encode_many(b["t"])
+            decoded = bpe.decode(ids, sizes)
+            ends = np.cumsum(sizes)
+            cut = (ids[e - s : e].tolist() for e, s in zip(ends, sizes, strict=True))
+            if digests:
+                first = pa.array([hashlib.sha256(",".join(map(name.__getitem__, x)).encode()).hexdigest() for x in cut], pa.string())
+                second = pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded], pa.string())
+            else:
+                first, second = ragged(ids.astype(np.int32), sizes), pa.array(decoded, pa.string())
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes, pa.int64()), first, second], ["id", "n_tokens", "ids", "decoded"])
 
     kind = dict(df.dtypes)[id_col]
     out = map_arrow(df.select(F.col(id_col).alias("id"), F.col(text).alias("t")), run, f"id {kind}, n_tokens long, ids {'string' if digests else 'array<int>'}, decoded string")

@@ -8,17 +8,20 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that Python workers get; documents of a few kB make batches of some MB.
-BATCH_ROWS = 1000
+#: Rows of one Arrow batch that Python workers get, and the bytes at which a batch ends (its last row may exceed them).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The shared folder for staged tables: spark.checkpoint.dir; a folder of our own where that is unset and Spark is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lumenframe-stage-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -41,9 +44,11 @@ def bucket_of(key: str | Column, n: int) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to ``BATCH_ROWS`` rows, so that a worker's memory doesn't follow the table's size."""
+    """Holds the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes, so that a worker's memory doesn't follow the table."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", str(1 << 26)):  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -51,6 +56,29 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return df.mapInArrow(f, schema)
 
 
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end with the row at which ``column`` (text or binary) reaches ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    weight = 0
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        low = 0
+        while low < len(b):
+            so_far = weight + np.cumsum(size[low:])
+            n = min(int(np.searchsorted(so_far, most)) + 1, len(so_far))
+            held.append(b.slice(low, n))
+            low, weight = low + n, int(so_far[n - 1])
+            if weight >= most:
+                yield _joined(held)
+                held, weight = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of an Arrow text column, null as empty."""
     return [x or "" for x in column.to_pylist()]
@@ -75,8 +103,8 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def only_listed(df: DataFrame, key: str, listed: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
     """``df`` without most rows whose ``key`` isn't in ``listed`` (key): what is left is a superset of the semi-join.
 
-    A bitmap of hashed keys, eight bits or more a key but ``most_bits`` (16 MB) at most, is broadcast as one row;
-    with more keys it lets more other rows through, and the join that follows drops them.
+    A bitmap of hashed keys, eight bits or more a key but ``most_bits`` (16 MB) at most, is broadcast as one row,
+    so the join without a key makes no more rows than ``df`` has; with more keys it lets more other rows through, and the join that follows drops them.
     """
     spark = df.sparkSession
     bits = 1 << 16
@@ -101,19 +129,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A key with more than this share of a table's rows, and more than so many rows, is looked up apart: at most 1 / HOT keys.
+HOT, HOT_ROWS = 1e-3, 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a few keys may hold most rows of ``left``, a staged table; ``right`` has one row for each key.
+
+    Rows of hot keys, at most 1 / HOT of them, meet a broadcast table; all others are joined as the planner likes.
+    """
+    counts = left.groupBy(keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > HOT_ROWS)
+    if hot.limit(1).count() == 0:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot.where(F.col("_n") > F.lit(HOT * left.count())).select(keys))
+    return left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how).unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): node, root = the component's smallest node.
 
     Rounds of least-neighbour labels with pointer jumping; every round is a staged table, so lost executors
-    cost one round. Nothing but the number of changed labels comes to the driver. No edges: no rows.
+    cost one round. Hubs of many edges and roots of many nodes are joined apart. Nothing but the number of changed
+    labels comes to the driver. No edges: no rows.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), f"{name}-labels")
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        stepped = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("up"))
+        near = join_hot(both, labels.select(F.col("node").alias("b"), "root"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        stepped = stage(labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("up")), f"{name}-steps")
         up = labels.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        labels = stage(stepped.join(up, "up", "left").select("node", "was", F.least("up", F.coalesce("top", "up")).alias("root")), f"{name}-labels")
+        labels = stage(join_hot(stepped, up, ["up"], "left").select("node", "was", F.least("up", F.coalesce("top", "up")).alias("root")), f"{name}-labels")
         if labels.where("was <> root").limit(1).count() == 0:
             return labels.select("node", "root")
         labels = labels.select("node", "root")

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import map_arrow, texts_of
+from lumenframe.llm.common import by_bytes, map_arrow
 from lumenframe.llm.units import library_encoder
 
 #: Context sizes, longest first; all are powers of two.
@@ -21,8 +21,6 @@ TIERS = (2048, 1024, 512, 256)
 STEP_IDS = 8 * 2048
 #: Ids of a partition that are packed together; what fills no window waits for the next lot.
 LOT_IDS = 1 << 20
-#: Words in a worker's table of encoded words (some 80 MB), which stays for the next task.
-KEPT = 400_000
 
 
 class Packer:
@@ -109,7 +107,7 @@ def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        encoder, packer = library_encoder(path, spaced=False, kept=KEPT), Packer(tiers)
+        encoder, packer = library_encoder(path, spaced=False), Packer(tiers)
         ids: dict[int, np.ndarray] = {}
         names: dict[int, object] = {}
         left: dict[int, int] = {}
@@ -147,18 +145,16 @@ def pack(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text
         lot: list[tuple[int, int]] = []
         held = 0
         kind = pa.int64()
-        for b in batches:
+        for b in by_bytes(batches, "t"):
             kind = b["id"].type
-            texts, keys = texts_of(b["t"]), b["id"].to_pylist()
-            for low in range(0, len(texts), 250):
-                flat, sizes = encoder.encode_many(texts[low : low + 250])
-                ends = np.cumsum(sizes)
-                for key, e, s in zip(keys[low : low + 250], ends, sizes, strict=True):
-                    doc = made[0]
-                    made[0] += 1
-                    ids[doc], names[doc], left[doc] = np.append(flat[e - s : e], np.uint16(end_id)), key, int(s) + 1
-                    lot.append((doc, int(s) + 1))
-                    held += int(s) + 1
+            flat, sizes = encoder.encode_many(b["t"])
+            ends = np.cumsum(sizes)
+            for key, e, s in zip(b["id"].to_pylist(), ends.tolist(), sizes.tolist(), strict=True):
+                doc = made[0]
+                made[0] += 1
+                ids[doc], names[doc], left[doc] = np.append(flat[e - s : e], np.uint16(end_id)), key, s + 1
+                lot.append((doc, s + 1))
+                held += s + 1
                 if held >= LOT_IDS:
                     yield from rows(packer.add(lot), last=False)
                     lot, held = [], 0
