@@ -8,14 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import map_arrow, ragged, stage, stage_dir, texts_of
+from lumenframe.llm.common import by_bytes, map_arrow, ragged, stage, stage_dir
 from lumenframe.llm.units import library_encoder
 
-#: Ids that a block holds before the next one begins, at a document's end, and documents of one range of ids.
-BLOCK_IDS, RANGE_ROWS = 1 << 15, 8192
+#: Ids that a block holds before the next one begins, at a document's end, and about the ids of one part (32 MB).
+BLOCK_IDS, PART_IDS = 1 << 15, 1 << 24
+#: Parts whose starts are added up together; of each such group one row goes to a single task.
+GROUP_PARTS = 1024
+#: Starts of so many parts at most are broadcast (some 32 MB); more are joined by shuffle.
+BROADCAST_PARTS = 1_000_000
+_BLOCKS = "part int, start long, n_ids long, doc_ids array<long>, sizes array<long>, control binary, data binary"
 
 _SHAPES = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
 
@@ -44,32 +50,29 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def encode_sorted(df: DataFrame, path: str, end_id: int, id_col: str, text: str) -> DataFrame:
-    """Documents dealt into ranges of ascending ids, encoded: part, before (ids before it in its part), id, n, ids."""
+def encode(df: DataFrame, path: str, end_id: int, id_col: str, text: str) -> DataFrame:
+    """Each document where it lies: id, h (a hash of its text), row (its place), n and its ids as two-byte integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(path, spaced=True)
-        before = 0
-        for b in batches:
-            texts = texts_of(b["t"])
-            for low in range(0, len(texts), 250):
-                ids, sizes = encoder.encode_many(texts[low : low + 250])
-                ends = np.cumsum(sizes)
-                rows = [np.append(ids[e - s : e], np.uint16(end_id)).astype("<u2").tobytes() for e, s in zip(ends, sizes, strict=True)]
-                n = sizes + 1
-                yield pa.RecordBatch.from_arrays([b["part"].slice(low, 250), pa.array(before + np.cumsum(n) - n, pa.int64()), b["id"].slice(low, 250), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["part", "before", "id", "n", "ids"])
-                before += int(n.sum())
+        encoder, row = library_encoder(path, spaced=True), TaskContext.get().partitionId() << 40
+        end = np.array([end_id], "<u2").tobytes()
+        for b in by_bytes(batches, "t"):
+            ids, sizes = encoder.encode_many(b["t"])
+            raw, ends = ids.astype("<u2").tobytes(), 2 * np.cumsum(sizes)
+            rows = [raw[e - 2 * s : e] + end for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["id"], b["h"], pa.array(row + np.arange(len(b))), pa.array(sizes + 1), pa.array(rows, pa.binary())], ["id", "h", "row", "n", "ids"])
+            row += len(b)
 
-    read = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    dealt = read.repartitionByRange(max(4, -(-read.count() // RANGE_ROWS)), "id", F.xxhash64("t")).sortWithinPartitions("id", F.xxhash64("t"), "t")
-    return map_arrow(dealt.select(F.spark_partition_id().alias("part"), "id", "t"), run, "part int, before long, id long, n long, ids binary")
+    read = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    return map_arrow(read, run, "id long, h long, row long, n long, ids binary")
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.zeros(1 << 16, np.int64)
     for b in batches:
-        for x in b["ids"]:
-            count += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+        column = b["ids"]
+        bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        count += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<u2"), minlength=1 << 16)
     seen = np.flatnonzero(count)
     yield pa.RecordBatch.from_pydict({"token": pa.array(seen, pa.int32()), "n": pa.array(count[seen], pa.int64())})
 
@@ -78,39 +81,56 @@ def write_tokens(df: DataFrame, where: str, path: str, end_id: int, id_col: str
     """Encodes every whole text, appends ``end_id`` and writes token files below ``where``, documents in ascending id order.
 
     ``where/ranks`` holds the id of each rank, most frequent first over all documents; ``where/blocks`` holds blocks
-    (part, start, doc_ids, sizes, control, data). Parts follow each other in order of their ids, blocks in order of
-    start. Null texts are empty; null ids come first; repeated ids stand together in order of their text's hash.
+    (part, start in the part, n_ids, doc_ids, sizes, control, data). Parts follow each other in order of their ids,
+    blocks in order of start. Texts are encoded where they lie; only ids are dealt out by document id. Null texts are
+    empty; null ids come first; repeated ids stand together in order of their text's hash, and may span parts.
     ``path`` names a tokenizers file with ids below 65,536, readable on every worker.
     """
     spark = df.sparkSession
-    coded = stage(encode_sorted(df, path, end_id, id_col, text), "token-ids")
+    coded = stage(encode(df, path, end_id, id_col, text), "token-ids")
     counts = map_arrow(coded.select("ids"), _histogram, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     order = [r["token"] for r in counts.orderBy(F.desc("n"), "token").collect()]  # one row for each id of the vocabulary
     spark.createDataFrame([(i, t) for i, t in enumerate(order)], "rank int, token int").coalesce(1).write.parquet(f"{where}/ranks")
     rank_of = np.zeros(1 << 16, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
+    total = coded.agg(F.sum("n")).first()[0] or 0
+    dealt = coded.repartitionByRange(max(4, -(-total // PART_IDS)), "id", "h", "row").sortWithinPartitions("id", "h", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        part, start = TaskContext.get().partitionId(), 0
+        docs: list = []
+        sizes: list[int] = []
+        raw: list[bytes] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x[4] for x in held), "<u2")
-            control, data = pack_ranks(shared.value[ids])
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int32()), pa.array([held[0][1]], pa.int64()), pa.array([[x[2] for x in held]], pa.list_(pa.int64())), pa.array([[x[3] for x in held]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["part", "start", "doc_ids", "sizes", "control", "data"])
+            control, data = pack_ranks(shared.value[np.frombuffer(b"".join(raw), "<u2")])
+            cells = [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(cells, ["part", "start", "n_ids", "doc_ids", "sizes", "control", "data"])
 
         for b in batches:
-            for row in zip(*(b[c].to_pylist() for c in ("part", "before", "id", "n", "ids")), strict=True):
-                if held and (size >= BLOCK_IDS or row[0] != held[-1][0] or row[1] != held[-1][1] + held[-1][3]):
+            for doc, n, ids in zip(b["id"].to_pylist(), b["n"].to_pylist(), b["ids"].to_pylist(), strict=True):
+                docs.append(doc)
+                sizes.append(n)
+                raw.append(ids)
+                size += n
+                if size >= BLOCK_IDS:
                     yield block()
-                    held, size = [], 0
-                held.append(row)
-                size += row[3]
-        if held:
+                    start, size, docs, sizes, raw = start + size, 0, [], [], []
+        if docs:
             yield block()
 
-    map_arrow(coded, run, "part int, start long, doc_ids array<long>, sizes array<long>, control binary, data binary").write.option("compression", "zstd").parquet(f"{where}/blocks")
+    map_arrow(dealt.select("id", "n", "ids"), run, _BLOCKS).write.option("compression", "zstd").parquet(f"{where}/blocks")
+
+
+def part_starts(blocks: DataFrame) -> DataFrame:
+    """part and base, the number of ids in all parts before it. Sums go by groups of parts, so that no task sees every part."""
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("group", F.floor(F.col("part") / GROUP_PARTS))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = parts.groupBy("group").agg(F.sum("n").alias("all")).select("group", before(Window.orderBy("group"), "all").alias("above"))  # a row for each GROUP_PARTS parts
+    inner = parts.withColumn("within", before(Window.partitionBy("group").orderBy("part"), "n"))
+    return inner.join(groups, "group").select("part", (F.col("above") + F.col("within")).alias("base"))
 
 
 def read_tokens(spark: SparkSession, where: str, ids: bool = True) -> DataFrame:
@@ -118,29 +138,27 @@ def read_tokens(spark: SparkSession, where: str, ids: bool = True) -> DataFrame:
 
     ids_crc32 is the unsigned crc32 of the ids as little-endian 32-bit integers. Without ``ids`` that column is left out.
     """
-    token_of = np.array([r["token"] for r in spark.read.schema("rank int, token int").parquet(f"{where}/ranks").orderBy("rank").collect()], np.uint32)
-    blocks = spark.read.schema("part int, start long, doc_ids array<long>, sizes array<long>, control binary, data binary").parquet(f"{where}/blocks")
-    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    base, seen = {}, 0
-    for r in blocks.groupBy("part").agg(F.sum(total).alias("n")).orderBy("part").collect():  # one row for each part
-        base[r["part"]] = seen
-        seen += r["n"]
-    shared = spark.sparkContext.broadcast((token_of, base))
+    token_of = np.array([r["token"] for r in spark.read.schema("rank int, token int").parquet(f"{where}/ranks").orderBy("rank").collect()], np.uint32)  # a row for each id of the vocabulary
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{where}/blocks")
+    starts = stage(part_starts(blocks.select("part", "n_ids")), "token-starts")
+    based = blocks.join(F.broadcast(starts) if starts.count() <= BROADCAST_PARTS else starts, "part")
+    shared = spark.sparkContext.broadcast(token_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, base = shared.value
+        token = shared.value
         for b in batches:
             for i in range(len(b)):
-                part, start, docs, sizes, control, data = (b[c][i].as_py() for c in ("part", "start", "doc_ids", "sizes", "control", "data"))
+                base, start, docs, sizes, control, data = (b[c][i].as_py() for c in ("base", "start", "doc_ids", "sizes", "control", "data"))
                 n = np.array(sizes, np.int64)
                 flat = token[unpack_ranks(control, data, int(n.sum()))].astype("<u4")
                 ends = np.cumsum(n)
-                crc = [zlib.crc32(flat[e - s : e].tobytes()) for e, s in zip(ends, n, strict=True)]
-                columns = [pa.array(docs, pa.int64()), pa.array(base[part] + start + ends - n, pa.int64()), pa.array(n), pa.array(crc, pa.int64())]
+                raw = memoryview(flat).cast("B")
+                crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), sizes, strict=True)]
+                columns = [pa.array(docs, pa.int64()), pa.array(base + start + ends - n, pa.int64()), pa.array(n), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, ragged(flat.view(np.int32), n)] if ids else columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if ids else 4])
 
     small = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return map_arrow(blocks, run, small + (", ids array<int>" if ids else ""))
+    return map_arrow(based, run, small + (", ids array<int>" if ids else ""))
 
 
 def new_folder(spark: SparkSession) -> str:
