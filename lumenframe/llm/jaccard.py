@@ -1,8 +1,9 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full n-gram sets verify them.
 
-Equal sets are one class from the start. The classes' signatures are shuffled on band hashes, band mates are
-chained into candidate components, and a component's texts come together once (a large one in block pairs) to
-count intersections of all their n-gram sets by matrix products.
+Equal sets are one node from the start, whatever their ids. The nodes' signatures are shuffled on band hashes, band
+mates are chained into candidate components, and a component's texts come together to count intersections of their
+n-gram sets by matrix products. A large component falls into blocks of nodes that share a band, and only pairs of
+blocks with band mates in both are brought together.
 """
 
 from __future__ import annotations
@@ -16,16 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import components, map_arrow, mix64, only_listed, ragged, stage, texts_of
+from lumenframe.llm.common import by_bytes, components, join_hot, map_arrow, mix64, only_listed, ragged, stage, texts_of
 
 #: Words of an n-gram and the least similarity of a link.
 NGRAM, SIMILARITY = 5, 0.8
 #: The share of links at the least similarity that banding must find, and the hash functions it may take for that.
 RECALL, FUNCTIONS = 0.9999, 256
-#: Classes of one side of a block pair in verification.
-BLOCK = 1024
-#: Equal sets of more than this share of all documents are looked up in a broadcast table of at most 1 / HOT rows.
-HOT = 1e-3
+#: Nodes of one side of a block pair in verification, and about the n-grams of all of them; a larger node stands alone.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\w+")
 
@@ -93,7 +92,7 @@ def signature(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signatures(bands: int, rows: int, n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, "t"):
             one, two, size, sig = [], [], [], []
             for t in texts_of(b["t"]):
                 g = ngrams(t, n)
@@ -101,7 +100,7 @@ def _signatures(bands: int, rows: int, n: int) -> Callable:
                 one.append(int(g.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(np.bitwise_xor.reduce(mix64(g ^ _SEED)).view(np.int64)) if len(g) else 0)
                 sig.append(signature(g, bands, rows) if len(g) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int32()), ragged(np.concatenate(sig) if sig else np.zeros(0, np.int64), np.array([len(s) for s in sig]))], ["id", "set1", "set2", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["h"], pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int32()), ragged(np.concatenate(sig) if sig else np.zeros(0, np.int64), np.array([len(s) for s in sig]))], ["id", "h", "set1", "set2", "size", "bands"])
         _hash_of.clear()  # the worker process serves other operators next
 
     return run
@@ -138,10 +137,10 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _links(similarity: float, n: int) -> Callable:
-    """Links of the classes of one block pair: (id, links to classes, links to documents, least linked class of its part)."""
+    """Links of the nodes of one block pair: (node, links to nodes, links to documents, least linked node of its part)."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, side, copies = (table[c].to_numpy() for c in ("id", "side", "copies"))
+        ids, side, copies = (table[c].to_numpy() for c in ("node", "side", "copies"))
         grams = [ngrams(t, n) for t in texts_of(table["t"].combine_chunks())]
         size = np.array([len(g) for g in grams])
         li, ri = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -168,50 +167,70 @@ def _links(similarity: float, n: int) -> Callable:
             np.minimum.at(root, ri[b], low)
             if (was == root).all():
                 break
-        return pa.table({"id": ids, "links": classes, "documents": documents, "root": root})
+        return pa.table({"node": ids, "links": classes, "documents": documents, "root": root})
 
     return run
 
 
+def _block_pairs(members: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root, block) of all members and the (root, i, j) to verify, from members (node, root, size) and bands (node, band).
+
+    A component of one block is verified whole. In others nodes with an equal first band stand in one block, or in the
+    parts of one that would be too large; blocks i and j meet if a band has nodes in both.
+    """
+    amount = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_GRAMS))).cast("long")
+    blocks = members.groupBy("root").agg(amount.alias("blocks"))
+    one = stage(join_hot(members, blocks, ["root"]).withColumn("bucket", F.pmod(F.xxhash64("band0"), F.col("blocks"))), "join-buckets")
+    parts = one.groupBy("root", "bucket").agg(amount.alias("parts"))
+    dealt = join_hot(one, parts, ["root", "bucket"]).withColumn("block", F.when(F.col("blocks") > 1, F.shiftleft("bucket", 20) + F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0)).cast("long"))
+    dealt = stage(dealt.select("node", "root", "blocks", "block"), "join-blocks")
+    single = dealt.where("blocks = 1").select("root", F.col("block").alias("i"), F.col("block").alias("j")).distinct()
+    seen = bands.join(dealt.where("blocks > 1"), "node").select("root", "band", "block").distinct()
+    seen = stage(seen, "join-band-blocks")
+    more = seen.join(seen.select("root", "band", F.col("block").alias("other")), ["root", "band"]).where("block <= other").select("root", F.col("block").alias("i"), F.col("other").alias("j")).distinct()
+    return dealt.select("node", "root", "block"), single.unionByName(more)
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL, functions: int = FUNCTIONS) -> DataFrame:
     """Links between the documents whose word n-gram sets have a Jaccard similarity of ``similarity`` or more.
 
     One row for each row of ``df`` with a non-null id: id, class_id (the smallest id it is linked with, directly or
     through others), set_id (the smallest id with the same n-gram set), n_copies (rows of that set), n_set_links
-    (other sets linked with this one) and n_links (other documents linked with this one, copies included).
+    (other sets linked with this one) and n_links (other rows linked with this one, copies included).
 
     Words are runs of letters, digits and underscores, case folded. Texts of fewer than ``n`` words have all their
     words as their only n-gram. Null texts, and texts without a word, have no n-gram and no link: each is a class
-    of its own. Repeated rows are copies like any other, with the same ids. Rows with a null id are left out.
+    of its own. Repeated rows are copies like any other, with the same ids. Rows of one id with different texts
+    are rows of their own, each with the links of its text. Rows with a null id are left out.
     """
     bands, rows = bands_for(similarity, recall, functions)
-    read = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
-    signed = stage(map_arrow(read, _signatures(bands, rows, n), "id long, set1 long, set2 long, size int, bands array<long>"), "join-signatures")
+    read = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    signed = stage(map_arrow(read, _signatures(bands, rows, n), "id long, h long, set1 long, set2 long, size int, bands array<long>"), "join-signatures")
     # The signature is the same for all copies, so any of them will do; partial aggregation merges hot groups before the shuffle.
-    sets = stage(signed.where("size > 0").groupBy("set1", "set2").agg(F.min("id").alias("set_id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "join-sets")
-    mates = sets.select(F.col("set_id").alias("id"), F.explode("bands").alias("band"))
-    stars = mates.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("mates")).where("mates > 1")
-    edges = mates.join(stars, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    same = signed.where("size > 0").groupBy("set1", "set2").agg(F.min(F.struct("id", "h")).alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    sets = stage(same.select(F.monotonically_increasing_id().alias("node"), "set1", "set2", "rep", "n_copies", "size", "bands"), "join-sets")
+    mates = stage(sets.select("node", F.explode("bands").alias("band")), "join-bands")
+    stars = mates.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("mates")).where("mates > 1")
+    edges = join_hot(mates, stars, ["band"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     candidates = components(edges, "join-candidates")
 
-    members = stage(candidates.join(sets.select(F.col("set_id").alias("node"), "n_copies"), "node"), "join-members")
-    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    near = only_listed(read, "id", members.select(F.col("node").alias("id")))  # few texts have candidates; the others aren't shuffled
-    texts = near.join(dealt.hint("merge"), F.col("id") == F.col("node"), "inner").groupBy("id", "root", "blocks", "block", "n_copies").agg(F.first("t").alias("t"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = texts.select("id", "t", "root", F.col("n_copies").alias("copies"), "block", others)
-    pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "copies", "t")
-    found = stage(pairs.groupBy("root", "i", "j").applyInArrow(_links(similarity, n), "id long, links long, documents long, root long"), "join-links")
-    linked = found.groupBy("id").agg(F.sum("links").alias("n_set_links"), F.sum("documents").alias("linked")).where("n_set_links > 0")
-    roots = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "join-classes")
-    classes = sets.drop("bands").join(linked.withColumnRenamed("id", "set_id"), "set_id", "left").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    classes = stage(classes.select("set1", "set2", "set_id", "n_copies", F.coalesce("root", "set_id").alias("class_id"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")), "join-sets-linked")
-
-    docs = signed.select("id", "size", "set1", "set2")
-    hot = classes.where(F.col("n_copies") > F.lit(HOT * max(signed.count(), 1)))  # at most 1 / HOT sets
-    found_hot = docs.where("size > 0").join(F.broadcast(hot), ["set1", "set2"])
-    rest = docs.where("size > 0").join(F.broadcast(hot.select("set1", "set2")), ["set1", "set2"], "left_anti").join(classes, ["set1", "set2"])
+    members = stage(candidates.join(sets.select("node", "n_copies", "size", F.element_at("bands", 1).alias("band0"), F.col("rep.id").alias("id"), F.col("rep.h").alias("h")), "node"), "join-members")
+    dealt, pairs = _block_pairs(members.select("node", "root", "size", "band0"), mates)
+    near = only_listed(read, "h", members.select("h"))  # few texts have candidates; the others aren't shuffled
+    texts = near.groupBy("id", "h").agg(F.first("t").alias("t")).join(members.select("id", "h", "node", "n_copies").hint("merge"), ["id", "h"])
+    texts = stage(texts.join(dealt, "node").select("node", "root", "block", F.col("n_copies").alias("copies"), "t"), "join-texts")
+    left = pairs.join(texts, (pairs["root"] == texts["root"]) & (pairs["i"] == texts["block"])).select(pairs["root"], "i", "j", F.lit(0).alias("side"), "node", "copies", "t")
+    right = pairs.where("i < j").join(texts, (pairs["root"] == texts["root"]) & (pairs["j"] == texts["block"])).select(pairs["root"], "i", "j", F.lit(1).alias("side"), "node", "copies", "t")
+    found = stage(left.unionByName(right).groupBy("root", "i", "j").applyInArrow(_links(similarity, n), "node long, links long, documents long, root long"), "join-links")
+
+    linked = found.groupBy("node").agg(F.sum("links").alias("n_set_links"), F.sum("documents").alias("linked")).where("n_set_links > 0")
+    roots = stage(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "join-classes").join(sets.select("node", F.col("rep.id").alias("set_id")), "node"), "join-roots")
+    least = roots.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    inside = join_hot(roots, least, ["root"]).select("node", "class_id")
+    classes = sets.select("node", "set1", "set2", F.col("rep.id").alias("set_id"), "n_copies").join(linked, "node", "left").join(inside, "node", "left")
+    classes = stage(classes.select("set1", "set2", "set_id", "n_copies", F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")), "join-sets-linked")
+
     out = ["id", "class_id", "set_id", "n_copies", "n_set_links", "n_links"]
-    none = docs.where("size = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("set_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_set_links"), F.lit(0).cast("long").alias("n_links"))
-    return found_hot.select(out).unionByName(rest.select(out)).unionByName(none)
+    found = join_hot(signed.where("size > 0").select("id", "set1", "set2"), classes, ["set1", "set2"])
+    none = signed.where("size = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("set_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_set_links"), F.lit(0).cast("long").alias("n_links"))
+    return found.select(out).unionByName(none)
