@@ -41,11 +41,46 @@ def test_top_k_of_odd_rows(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).collect() == []
 
 
-def test_large_components_take_the_integer_path():
-    q = np.array([[topk.LIMIT, -topk.LIMIT] * 40])
-    v = np.array([[topk.LIMIT] * 80, [topk.LIMIT, -topk.LIMIT] * 40, [0] * 80])
-    a, b, s = topk.best_of_block(q, np.array([1, 2, 3]), v, np.array([9]), 2)
-    assert b.tolist() == [1, 0] and s.tolist() == [80 * topk.LIMIT**2, 0] and a.tolist() == [0, 0]
+@pytest.mark.parametrize("top", [1 << 24, 1 << 40, 1 << 62, (1 << 63) - 1])
+def test_large_components_are_exact(top):
+    rng = np.random.default_rng(top % 97)
+    q, v = rng.integers(-top, top, (6, 40)), rng.integers(-top, top, (90, 40))
+    v[7] = v[3] = v[50]
+    ids = rng.permutation(90)
+    a, b, s = topk.best_of_block(q, ids, v, np.arange(6), 5)
+    want = []
+    for i, x in enumerate(q.tolist()):
+        score = {int(ids[j]): min(max(sum(c * e for c, e in zip(x, y, strict=True)), -(1 << 63)), (1 << 63) - 1) for j, y in enumerate(v.tolist()) if ids[j] != i}
+        want += [(i, j, score[j]) for j in sorted(score, key=lambda j: (-score[j], j))[:5]]
+    assert list(zip(a.tolist(), ids[b].tolist(), s.tolist(), strict=True)) == want
+
+
+def test_top_k_above_all_limits_equals_sql(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [rng.choice([1, -1]) * rng.uniform(1, 2) * 10.0 ** rng.choice([3, 5, 6]) for _ in range(8)]) for i in range(120)] + [(1000, [300000.0] * 8), (1001, [900000.0] * 8), (1020, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = oracle(str(tmp_path), queries.oracle_sql()["op1_topk"], ["embeddings"])
+    assert collected(queries.op1_topk(spark, str(tmp_path))) == want
+    monkeypatch.setattr(topk, "QUERY_CELLS", 20)  # several blocks of queries
+    assert collected(queries.op1_topk(spark, str(tmp_path))) == want
+
+
+def test_the_running_bound_keeps_all_of_the_best():
+    rng = np.random.default_rng(5)
+    q, v, ids = rng.integers(-3, 4, (9, 33)), rng.integers(-3, 4, (500, 33)), rng.permutation(500)
+    best = topk.Best(np.arange(9), q, 6)
+    for low in range(0, 500, 60):
+        best.add(ids[low : low + 60], v[low : low + 60])
+    assert [(r, i, s) for r, i, s in zip(best.row.tolist(), best.vec.tolist(), best.score.tolist(), strict=True)] == [
+        (i, j, s) for i in range(9) for s, j in sorted(((int(q[i] @ v[t]), int(ids[t])) for t in range(500) if ids[t] != i), key=lambda x: (-x[0], x[1]))[:6]
+    ]
+
+
+def test_huge_components_have_a_defined_score(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 1.0]), (4, [1e300, 5.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r)[1:] for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 1, (1 << 63) - 1), (2, 4, (1 << 63) - 1), (3, 3, 4096), (4, 2, -(1 << 63))]
 
 
 def test_top_k_query_equals_sql(spark):

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, htmltext, jaccard, media, packing, queries, tokenio, units
+from lumenframe.llm import bpe, common, htmltext, jaccard, media, packing, queries, tokenio, units
 from tests.helpers import collected, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +29,7 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, start string").withColumn("n_tokens", F.lit("clash"))
 
 
+@lru_cache
 def library(path):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -35,6 +37,24 @@ def library(path):
     return Tokenizer.from_file(path)
 
 
+#: Blank lines, tabs, runs of spaces, contractions, special tokens and white space that libraries read in different ways.
+GAPS = [
+    "a\n\nb", "a \n b", "a\t\tb  c", "  a", "a  ", "\n\n", "a\u00a0 b", "a\u00a0b", "é\u2003 b", "b\u3000 c", "a\x1c b", "a\x85 b", "don't we'll l'homme O'S", "a<|endoftext|>b", "a <|endoftext|> b<|startoftext|>.", "3.14, 1,000!! x_y",
+    "e\u0301 a\u0308b", "<\u0338 =\u0338", "İstanbul ıı ŒUVRE œuvre ß", "naïve, café; où?", "x×y÷z.", "ΑΣ ΟΔΟΣ. Ж, й", "\u180e \u200b x", "a.\u0301 b",
+]
+
+
+@pytest.mark.parametrize("kept", [1_000_000, 6])
+@pytest.mark.parametrize("path,spaced", [(BYTES, True), (WORDS, False)])
+def test_units_encode_as_whole_texts_do(path, spaced, kept):
+    texts = [*ODD, *GAPS, *(g.join(ODD) for g in (" ", "\n\n", "\t", "  ")), "y " * 300, "z" * 250 + " z"]
+    encoder, tok = units.UnitEncoder(units.LibraryWords(path, spaced), kept=kept), library(path)
+    for _ in range(3):  # known units, and a table that drops some
+        ids, sizes = encoder.encode_many(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.known) <= max(kept, 6) and encoder.encode_many([])[0].size == 0
+
+
 @pytest.mark.parametrize("path,spaced", [(BYTES, True), (WORDS, False)])
 def test_words_encode_as_whole_texts_do(path, spaced):
     import duckdb
@@ -46,7 +66,7 @@ def test_words_encode_as_whole_texts_do(path, spaced):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("ab cé.,'\n\t12!s<|>İ́日"), max_size=30), min_size=1, max_size=4))
+@given(st.lists(st.text(alphabet=st.sampled_from("ab cé.,'\n\t12!s<|>İ́日\u00a0\u2003\u0338="), max_size=30), min_size=1, max_size=4))
 def test_numpy_bpe_equals_the_library(texts):
     tok, own = library(BYTES), bpe.load(BYTES)
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
@@ -120,6 +140,13 @@ def check_packing(rows, want):
     return spans
 
 
+def test_batches_by_bytes():
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(k, k + 5)), "t": ["x" * n for n in sizes]}) for k, sizes in ((0, (1, 1, 1, 1, 1)), (5, (30, 1, 9, 2, 8)), (10, (0, 0, 0, 0, 0)))]
+    got = [(b["i"].to_pylist(), sum(map(len, b["t"].to_pylist()))) for b in common.by_bytes(iter(batches), "t", 10)]
+    assert [i for x, _ in got for i in x] == list(range(15)) and [n for _, n in got] == [35, 10, 10, 0]
+    assert list(common.by_bytes(iter([]), "t")) == []
+
+
 def test_packing_of_odd_documents(spark, docs):
     tok = library(WORDS)
     want = [(r["doc_id"], [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in docs.collect()]
@@ -262,6 +289,9 @@ def test_join_equals_brute_force(spark, monkeypatch):
     got = {tuple(r) for r in jaccard.ngram_join(df).collect()}
     assert got == brute_join(rows)
     monkeypatch.setattr(jaccard, "BLOCK", 4)  # components fall into several block pairs
+    monkeypatch.setattr(common, "HOT_ROWS", 3)  # and some keys count as hot
+    assert {tuple(r) for r in jaccard.ngram_join(df).collect()} == got
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 100)
     assert {tuple(r) for r in jaccard.ngram_join(df).collect()} == got
     assert jaccard.ngram_join(df.limit(0)).count() == 0
 
@@ -271,6 +301,55 @@ def test_join_takes_repeated_rows_as_copies(spark):
     assert sorted(tuple(r) for r in jaccard.ngram_join(df).collect()) == [(1, 1, 1, 3, 0, 2), (1, 1, 1, 3, 0, 2), (2, 1, 1, 3, 0, 2)]
 
 
+def brute_rows(rows, n=5, similarity=0.8):
+    """As ``brute_join``, row by row: an id may have several texts."""
+    keyed = brute_join([(k, t) for k, (_, t) in enumerate(rows)], n, similarity)
+    id_of = [i for i, _ in rows]
+    classes, sets = defaultdict(list), defaultdict(list)
+    for k, c, s, *_ in keyed:
+        classes[c].append(id_of[k])
+        sets[s].append(id_of[k])
+    return sorted((id_of[k], min(classes[c]), min(sets[s]), *rest) for k, c, s, *rest in keyed)
+
+
+def test_one_id_with_several_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    a, b = ([rng.choice("abcdefghijkl") + str(rng.randrange(99)) for _ in range(60)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join([*b, "more"])), (7, " ".join([*a, "more"])), (5, " ".join(a)), (2, " ".join([*a, "other"])), (5, None), (5, ""), (9, " ".join(b).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_rows(rows)
+    assert sorted(map(tuple, jaccard.ngram_join(df).collect())) == want
+    assert {r[1] for r in want if r[0] == 6} == {5} and {r[1] for r in want if r[0] == 7} == {2}
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 1)
+    assert sorted(map(tuple, jaccard.ngram_join(df).collect())) == want
+
+
+def test_recall_just_above_the_threshold():
+    """Of pairs with a similarity of 0.80 to 0.85, by the hash functions in use, 0.99 or more share a band."""
+    rng = np.random.default_rng(8)
+    bands, rows = jaccard.bands_for()
+    hit = total = 0
+    for _ in range(300):
+        shared = int(rng.integers(160, 400))
+        extra = int(shared * rng.uniform(0.18, 0.249))
+        words = [f"w{x}" for x in rng.integers(0, 10**9, shared + extra)]
+        one = int(rng.integers(0, extra + 1))
+        left, right = (np.unique(np.concatenate([jaccard.ngrams(w, 1) for w in part])) for part in (words[: shared + one], words[:shared] + words[shared + one :]))
+        jac = len(np.intersect1d(left, right)) / len(np.union1d(left, right))
+        if 0.8 <= jac <= 0.85:
+            total += 1
+            hit += bool((jaccard.signature(left, bands, rows) == jaccard.signature(right, bands, rows)).any())
+    assert total > 200 and hit / total >= 0.99
+
+
+def test_components_with_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 160)] + [(200, 201), (201, 200), (300, 300)]
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {**dict.fromkeys(range(40), 0), **dict.fromkeys(range(100, 161), 100), 200: 200, 201: 200}
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.bands_for()
     assert (1 - jaccard.SIMILARITY**rows) ** bands <= 1 - jaccard.RECALL and bands * rows <= jaccard.FUNCTIONS
