@@ -100,24 +100,37 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-def only_listed(df: DataFrame, key: str, listed: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
-    """``df`` without most rows whose ``key`` isn't in ``listed`` (key): what is left is a superset of the semi-join.
+def _bitmap(listed: DataFrame, key: str, most_bits: int) -> tuple[DataFrame, Column]:
+    """A one-row table of a bitmap of hashed keys, and the condition that a key's bit is set in it.
 
-    A bitmap of hashed keys, eight bits or more a key but ``most_bits`` (16 MB) at most, is broadcast as one row,
-    so the join without a key makes no more rows than ``df`` has; with more keys it lets more other rows through, and the join that follows drops them.
+    It has eight bits or more a key but ``most_bits`` (16 MB) at most; with more keys it says yes to more other rows.
     """
-    spark = df.sparkSession
     bits = 1 << 16
     while bits < min(8 * listed.count(), most_bits):
         bits *= 2
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
-    one = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({c} as long)), {bits}) % 64 as int))")
-    words = listed.groupBy(F.floor(slot(key) / 64).alias("i")).agg(F.bit_or(one(key)).alias("w")).toArrow()  # bits / 64 rows at most
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast({key} as long)), {bits}) % 64 as int))")
+    words = listed.groupBy(F.floor(slot / 64).alias("i")).agg(F.bit_or(one).alias("w")).toArrow()  # bits / 64 rows at most
     dense = np.zeros(bits // 64, np.int64)
     dense[words["i"].to_numpy()] = words["w"].to_numpy()
-    row = spark.createDataFrame(pa.table({"_bits": ragged(dense, np.array([len(dense)]))}))
-    kept = df.join(F.broadcast(row)).where(F.get("_bits", F.floor(slot(key) / 64).cast("int")).bitwiseAND(one(key)) != 0)
-    return kept.drop("_bits")
+    row = listed.sparkSession.createDataFrame(pa.table({"_bits": ragged(dense, np.array([len(dense)]))}))
+    return row, F.get("_bits", F.floor(slot / 64).cast("int")).bitwiseAND(one) != 0
+
+
+def only_listed(df: DataFrame, key: str, listed: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """``df`` without most rows whose ``key`` isn't in ``listed`` (key): what is left is a superset of the semi-join.
+
+    The bitmap is broadcast as one row, so the join without a key makes no more rows than ``df`` has.
+    """
+    row, listed_too = _bitmap(listed, key, most_bits)
+    return df.join(F.broadcast(row)).where(listed_too).drop("_bits")
+
+
+def without_listed(df: DataFrame, key: str, listed: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """``df`` without the rows whose ``key``, never null, is in ``listed`` (key). Only rows that a bitmap can't clear are shuffled."""
+    row, listed_too = _bitmap(listed, key, most_bits)
+    marked = df.join(F.broadcast(row))
+    return marked.where(~listed_too).drop("_bits").unionByName(marked.where(listed_too).drop("_bits").join(listed, key, "left_anti"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

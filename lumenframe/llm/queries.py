@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, htmltext, jaccard, langid, licenses, media, packing, tokenio, topk, toxicity
+from lumenframe.llm import bpe, htmltext, jaccard, langid, licenses, media, packing, pipeline, tokenio, topk, toxicity
 from lumenframe.llm.common import stage
-
-
-def tokenizer_path(name: str) -> str:
-    """A public tokenizer's file: in the folder LUMENFRAME_TOKENIZERS names, else where the package keeps it."""
-    if where := os.environ.get("LUMENFRAME_TOKENIZERS"):
-        return os.path.join(where, name)
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from lumenframe.llm.sources import table, tokenizer_path
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,10 +73,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpus_pipeline import run
-
     own = (op1_topk, op2_langid, op3_licenses, op4_toxicity, op5_media, op6_html, op7_bpe, op8_tokenio, op9_packing, op10_ngram_join)
-    return {f.__name__: f for f in own} | {"pipeline": run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 OP1_SQL = """
@@ -168,11 +153,9 @@ near AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpus_pipeline import ORACLE_SQL
-
     found = {
         "op1_topk": OP1_SQL,
         "op3_licenses": _licenses_sql(),
         "op10_ngram_join": f"WITH RECURSIVE {near_sql()} SELECT doc_id, class_id, set_id, n_copies, n_set_links, n_links FROM near",
     }
-    return found | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return found | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

@@ -1,38 +1,42 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, similarity-weighted votes."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes."""
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator, Sequence
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import bucket_of, map_arrow, ragged, stage, texts_of
+from lumenframe.llm.common import bucket_of, by_bytes, map_arrow, ragged, spans, stage
+from lumenframe.llm.units import UnitEncoder
 
-#: At most so many labelled documents are examples (the smallest id hashes); the fit's documented bound.
-EXAMPLES = 8192
+#: The fit's documented bounds: at most so many labelled texts are examples (the smallest hashes), with so many distinct
+#: words in all, and so many of them calibrate the votes.
+EXAMPLES, EXAMPLE_WORDS, CALIBRATION = 4096, 4_000_000, 1024
 #: Neighbours that vote, examples in one block of the index, and the weight of the prior beside the votes.
 K, BLOCK, PRIOR_WEIGHT = 15, 64, 0.25
-#: A term must be in so many examples at least to be tested.
-LEAST_DF = 3
+#: A term must be in so many examples at least to be tested; terms that tell label 1 weigh so many times their TF-IDF.
+LEAST_DF, TELLING_WEIGHT = 3, 64.0
+#: Units in a task's table of those seen.
+KEPT = 300_000
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """Terms of a lower-case word: the word itself and its beginnings of four to eight letters, shared by its endings."""
-    word = word[:48]
-    return (word + "$", *("^" + word[:n] for n in range(4, min(len(word), 8) + 1)))
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters and digits, whole."""
+    return _WORD.findall(text.lower())
 
 
-def term_set(text: str) -> set[str]:
-    return {t for word in set(_WORD.findall(text.lower())) for t in terms_of(word)}
+def beginnings(word: str) -> list[str]:
+    """A word's beginnings of four to eight letters, which its inflected forms share."""
+    return [word[:n] for n in range(4, min(len(word), 8) + 1)]
 
 
 def telling(df: np.ndarray, ones: np.ndarray, n: int, pos: int) -> np.ndarray:
@@ -50,116 +54,190 @@ def telling(df: np.ndarray, ones: np.ndarray, n: int, pos: int) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """The terms that tell label 1, and the share of label 1 among examples that have none of them."""
-
-    number: dict[str, int]
-    rate_without: float
-    rate: float
-
+    """Numbers of all words of the examples, then of the beginnings that tell label 1; and which numbers tell it."""
+
+    words: dict[str, int]
+    heads: dict[str, int]
+    tells: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.heads)
+
+    def encode(self, units: Sequence[str]) -> list[list[int]]:
+        """Term numbers of each unit's words; a word of no example gets a number of its own behind all others."""
+        import xxhash
+
+        out = []
+        for u in units:
+            found = []
+            for w in words_of(u):
+                n = self.words.get(w)
+                found.append(len(self) + (xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & 0xFFFFFFFFF) if n is None else n)
+                if self.heads:
+                    found += [self.heads[h] for h in beginnings(w) if h in self.heads]
+            out.append(found)
+        return out
+
+
+def learn_vocabulary(words: list[list[str]], labels: np.ndarray) -> Vocabulary:
+    """The vocabulary of examples, given as their distinct words. A beginning counts once for each example that has it."""
+    number = {w: i for i, w in enumerate(sorted({w for x in words for w in x}))}
+    heads: dict[str, int] = {}
+    of_word = [[heads.setdefault(h, len(heads)) for h in beginnings(w)] for w in number]
+    df, ones = np.zeros(len(number) + len(heads), np.int64), np.zeros(len(number) + len(heads), np.int64)
+    for x, y in zip(words, labels.tolist(), strict=True):
+        at = [number[w] for w in x]
+        at += [len(number) + h for h in {h for w in at for h in of_word[w]}]
+        df[at] += 1
+        if y:
+            ones[at] += 1
+    tells, n, pos = np.zeros(len(df), bool), len(labels), int(labels.sum())
+    seen = np.flatnonzero(df >= LEAST_DF)
+    if 0 < pos < n and len(seen):
+        tells[seen] = telling(df[seen], ones[seen], n, pos)
+    kept = [h for h, i in heads.items() if tells[len(number) + i]]
+    return Vocabulary(number, {h: len(number) + i for i, h in enumerate(sorted(kept))}, np.concatenate((tells[: len(number)], np.ones(len(kept), bool))))
+
+
+def counted(vocabulary: Vocabulary, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the known terms in order and their counts, flat with each text's number of them, and ``other``.
+
+    ``other`` is the sum of squares of the damped counts of words of no example, which are part of a text's norm.
+    """
+    key = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 38 | flat)
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(key)))
+    text, term = key[begin] >> 38, key[begin] & (1 << 38) - 1
+    known = term < len(vocabulary)
+    other = np.bincount(text[~known], weights=(1 + np.log(count[~known])) ** 2, minlength=len(sizes)).astype(np.float64)
+    return term[known].astype(np.int32), count[known].astype(np.int32), np.bincount(text[known], minlength=len(sizes)), other
 
-class Counted(dict):
-    """Term numbers of each word seen, kept; ``vector`` counts those of a whole text."""
 
-    def __init__(self, number: dict[str, int]) -> None:
-        super().__init__()
-        self.number = number
-        self.heads = {t.strip("^$")[:4] for t in number}
+@dataclass
+class Weights:
+    """TF-IDF weights of the terms: idf over all documents, times ``TELLING_WEIGHT`` for terms that tell label 1."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number) if word[:4] in self.heads else ()
-        return found
+    idf: np.ndarray
+    unseen: float
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        hits = [t for found in filter(None, map(self.__getitem__, _WORD.findall(text.lower()))) for t in found]
-        term, count = np.unique(np.array(hits, np.int64), return_counts=True)
-        return term, count.astype(np.float64)
+    def unit(self, term: np.ndarray, count: np.ndarray, other: float) -> np.ndarray:
+        """The known terms' weights, divided by the norm of the whole text."""
+        w = (1 + np.log(count)) * self.idf[term]
+        norm = math.sqrt(float(w @ w) + other * self.unseen**2)
+        return w / norm if norm else w
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit example vectors: postings by term, and each term's largest weight in a block."""
+    """Block-max inverted index of unit example vectors.
+
+    Postings stand by term and row. For each term and block that has it, an entry holds the largest weight in the
+    block and the postings' place.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
-    start: np.ndarray
     row: np.ndarray
     weight: np.ndarray
-    block_max: np.ndarray
-    idf: np.ndarray
+    first: np.ndarray  # entries of each term
+    block: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the ``k`` most similar examples with a cosine above 0, exact, ties to earlier rows.
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the ``k`` most similar examples with a cosine above 0, exact, ties to smaller ids; not row ``but``.
 
         Blocks are opened in order of their upper bound, the sum of the terms' block maxima; the search ends at
         the first block whose bound is below the k-th best cosine so far.
         """
-        bound = weight @ self.block_max[term]
+        n = self.first[term + 1] - self.first[term]
+        entry, mine = spans(self.first[term], n), np.repeat(weight, n)
+        block = self.block[entry]
+        bound = np.bincount(block, weights=mine * self.most[entry], minlength=-(-len(self.ids) // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        best_row, best = np.zeros(0, np.int64), np.zeros(0)
+        score = np.zeros(len(self.ids))
+        rows, best = np.zeros(0, np.int64), np.zeros(0)
         at, width = 0, 4
         while at < len(order) and bound[order[at]] > 0 and (len(best) < k or bound[order[at]] >= best[-1] - 1e-9):
-            opened = order[at : at + width]
-            at, width = at + width, width * 2
-            score = np.zeros((len(opened), BLOCK))
-            for t, w in zip(term, weight, strict=True):
-                lo, hi = self.start[t], self.start[t + 1]
-                rows = self.row[lo:hi]
-                left = np.searchsorted(rows, opened * BLOCK)
-                right = np.searchsorted(rows, (opened + 1) * BLOCK)
-                for b in np.flatnonzero(right > left):
-                    part = slice(left[b], right[b])
-                    score[b, rows[part] - opened[b] * BLOCK] += w * self.weight[lo:hi][part]
-            rows = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            score = np.round(score.ravel(), 12)
-            hit = score > 0
-            best_row, best = np.concatenate((best_row, rows[hit])), np.concatenate((best, score[hit]))
-            keep = np.lexsort((best_row, -best))[:k]
-            best_row, best = best_row[keep], best[keep]
-        return best_row, best
-
-
-def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(counts)) * idf
-    return w / math.sqrt(float(w @ w))
-
-
-def build(vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, idf: np.ndarray) -> Index:
-    """Index of the examples with at least one term; like examples stand together, so that blocks have tight bounds."""
-    rows = [i for i, (t, _) in enumerate(vectors) if len(t)]
-    weights = {i: unit(vectors[i][1], idf[vectors[i][0]]) for i in rows}
-    rows.sort(key=lambda i: (int(vectors[i][0][weights[i].argmax()]), tuple(vectors[i][0].tolist()), int(ids[i])))
-    blocks = max(1, -(-len(rows) // BLOCK))
-    term = np.concatenate([vectors[i][0] for i in rows]) if rows else np.zeros(0, np.int64)
-    weight = np.concatenate([weights[i] for i in rows]) if rows else np.zeros(0)
-    row = np.repeat(np.arange(len(rows)), [len(vectors[i][0]) for i in rows]) if rows else np.zeros(0, np.int64)
+            opened = np.zeros(len(bound), bool)
+            opened[order[at : at + width]] = True
+            at, width = at + width, width * 4
+            now = opened[block]
+            size = self.length[entry[now]]
+            post = spans(self.start[entry[now]], size)
+            hit = self.row[post]
+            score += np.bincount(hit, weights=np.repeat(mine[now], size) * self.weight[post], minlength=len(score))
+            rows = np.concatenate((rows, np.unique(hit)))
+            rows = rows[rows != but]
+            best = np.round(score[rows], 12)
+            if len(rows) > k:
+                stay = best >= np.partition(best, len(best) - k)[len(best) - k]
+                rows, best = rows[stay], best[stay]
+            keep = np.lexsort((rows, self.ids[rows], -best))[:k]
+            rows, best = rows[keep], best[keep]
+        return rows[best > 0], best[best > 0]
+
+
+def build(vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, terms: int) -> Index:
+    """Index of unit vectors (term, weight). Like examples stand together, so that blocks have tight bounds.
+
+    Examples are in order of their heaviest term if label 1 is told by it, then of their most frequent term that less
+    than half of the examples have, which is mostly a word of their language.
+    """
+    df = np.bincount(np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64), minlength=terms)
+    common = np.where(df * 2 < max(len(vectors), 1), df, -1)
+    heavy = [int(t[w.argmax()]) if len(t) and w.max() > 0.3 else terms for t, w in vectors]
+    usual = [int(t[common[t].argmax()]) if len(t) else terms for t, _ in vectors]
+    rows = sorted(range(len(vectors)), key=lambda i: (heavy[i], usual[i], int(ids[i]), vectors[i][0].tolist()))
+    size = np.array([len(vectors[i][0]) for i in rows], np.int64)
+    term = np.concatenate([vectors[i][0] for i in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    weight = np.concatenate([vectors[i][1] for i in rows]) if rows else np.zeros(0)
+    row = np.repeat(np.arange(len(rows)), size)
     order = np.lexsort((row, term))
     term, weight, row = term[order], weight[order], row[order]
-    top = np.zeros((len(idf), blocks))
-    np.maximum.at(top, (term, row // BLOCK), weight)
-    return Index(ids[rows], labels[rows].astype(float), np.searchsorted(term, np.arange(len(idf) + 1)), row, weight, top, idf)
-
-
-def vote(index: Index, vocabulary: Vocabulary, row: np.ndarray, cosine: np.ndarray) -> float:
-    """Votes weighted by closeness: cosine to the fourth over the distance, with the prior as one more vote."""
-    w = cosine**4 / (1.05 - np.minimum(cosine, 1.0))
-    return float((w @ index.labels[row] + PRIOR_WEIGHT * vocabulary.rate) / (w.sum() + PRIOR_WEIGHT))
+    start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (row[1:] // BLOCK != row[:-1] // BLOCK)]) if len(term) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(term)))
+    most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+    return Index(np.asarray(ids)[rows], np.asarray(labels, float)[rows], row.astype(np.int32), weight, np.searchsorted(term[start], np.arange(terms + 1)), (row[start] // BLOCK).astype(np.int32), most, start, length)
 
 
 @dataclass
 class Scorer:
-    vocabulary: Vocabulary
-    index: Index
+    """Votes of the nearest examples, calibrated: ``raw`` and ``real`` are points of a rising curve from votes to scores."""
 
-    def __call__(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score, the examples' ids (evidence) and their cosines; without a term, the rate of such examples."""
-        if not len(term):
-            return self.vocabulary.rate_without, np.zeros(0, np.int64), np.zeros(0)
-        row, cosine = self.index.nearest(term, unit(count, self.index.idf[term]))
+    weights: Weights
+    index: Index
+    rate: float
+    raw: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    real: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+
+    def vote(self, row: np.ndarray, cosine: np.ndarray) -> float:
+        """The label-1 share of the votes: cosine to the fourth over the distance, with the prior as one more vote."""
+        w = cosine**4 / (1.05 - np.minimum(cosine, 1.0))
+        return float((w @ self.index.labels[row] + PRIOR_WEIGHT * self.rate) / (w.sum() + PRIOR_WEIGHT))
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Fits the curve to votes and labels of examples by pooling neighbours until shares of label 1 rise with the votes."""
+        if not 0 < labels.sum() < len(labels):
+            return
+        pools: list[list[float]] = []  # sum of labels, number, sum of votes
+        for v, y in sorted(zip(votes.tolist(), labels.tolist(), strict=True)):
+            pools.append([y, 1.0, v])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        self.raw = np.array([v / n for _, n, v in pools])
+        self.real = np.maximum.accumulate([(y + self.rate) / (n + 1) for y, n, _ in pools])
+
+    def __call__(self, term: np.ndarray, count: np.ndarray, other: float, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score, the examples' ids (evidence) and their cosines; without a word of an example, the rate of label 1."""
+        if not len(term) or not len(self.index.ids):
+            return self.rate, np.zeros(0, np.int64), np.zeros(0)
+        row, cosine = self.index.nearest(term.astype(np.int64), self.weights.unit(term, count, other), but=but)
         if not len(row):
-            return self.vocabulary.rate_without, np.zeros(0, np.int64), np.zeros(0)
-        return vote(self.index, self.vocabulary, row, cosine), self.index.ids[row], cosine
+            return self.rate, np.zeros(0, np.int64), np.zeros(0)
+        return float(np.interp(self.vote(row, cosine), self.raw, self.real)), self.index.ids[row], cosine
 
 
 def clean_labels(labels: DataFrame, id_col: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -174,84 +252,120 @@ def train_rows(labels: DataFrame, rows: int = EXAMPLES) -> DataFrame:
     return labels.where(place < F.lit(min(1.0, rows / max(n, 1) if n > rows else 1.0)))
 
 
+def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in by_bytes(batches, "t"):
+        found = [sorted(Counter(words_of(t or "")).items()) for t in b["t"].to_pylist()]
+        words, counts = ([[x[i] for x in f] for f in found] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([b["id"], b["y"], b["place"], pa.array(list(map(len, found)), pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["id", "y", "place", "n", "words", "counts"])
+
+
+def _examples(df: DataFrame, labels: DataFrame, rows: int) -> list[dict]:
+    """Examples (id, y, words, counts) in order of a hash of id and text: the smallest ones, within the bounds on rows and words."""
+    chosen = F.broadcast(train_rows(labels, rows))  # about ``rows`` rows
+    read = df.select(F.col("id"), F.xxhash64("id", "t").alias("place"), F.col("t")).join(chosen, "id").dropDuplicates(["id", "place"])  # equal rows are one example
+    found = stage(map_arrow(read.select("id", "y", "place", "t"), _example_words, "id long, y int, place long, n long, words array<string>, counts array<int>"), "tox-examples")
+    sizes = found.select("place", "n").orderBy("place").limit(rows).collect()
+    last, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > EXAMPLE_WORDS and last is not None:
+            break
+        last = r["place"]
+    if last is None:
+        return []
+    taken = found.where((F.col("place") <= last) & (F.col("n") <= EXAMPLE_WORDS)).orderBy("place").limit(rows)
+    return taken.select("id", "y", "words", "counts").toArrow().to_pylist()  # within the bounds
+
+
 def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", rows: int = EXAMPLES) -> DataFrame:
     """``keep`` columns, score (0 to 1), predicted (0 or 1) and the evidence of every row's whole text.
 
-    ``labels`` (id, y) are the labels to learn from, as ``clean_labels`` makes them; at most about ``rows`` of
-    them become examples. Document frequencies are counted over all of ``df``. Evidence is an array of
-    (id, cosine) of the nearest examples.
+    ``labels`` (id, y) are the labels to learn from, as ``clean_labels`` makes them; about ``rows`` of them at most
+    become examples. Terms are all words of a text and those word beginnings that tell label 1; terms that tell it
+    weigh ``TELLING_WEIGHT`` times their TF-IDF. Norms are over whole texts: a word of no example weighs as one that
+    is in no other document. Document frequencies are counted over all of ``df``. Scores are votes of the ``K``
+    nearest examples, calibrated on votes on examples by the others. Evidence is the ids and cosines of these nearest.
 
-    Null and empty texts, and texts without a known term, get the smoothed rate of label 1 among examples
-    without one, which is 0 without any examples. Repeated
-    rows get equal scores; a repeated id among the examples' texts counts with each text.
+    Null and empty texts, and texts without a word of an example, get the smoothed rate of label 1, which is 0 without
+    any examples, and no evidence. Repeated rows get equal scores; a repeated id among the examples' texts counts
+    with each different text.
     """
     spark = df.sparkSession
-    chosen = F.broadcast(train_rows(labels, rows))  # bounded by ``rows``
-    words = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(chosen, "id")
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            df_, ones = Counter(), Counter()
-            for y, t in zip(b["y"].to_pylist(), texts_of(b["t"]), strict=True):
-                found = term_set(t)
-                df_.update(found)
-                if y:
-                    ones.update(found)
-            yield pa.RecordBatch.from_pydict({"t": pa.array(list(df_), pa.string()), "df": pa.array(list(df_.values()), pa.int64()), "a": pa.array([ones[k] for k in df_], pa.int64())})
-
-    counts = map_arrow(words, partial, "t string, df long, a long").groupBy("t").agg(F.sum("df").alias("df"), F.sum("a").alias("a"))
-    known = counts.where(F.col("df") >= LEAST_DF).select("df", "a", "t").toArrow()  # terms of a bounded sample
-    n, pos = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    chosen_terms: list[str] = []
-    if 0 < pos < n and len(known):
-        fits = telling(known["df"].to_numpy(), known["a"].to_numpy(), n, pos)
-        chosen_terms = known["t"].filter(pa.array(fits)).to_pylist()
-    vocabulary = Vocabulary({t: i for i, t in enumerate(sorted(chosen_terms))}, 0.0, (pos + 0.5) / (n + 1) if n else 0.0)
-    number = spark.sparkContext.broadcast(vocabulary.number)
+    names = [f"k{i}" for i in range(len(keep))]
+    read = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), *([] if text in keep else [F.col(text).alias("t")]))
+    types, words = dict(read.dtypes), f"k{keep.index(text)}" if text in keep else "t"
+    examples = _examples(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")), labels, rows)
+    y = np.array([r["y"] for r in examples], np.int64)
+    vocabulary = learn_vocabulary([r["words"] for r in examples], y)
+    rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = Counted(number.value)
-        for b in batches:
-            found = [counted.vector(t) for t in texts_of(b["t"])]
-            size = np.array([len(x[0]) for x in found])
-            flat = lambda i, kind: np.concatenate([x[i] for x in found]).astype(kind) if len(found) else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), ragged(flat(0, np.int32), size), ragged(flat(1, np.int32), size)], [*names, "term", "cnt"])
+        known = shared.value
+        encoder = UnitEncoder(known.encode, KEPT, np.int64)
+        for b in by_bytes(batches, words):
+            term, count, size, other = counted(known, *encoder.encode_many(b[words]))
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), ragged(term, size), ragged(count, size), pa.array(other)], [*names, "term", "cnt", "other"])
 
-    names = ["id", *(f"k{i}" for i in range(len(keep)))]
-    read = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), F.col(text).alias("t"))
-    types = dict(read.dtypes)
-    sparse = stage(map_arrow(read, vectors, ", ".join(f"{n} {types[n]}" for n in names) + ", term array<int>, cnt array<int>"), "tox-vectors")
+    schema = "".join(f"{n} {types[n]}, " for n in names) + "term array<int>, cnt array<int>, other double"
+    sparse = stage(map_arrow(read, vectors, schema), "tox-vectors")
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            n += np.bincount(b["term"].flatten().to_numpy(), minlength=len(n))
+        seen = np.flatnonzero(n)
+        for low in range(0, len(seen), 1 << 16):
+            part = seen[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"term": pa.array(part, pa.int32()), "n": pa.array(n[part])})
 
-    counted = {r["term"]: r["n"] for r in sparse.select(F.explode("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each term of the vocabulary
     total = sparse.count()
-    idf = np.array([math.log((total + 1) / (counted.get(i, 0) + 1)) + 1 for i in range(len(vocabulary.number))])
-    examples = sparse.join(chosen, "id").select("id", "y", "term", "cnt").collect()  # bounded by ``rows``
-    without = [r["y"] for r in examples if not r["term"]]
-    vocabulary.rate_without = (sum(without) + vocabulary.rate) / (len(without) + 1)
-    examples.sort(key=lambda r: (r["id"], r["term"], r["cnt"]))
-    index = build([(np.array(r["term"], np.int64), np.array(r["cnt"], np.float64)) for r in examples], np.array([r["id"] for r in examples], np.int64), np.array([r["y"] for r in examples], np.int64), idf)
-    scorer = spark.sparkContext.broadcast(Scorer(vocabulary, index))
+    seen = map_arrow(sparse.select("term"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the vocabulary
+    df_ = np.zeros(len(vocabulary))
+    df_[seen["term"].to_numpy()] = seen["n"].to_numpy()
+    weights = Weights((np.log((total + 1) / (df_ + 1)) + 1) * np.where(vocabulary.tells, TELLING_WEIGHT, 1.0), math.log(total + 1) + 1)
+
+    of_word = dict(zip(vocabulary.words, vocabulary.encode(list(vocabulary.words)), strict=True))
+    arrays = []
+    for r in examples:  # all their words are known
+        terms = [of_word[w] for w in r["words"]]
+        term, number = np.unique(np.array([t for x in terms for t in x], np.int64), return_inverse=True)
+        arrays.append((term, np.bincount(number, weights=np.repeat(r["counts"], [len(x) for x in terms]), minlength=len(term)) if len(term) else np.zeros(0)))
+    ids = np.array([r["id"] for r in examples], np.int64)
+    index = build([(t, weights.unit(t, c, 0.0)) for t, c in arrays], ids, y, len(vocabulary))
+    scorer = Scorer(weights, index, float(rate))
+    _calibrate(scorer, examples, arrays)
+    told = spark.sparkContext.broadcast(scorer)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for b in batches:
-            out = []
-            for t, c in zip(b["term"].to_pylist(), b["cnt"].to_pylist(), strict=True):
-                key = (tuple(t), tuple(c))
-                if key not in known:
-                    known[key] = scorer.value(np.array(t, np.int64), np.array(c, np.float64))
-                out.append(known[key])
-            if len(known) > 10_000:
-                known.clear()
+            ends, term, cnt = np.asarray(b["term"].offsets), np.asarray(b["term"].values), np.asarray(b["cnt"].values)
+            out = [told.value(term[e:f], cnt[e:f].astype(np.float64), o) for e, f, o in zip(ends[:-1].tolist(), ends[1:].tolist(), b["other"].to_pylist(), strict=True)]
             score = np.array([x[0] for x in out], np.float64)
-            size = np.array([len(x[1]) for x in out])
+            size = np.array([len(x[1]) for x in out], np.int64)
             flat = lambda i, kind: np.concatenate([x[i] for x in out]).astype(kind) if out else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([*(b[n] for n in names[1:]), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), ragged(flat(1, np.int64), size), ragged(np.round(flat(2, np.float64), 9), size)], [*names[1:], "score", "predicted", "evidence_ids", "evidence_cosines"])
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), ragged(flat(1, np.int64), size), ragged(np.round(flat(2, np.float64), 9), size)], [*names, "score", "predicted", "evidence_ids", "evidence_cosines"])
 
-    schema = "".join(f"{n} {types[n]}, " for n in names[1:]) + "score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>"
+    schema = "".join(f"{n} {types[n]}, " for n in names) + "score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>"
     return map_arrow(sparse, scores, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "score", "predicted", "evidence_ids", "evidence_cosines")
 
 
+def _calibrate(scorer: Scorer, examples: list[dict], arrays: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Calibrates on the votes that the first ``CALIBRATION`` examples get from the other ones."""
+    place: dict[int, list[int]] = {}
+    for i, x in enumerate(scorer.index.ids.tolist()):
+        place.setdefault(x, []).append(i)
+    votes, labels = [], []
+    for r, (t, c) in zip(examples[:CALIBRATION], arrays, strict=False):
+        own = place[r["id"]]
+        if len(own) > 1 or not len(t):  # an id with several texts votes on itself
+            continue
+        row, cosine = scorer.index.nearest(t, scorer.weights.unit(t, c, 0.0), but=own[0])
+        votes.append(scorer.vote(row, cosine))
+        labels.append(r["y"])
+    scorer.calibrate(np.array(votes), np.array(labels))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document's label is kept from learning: crc32 of its id's text, modulo 5, is 0."""
     return bucket_of(id_col, 5) == 0

@@ -72,11 +72,11 @@ class UnitEncoder:
     ``encode_words(units)`` gives the ids of single units. Texts are an Arrow array or a sequence of strings.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], kept: int = KEPT) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]], kept: int = KEPT, kind: type = np.uint16) -> None:
         self.encode_words, self.kept = encode_words, kept
         self.known = pa.array([], pa.string())
         self.start, self.length, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.uint16)
+        self.flat = np.zeros(0, kind)
 
     def _drop_cold(self) -> None:
         """Keeps the half of the table that most batches held; of equals the older ones."""
@@ -101,7 +101,7 @@ class UnitEncoder:
             ids = self.encode_words(new.to_numpy(zero_copy_only=False).tolist())
             number[fresh] = len(self.known) + np.arange(len(fresh))
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint16, int(size.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), self.flat.dtype, int(size.sum()))
             held = len(self.flat)
             self.flat = np.concatenate((self.flat, flat))
             self.start, self.length = np.concatenate((self.start, held + np.cumsum(size) - size)), np.concatenate((self.length, size))

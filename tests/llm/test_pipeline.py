@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from lumenframe.llm import pipeline as corpus_pipeline
+from lumenframe.llm import queries, toxicity
 from tests.llm.test_text_and_tokens import brute_join, check_packing
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,9 @@ def test_stages_keep_what_they_should(spark):
     first = corpus_pipeline.language(spark, docs.unionByName(extra), SF)
     assert first.columns == docs.columns and {r[0] for r in first.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
     clean = corpus_pipeline.toxic(spark, first, SF)
-    assert clean.columns == docs.columns and 0 < clean.count() <= first.count()
+    labels = toxicity.clean_labels(spark.read.parquet(f"{SF}/labels.parquet"))
+    bad = {r["doc_id"] for r in toxicity.score_texts(first, labels).collect() if r["score"] >= 0.5}
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in first.collect()} - bad
     unique = corpus_pipeline.near_duplicates(spark, clean, SF)
     rows = [(r["doc_id"], r["text"]) for r in clean.collect()]
     want = {a for a, root, *_ in brute_join(rows) if a == root}
@@ -32,12 +35,31 @@ def test_pipeline_runs(spark):
     assert ids and ids <= all_ids
 
 
-@pytest.mark.parametrize("word", ["toxic", "language"])
+@pytest.mark.parametrize("word", ["language", "toxic", "near_duplicates", "packed"])
 def test_empty_corpus(spark, word):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.lit(False))
     assert getattr(corpus_pipeline, word)(spark, docs, SF).count() == 0
 
 
+def test_without_languages_to_learn_from_texts_with_a_letter_stay(spark):
+    docs = spark.createDataFrame([(1, "das haus"), (2, "12 !"), (3, None), (4, "дом")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()) == [1, 4]
+
+
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    a, b = "one two three four five six seven eight nine ten " * 4, "red green blue white black pink brown grey lime teal " * 4
+    rows = [(7, a), (7, a), (None, a + "extra"), (3, b), (None, b), (None, b), (9, b), (9, "a text of its own that nobody copied"), (None, "another text of its own"), (7, "a third text that is no copy of any"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_links", F.lit("clash"))
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert kept == sorted([(7, a), (3, b), (9, rows[7][1]), (0, rows[8][1]), (7, rows[9][1]), (4, "")])
+
+
+def test_the_root_file_names_the_same_pipeline():
+    import corpus_pipeline as root
+
+    assert root.STAGES is corpus_pipeline.STAGES and root.run is corpus_pipeline.run and queries.queries()["pipeline"] is root.run
+
+
 def test_rows_without_an_id_are_judged_by_their_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(None, "what an idiot and a moron and a loser you are", "en", "src0", 45), (None, "the and of the in a", "en", "src0", 19), (0, None, "en", None, 0)], docs.schema)
