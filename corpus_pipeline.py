@@ -1,56 +1,5 @@
-"""A corpus pipeline of four stages; each stage's documents are written as Parquet and reread by the next.
+"""The corpus pipeline: its stages, the query over them and its SQL."""
 
-Language ID drops documents without a language, toxicity drops toxic ones, the n-gram join keeps one document of
-each group of copies and near copies, and packing cuts what is left into token sequences.
-"""
+from lumenframe.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lumenframe.llm import jaccard, langid, packing, toxicity
-from lumenframe.llm.common import stage
-from lumenframe.llm.queries import table, tokenizer_path
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (no text, or no letter in it) and sets ``lang`` to the language found."""
-    model = langid.train(docs)
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(docs.columns)
-
-
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose toxicity score is 0.5 or more; rows of one id, or without one, are told apart by their text."""
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text"))
-    found = toxicity.score_texts(docs.select("doc_id", "text", key.alias("_key")), toxicity.clean_labels(table(spark, sf_dir, "labels")), keep=("_key",))
-    return docs.withColumn("_key", key).join(found.where("predicted = 1").select("_key").distinct(), "_key", "left_anti").select(docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of copies and near copies.
-
-    Rows of one id are one document and stay or go together; rows without an id are in no class and stay.
-    """
-    found = jaccard.ngram_join(docs)
-    gone = found.where("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' ids into sequences of at most 2048 ids."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
-
-
-STAGES = [("language_id", language), ("toxicity", toxic), ("ngram_join", near_duplicates), ("packing", packed)]
-
-#: Neither a learned model nor a tokenizer can be said in SQL; tests hold the pipeline against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
