@@ -19,7 +19,7 @@ FEATURES = 4096
 #: At most so many labelled documents train the model, dealt evenly over the languages. A model fit needs no more;
 #: which documents these are depends only on a hash of their id.
 TRAIN_ROWS = 3000
-#: Text is turned into features in pieces of so many code points; pieces overlap, so none is left out.
+#: Text is turned into features in pieces of so many code points, which bounds memory and changes nothing.
 PIECE = 1 << 20
 UNKNOWN = "und"
 
@@ -54,28 +54,33 @@ def features(text: str) -> np.ndarray | None:
     Case is folded; every run of other characters counts as one word boundary.
     """
     counts = np.zeros(FEATURES)
-    seen = False
-    for low in range(0, max(len(text), 1), PIECE - 2):
-        code = np.frombuffer(text[low : low + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = text.lower()
+    tail, before, seen = np.zeros(1, np.uint32), True, False  # the boundary before the text; then the last two of a piece
+    for at in range(0, len(low), PIECE):
+        code = np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[np.minimum(code, sys.maxunicode)]
-        if not letter.any():
-            continue
-        seen = True
-        code = np.where(letter, code, 0)
-        code = code[letter | np.r_[True, letter[:-1]]]  # one boundary for a run
-        code = np.concatenate(([0], code, [0])).astype(np.uint32)
-        one = code * np.uint32(0x9E3779B1)
-        two = (one[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) + one[1:]
-        three = (two[:-1] ^ np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) + one[2:]
-        for gram, inner in ((one, code > 0), (two, None), (three, None)):
-            at = ((gram * np.uint32(0x2C1B3C6D)) >> np.uint32(20)).astype(np.int64)
-            counts += np.bincount(at if inner is None else at[inner], minlength=FEATURES)
+        seen = seen or bool(letter.any())
+        code = np.where(letter, code, 0)[letter | np.r_[before, letter[:-1]]].astype(np.uint32)  # one boundary for a run
+        before = bool(letter[-1])
+        tail = _add_grams(counts, tail, code)
     if not seen:
         return None
+    _add_grams(counts, tail, np.zeros(1, np.uint32))
     x = np.sqrt(counts)
     return (x / np.linalg.norm(x)).astype(np.float32)
 
 
+def _add_grams(counts: np.ndarray, tail: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Counts the 1- to 3-grams that end in ``code``, which follows ``tail``, and returns the last two codes."""
+    both = np.concatenate((tail, code))
+    one = both * np.uint32(0x9E3779B1)
+    two = (one[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) + one[1:]
+    three = (two[:-1] ^ np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) + one[2:]
+    for gram in (one[len(tail) :][code > 0], two[max(len(two) - len(code), 0) :], three[max(len(three) - len(code), 0) :]):
+        counts += np.bincount(((gram * np.uint32(0x2C1B3C6D)) >> np.uint32(20)).astype(np.int64), minlength=FEATURES)
+    return both[-2:]
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
     """Weights (bias last) of an L2-regularised hinge-loss SVM, by dual coordinate descent; y holds -1 and 1.
 
@@ -158,7 +163,10 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Fits a model to at most ``rows`` labelled rows, the ones with the smallest id hashes of each language."""
+    """Fits a model to at most ``rows`` labelled rows, the ones with the smallest id hashes of each language.
+
+    ``rows`` also bounds the languages: the ``rows`` // 4 most frequent ones are learned, of four rows each at least.
+    """
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 4).collect()}
     if not counts:
