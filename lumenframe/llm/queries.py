@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, htmltext, jaccard, langid, licenses, media, packing, pipeline, tokenio, topk, toxicity
-from lumenframe.llm.common import stage
 from lumenframe.llm.sources import table, tokenizer_path
 
 
@@ -46,8 +45,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = stage(media.store(table(spark, sf_dir, "documents")), "media")
-    return media.analyse(stored, digests=True).withColumnRenamed("id", "doc_id")
+    return media.describe(media.audio_features(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

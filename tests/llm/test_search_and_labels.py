@@ -112,11 +112,42 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.identify(df, langid.Model({})).collect()} == {"und"}
 
 
-def test_feature_pieces_do_not_change_the_features(monkeypatch):
-    text = "Ein Haus, a house; una casa " * 50
-    whole = langid.features(text)
-    monkeypatch.setattr(langid, "PIECE", 64)
-    assert np.dot(whole, langid.features(text)) > 0.98
+@pytest.mark.parametrize("piece", [1, 2, 3, 64, 1000])
+def test_feature_pieces_do_not_change_the_features(monkeypatch, piece):
+    for text in ("Ein Haus, a house; una casa " * 50, "a", "  ..a", "a!!", "ΟΔΟΣ ΑΣ, ab İx", "x1y2 z"):
+        monkeypatch.setattr(langid, "PIECE", 1 << 20)
+        whole = langid.features(text)
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (langid.features(text) == whole).all()
+
+
+def test_votes_against_plain_loops():
+    rng = np.random.default_rng(1)
+    langs = ["de", "en", "es", "fr", "ru"] * 12
+    x = rng.random((60, 20)).astype(np.float32) + np.eye(20, dtype=np.float32)[[langs.index(v) for v in langs]] * 2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.fit(x, langs)
+    assert model.families == {"germanic": ["de", "en"], "romance": ["es", "fr"], "slavic": ["ru"]}
+
+    def winner(names, svms, v):
+        if len(names) == 1:
+            return names[0], 1.0
+        won = dict.fromkeys(names, 0.0)
+        for a in names:
+            for b in names:
+                if (a, b) in svms:
+                    margin = sum(float(w) * float(f) for w, f in zip(svms[a, b], [*v, 1.0], strict=True))
+                    p = 1 / (1 + math.exp(-3 * margin))
+                    won[a] += p
+                    won[b] += 1 - p
+        best = max(names, key=lambda n: (won[n], -names.index(n)))
+        return best, won[best] / (len(names) - 1)
+
+    for v, (lang, score) in zip(x, model.predict(x), strict=True):
+        family, sure = winner(list(model.families), model.between, v)
+        want, p = winner(model.families[family], model.within, v)
+        assert lang == want and abs(score - sure * p) < 1e-4
+    assert sum(a == b for a, (b, _) in zip(langs, model.predict(x), strict=True)) >= 57
 
 
 def test_licences_equal_sql(spark):

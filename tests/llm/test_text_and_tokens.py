@@ -185,18 +185,42 @@ def test_packer(sizes):
 
 
 def test_media(spark, docs):
-    stored = media.store(docs)
-    rows = {(r["id"], r["n_bytes"]): r for r in media.analyse(stored, digests=True).collect()}
+    stored = media.audio_features(docs)
+    rows = {(r["id"], r["n_bytes"]): r for r in media.describe(stored).collect()}
     for r in docs.collect():
         raw = (r["text"] or "").encode()
         payload = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
         got = rows[r["doc_id"], len(raw)]
         assert got["payload_bytes"] == len(payload) and got["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got["tail_crc32"] == zlib.crc32(payload[-16:])
         assert got["media_sha256"] == hashlib.sha256(media.to_wav(payload)).hexdigest() and got["media_bytes"] == 44 + len(payload)
-    table = pa.Table.from_batches(media.analyse(stored.where("n_bytes > 1000")).toArrow().to_batches())
-    tensors = media.as_tensors(table)
-    assert tensors["tensor"].type.shape == [media.TENSOR, media.MELS] and len(tensors) == sum(map(len, table["tensors"].to_pylist()))
-    assert media.analyse(media.store(docs.limit(0))).count() == 0
+    for r in stored.where("n_bytes > 1000").collect():
+        table = media.from_arrow(r["tensors"])
+        assert table["tensor"].type.shape == [media.TENSOR, media.MELS] and sum(table["n_frames"].to_pylist()) == r["n_frames"]
+        begins, ends = table["t_begin"].to_pylist(), table["t_end"].to_pylist()
+        assert begins[0] == 0 and begins[1:] == ends[:-1] and abs(ends[-1] - r["n_frames"] * media.STEP) < 1e-9
+        assert all(0 <= s["t_begin"] < s["t_end"] <= ends[-1] + 1e-9 for s in r["segments"])
+    assert media.describe(media.audio_features(docs.limit(0))).count() == 0
+
+
+def test_log_mel_against_plain_loops(monkeypatch):
+    x = np.random.default_rng(3).integers(0, 256, 2000).astype(np.uint8)
+    y = media.resample((x.astype(np.float32) - 128) / 128)
+    mel, energy = media.log_mel(x)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + media.RATE * 2 / 3 / 2 / 700), media.MELS + 2)]
+    assert len(mel) == 1 + -(-(len(y) - media.FRAME) // media.HOP)
+    for f in range(len(mel)):
+        part = [float(y[f * media.HOP + i]) * (0.5 - 0.5 * np.cos(2 * np.pi * i / media.FRAME)) if f * media.HOP + i < len(y) else 0.0 for i in range(media.FRAME)]
+        assert abs(energy[f] - 10 * np.log10(sum(v * v for v in part) / media.FRAME)) < 1e-3
+        power = [abs(sum(v * np.exp(-2j * np.pi * k * i / media.FRAME) for i, v in enumerate(part))) ** 2 for k in range(media.FRAME // 2 + 1)]
+        for m in range(media.MELS):
+            total = 0.0
+            for k, p in enumerate(power):
+                hz = k * (media.RATE * 2 / 3) / media.FRAME
+                total += p * max(0.0, min((hz - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - hz) / (edges[m + 2] - edges[m + 1])))
+            assert abs(mel[f, m] - np.log10(max(total, 1e-8))) < 1e-2
+    monkeypatch.setattr(media, "SLAB", 3)  # slabs change nothing
+    again, loud = media.log_mel(x)
+    assert np.allclose(again, mel, atol=1e-5) and np.allclose(loud, energy, atol=1e-4)
 
 
 def test_signal_steps_against_plain_loops():
