@@ -36,14 +36,29 @@ def scores(items: DataFrame, prompts: DataFrame) -> DataFrame:
 def zero_shot(items: DataFrame, prompts: DataFrame) -> DataFrame:
     """Items with pred and score: the class of the most similar prompt, ties to the smallest class; no prompt: no rows.
 
-    Per item the best of all pairs is aggregated in place, so scores are never shuffled whole.
+    Up to ``BROADCAST_PROMPTS`` prompts are one array that meets each item in its row, without a shuffle; with more,
+    the best of all pairs is aggregated per item.
     """
-    paired = scores(items, prompts)
     keys = [c for c in items.columns if c != "embedding"]
+    rows = prompts.select("class", F.col("embedding").alias("v")).limit(BROADCAST_PROMPTS + 1).toArrow()
+    if rows.num_rows <= BROADCAST_PROMPTS:
+        spark, kind = items.sparkSession, dict(prompts.dtypes)
+        few = spark.createDataFrame(rows, f"class {kind['class']}, v {kind['embedding']}")
+        one = F.broadcast(few.agg(F.array_sort(F.collect_list(F.struct("class", "v"))).alias("_p")))  # one row of bounded size
+        scored = F.transform("_p", lambda p: F.struct(p["class"].alias("class"), dot(F.col("embedding"), p["v"]).alias("score")))
+        first = F.lit(None).cast(f"struct<class: {kind['class']}, score: double>")
+        best = F.reduce(scored, first, lambda a, x: F.when(a.isNull() | (x["score"] > a["score"]), x).otherwise(a))
+        return items.join(one).select(*keys, best.alias("_b")).where("_b IS NOT NULL").select(*keys, F.col("_b.class").alias("pred"), F.col("_b.score").alias("score"))
+    paired = scores(items, prompts)
     best = F.max_by(F.struct("class", "score"), F.struct("score", -F.col("class"))) if dict(paired.dtypes)["class"] in ("int", "bigint", "smallint") else F.min_by(F.struct("class", "score"), F.struct(-F.col("score"), "class"))
     return paired.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.class").alias("pred"), F.col("b.score").alias("score"))
 
 
+def with_captions(items: DataFrame, captions: DataFrame, key: str = "label", caption: str = "caption") -> DataFrame:
+    """``items`` with the caption of their ``key``, null where ``captions`` (key, caption) has none; one row a key, as ``ambiguous`` checks."""
+    return items.join(small(captions.select(key, caption)), key, "left")
+
+
 def accuracy(pred: DataFrame) -> DataFrame:
     """n and accuracy; null without rows."""
     return pred.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy"))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.classify import small
+from lumenframe.operators.ranges import running_sums
+
 
 def pr_curve(scored: DataFrame) -> DataFrame:
     """Precision and recall at each distinct score of each class, ties taken together: class, threshold, tp, n, npos, precision, recall.
 
-    Rows with equal scores are merged before the shuffle. Classes without a positive have null recall. The point
+    Rows with equal scores are merged before the shuffle, and summed up by ranges of scores. Classes without a positive have null recall. The point
     (recall 0, precision 1) is not a threshold and is left out.
     """
     g = scored.groupBy("class", F.col("score").alias("threshold")).agg(F.sum("y").alias("hits"), F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy("class").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    npos = F.sum("hits").over(Window.partitionBy("class"))
-    c = g.select("class", "threshold", "hits", F.sum("hits").over(w).alias("tp"), F.sum("rows").over(w).alias("n"), npos.alias("npos"))
+    npos = g.groupBy("class").agg(F.sum("hits").alias("npos"))
+    c = running_sums(g, ["class"], {"tp": "hits", "n": "rows"}, "threshold").join(npos, "class").select("class", "threshold", "hits", "tp", "n", "npos")
     return c.withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", F.when(F.col("npos") > 0, F.col("tp") / F.col("npos")))
 
 
@@ -51,7 +53,7 @@ def cooccurrence(matrix: DataFrame, thresholds: DataFrame, default: float = 0.25
 
     ``matrix`` has video, start_sec, class, score, y. Windows are gathered into arrays of their few classes first.
     """
-    t = F.broadcast(thresholds.select("class", "threshold"))
+    t = small(thresholds.select("class", "threshold"))
     marked = matrix.join(t, "class", "left").select("video", "start_sec", "class", "y", (F.col("score") >= F.coalesce("threshold", F.lit(default))).cast("long").alias("p"))
     cell = marked.groupBy("video", "start_sec").agg(F.collect_list(F.struct("class", "y", "p")).alias("c"))
     pairs = cell.select(F.explode("c").alias("i"), "c").select("i", F.explode("c").alias("j"))

@@ -7,9 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.grids import frame_indices
+from lumenframe.operators.retrieval import search
+from lumenframe.operators.validate import ValidationError, require_empty
+
 
 def hash_encoder(texts: list[str], dim: int = 64) -> np.ndarray:
     """A stand-in encoder for tests: unit vectors that depend on the text alone."""
@@ -48,3 +52,50 @@ def encode(df: DataFrame, content: str, encoder: Callable[[list], np.ndarray], n
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     return df.mapInArrow(run, f"{kinds}, embedding array<float>").where(F.col("embedding").isNotNull()).withColumn("encoder", F.lit(name))
+
+
+def encode_windows(videos: DataFrame, windows: DataFrame, frames: Callable[[str, list[list[int]]], list], encoder: Callable[[list], np.ndarray], name: str, chunk: float = 2.0, n_frames: int = 8, batch: int = 8, strict: bool = False) -> DataFrame:
+    """Embeddings of windows of videos: video, start_sec, embedding, encoder.
+
+    ``videos`` has video, path, fps and length (frames), ``windows`` video and start_sec. Each window gets ``n_frames``
+    evenly spaced frame numbers from its first to its last frame, clipped to the video. ``frames(path, numbers)``
+    reads the clips of up to ``batch`` windows of one video in one go, and ``encoder`` takes such a batch. Windows
+    that can't be read or encoded are left out, or, if ``strict``, fail the job.
+    """
+    first = F.floor(F.col("start_sec") * F.col("fps"))
+    last = F.greatest(first, F.least(F.floor((F.col("start_sec") + F.lit(chunk)) * F.col("fps")), F.col("length") - 1))
+    placed = windows.join(videos, "video").select("video", "path", "start_sec", frame_indices(first, last, n_frames).alias("frames"))
+    numbered = placed.withColumn("_g", F.floor((F.row_number().over(Window.partitionBy("video").orderBy("start_sec")) - 1) / F.lit(batch)))
+    batches = numbered.groupBy("video", "path", "_g").agg(F.array_sort(F.collect_list(F.struct("start_sec", "frames"))).alias("w")).drop("_g")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for video, path, group in zip(b["video"].to_pylist(), b["path"].to_pylist(), b["w"].to_pylist(), strict=True):
+                try:
+                    got = np.asarray(encoder(frames(path, [w["frames"] for w in group])), np.float32)
+                except Exception:
+                    if strict:
+                        raise
+                    continue
+                unit = got / np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array([video] * len(group), kind), pa.array([w["start_sec"] for w in group], pa.float64()), pa.array(unit.tolist(), pa.list_(pa.float32()))], ["video", "start_sec", "embedding"])
+
+    name_kind = dict(videos.dtypes)["video"]
+    kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name_kind]
+    return batches.select("video", "path", "w").mapInArrow(run, f"video {name_kind}, start_sec double, embedding array<float>").withColumn("encoder", F.lit(name))
+
+
+def build_index(rows: DataFrame, content: str, encoder: Callable[[list], np.ndarray], name: str, path: str, strict: bool = False) -> None:
+    """Encodes ``rows`` (item, caption, file, content) and writes the index, item, caption, file, embedding and encoder, as Parquet."""
+    encode(rows, content, encoder, name, strict=strict).select("item", "caption", "file", "embedding", "encoder").write.mode("overwrite").parquet(path)
+
+
+def search_index(spark: SparkSession, path: str, query: str, encoder: Callable[[list], np.ndarray], name: str, k: int = 5) -> DataFrame:
+    """The ``k`` (1 to 24) best rows of an index for a text: rank, item, file, caption, score. An empty query, or another encoder's index, is an error."""
+    if not query.strip():
+        raise ValidationError("empty query")
+    index = spark.read.schema("item string, caption string, file string, embedding array<float>, encoder string").parquet(path)
+    require_empty(index.where(F.col("encoder") != name).select("encoder").distinct(), f"the index isn't of the encoder {name}")
+    vector = np.asarray(encoder([query.strip()])[0], np.float64)
+    asked = spark.createDataFrame([((vector / max(float(np.linalg.norm(vector)), 1e-12)).tolist(),)], "embedding array<double>")
+    return search(index, asked, k).select("rank", "item", "file", "caption", F.round("score", 6).alias("score"))

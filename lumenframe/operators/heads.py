@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import dot, sigmoid
-from lumenframe.operators.classify import averages, confusion, small
+from lumenframe.operators.classify import averages, confusion, small, zero_shot
 from lumenframe.operators.curves import average_precision, pr_curve, unknown_band
 from lumenframe.operators.sampling import hash_rank
 
@@ -101,3 +101,28 @@ def apply_heads(windows: DataFrame, heads: DataFrame) -> DataFrame:
     """Probability of every head for every row: the rows' columns but the vector, class, score."""
     h = small(heads.select("class", "w", "b"))
     return windows.join(h).select(*(c for c in windows.columns if c != "embedding"), "class", sigmoid(dot(F.col("embedding"), F.col("w")) + F.col("b")).alias("score"))
+
+
+def by_class_index(weights: DataFrame, classes: int, dim: int) -> DataFrame:
+    """A probe's rows (class, a whole number from 0; w, b) for every one of ``classes``: those it never saw have zeros, hence logit 0."""
+    every = weights.sparkSession.range(classes).select(F.col("id").cast(dict(weights.dtypes)["class"]).alias("class"))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return every.join(small(weights.select("class", "w", "b")), "class", "left").select("class", F.coalesce("w", zero).alias("w"), F.coalesce("b", F.lit(0.0)).alias("b"))
+
+
+def probe_predictions(items: DataFrame, weights: DataFrame) -> DataFrame:
+    """``items`` (item, label, embedding, ...) with pred, the class of the largest logit, ties to the smallest class."""
+    biased = weights.select("class", F.concat("w", F.array("b")).alias("embedding"))
+    return zero_shot(items.withColumn("embedding", F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array(F.lit(1.0)))), biased).drop("score")
+
+
+def positives(items: DataFrame, classes: DataFrame, least: int = 10) -> DataFrame:
+    """Rows with each class among their labels, by split, zeros included: class, train_pos, val_pos and warn.
+
+    ``items`` has split and labels (array); ``warn`` is 1 if fewer than ``least`` train rows have the class, too few for a head.
+    """
+    one = items.select("split", F.explode(F.array_distinct("labels")).alias("class"))
+    n = one.groupBy("class").agg(*(F.count_if(F.col("split") == s).alias(f"{s}_pos") for s in ("train", "val")))
+    out = classes.select("class").distinct().join(n, "class", "left")
+    train = F.coalesce("train_pos", F.lit(0))
+    return out.select("class", train.alias("train_pos"), F.coalesce("val_pos", F.lit(0)).alias("val_pos"), (train < least).cast("int").alias("warn"))

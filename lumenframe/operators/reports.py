@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.names import clamp
+from lumenframe.operators.classify import averages, confusion
 
 #: The metrics that a comparison shows first, in this order.
 HEADLINE = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1", "map", "median_first_rank")
@@ -29,19 +34,28 @@ def run_matrix(reports: DataFrame, phases: list[str], metric: str = "f1") -> Dat
     return reports.groupBy("mode").pivot("phase", phases).agg(F.first(metric))
 
 
-def flatten_json(text: Column) -> Column:
-    """A JSON document of nested objects as map of dotted lower-case keys to scalars' text, three levels deep."""
-    top = F.from_json(text, "map<string,string>")
+def _numbers(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in documents:
+        out = []
+        for text in part:
+            flat: dict[str, float] = {}
+            todo = [("", json.loads(text))] if text else []
+            while todo:  # a stack, so that nesting may be of any depth that the parser takes
+                prefix, value = todo.pop()
+                if isinstance(value, dict):
+                    todo += [(f"{prefix}{k}.".lower(), v) for k, v in reversed(value.items())]
+                elif isinstance(value, int | float):
+                    flat[prefix.rstrip(".")] = float(value)
+            out.append(flat if text else None)
+        yield pd.Series(out)
 
-    def entries(m: Column, prefix: str | Column) -> Column:
-        return F.transform(F.map_entries(m), lambda e: F.struct(F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, F.lower(e["key"])).alias("k"), e["value"].alias("v")))
 
-    def deeper(level: Column) -> Column:
-        inner = lambda e: F.from_json(e["v"], "map<string,string>")
-        nested = lambda e: F.coalesce(e["v"].startswith("{"), F.lit(False))
-        return F.flatten(F.transform(level, lambda e: F.when(nested(e), entries(inner(e), F.concat(e["k"], F.lit(".")))).otherwise(F.array(e))))
+def flatten_json(text: Column) -> Column:
+    """A JSON document of nested objects as map of dotted lower-case keys to numbers, at any depth; true and false are 1 and 0.
 
-    return F.map_from_entries(deeper(deeper(entries(top, ""))))
+    Text, lists and nulls are left out; of keys that differ in case only the last counts. Null documents are null.
+    """
+    return F.pandas_udf(_numbers, "map<string,double>")(text)
 
 
 def keys_like(flat: Column, part: str) -> Column:
@@ -64,10 +78,28 @@ def events_document(events: DataFrame, videos: DataFrame) -> DataFrame:
     return videos.select("video").distinct().join(doc, "video", "left").select("video", F.coalesce("events", F.lit("{}")).alias("events"))
 
 
-def trajectory_payload(scores: DataFrame) -> DataFrame:
-    """Each video's (start_sec, score) lists by class, as one JSON object: what a viewer asks for."""
-    lists = scores.groupBy("video", "class").agg(F.array_sort(F.collect_list(F.struct("start_sec", "score"))).alias("t"))
-    return lists.groupBy("video").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "t"))))).alias("payload"))
+def trajectory_payload(scores: DataFrame, events: DataFrame | None = None, chunk: float = 2.0) -> DataFrame:
+    """What a viewer asks for, a JSON object for each video: starts, classes (scores by class, in order), chunk_sec, events by class.
+
+    ``starts`` are the distinct starts of the video's windows; a class without a score at one has null there.
+    """
+    starts = scores.groupBy("video").agg(F.array_sort(F.collect_set("start_sec")).alias("starts"))
+    each = scores.groupBy("video", "class").agg(F.map_from_entries(F.collect_list(F.struct("start_sec", "score"))).alias("at"))
+    lists = each.join(starts, "video").select("video", "starts", "class", F.transform("starts", lambda s: F.try_element_at("at", s)).alias("t"))
+    doc = lists.groupBy("video").agg(F.first("starts").alias("starts"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "t")))).alias("classes"))
+    found = F.lit("{}")
+    if events is not None:
+        doc, found = doc.join(events_document(events, scores), "video", "left"), F.coalesce("events", F.lit("{}"))
+    body = F.to_json(F.struct("starts", "classes", F.lit(chunk).alias("chunk_sec")), {"ignoreNullFields": "false"})
+    return doc.select("video", F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"events":'), found, F.lit("}")).alias("payload"))
+
+
+def lift(probe: DataFrame, zero_shot: DataFrame, classes: DataFrame) -> DataFrame:
+    """Accuracy and macro F1 of a probe's and of zero-shot predictions (label, pred) of the same items, and the differences: one row."""
+    part = lambda p, name: averages(confusion(p, classes)).select(F.col("accuracy").alias(f"{name}_accuracy"), F.col("macro_f1").alias(f"{name}_macro_f1"))
+    both = part(probe, "probe").join(part(zero_shot, "zeroshot"))  # one row each
+    rises = [F.round(F.col(f"probe_{m}") - F.col(f"zeroshot_{m}"), 6).alias(f"{m}_lift") for m in ("accuracy", "macro_f1")]
+    return both.select("*", *rises)
 
 
 def search_request(k: Column | int) -> Column:

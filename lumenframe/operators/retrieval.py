@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import dot
+from lumenframe.operators.ranges import running_sums
 
 
 def search(index: DataFrame, query: DataFrame, k: int = 5, id_col: str = "item") -> DataFrame:
@@ -39,10 +40,11 @@ def class_ranking(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFr
     """Each class's ranking of all items: class, n_rel, first_rank, ap and hit_at_k; classes without items are left out.
 
     Average precision is by rank, without grouping ties, over all relevant items. An item's rank is the number of
-    items above it, and precision at a relevant item takes only its rank and its number among relevant ones.
+    items above it, and precision at a relevant item takes only its rank and its number among relevant ones; both
+    are sums by ranges of scores.
     """
-    r = ranked(scores, "class", "item").where(F.col("class") == F.col("label"))
-    r = r.withColumn("m", F.row_number().over(Window.partitionBy("class").orderBy("rank")))
+    marked = scores.select("class", "item", "score", F.lit(1).alias("_one"), (F.col("class") == F.col("label")).cast("int").alias("_rel"))
+    r = running_sums(marked, ["class"], {"rank": "_one", "m": "_rel"}, ties=("item",)).where("_rel = 1")
     return r.groupBy("class").agg(F.count(F.lit(1)).alias("n_rel"), F.min("rank").alias("first_rank"), F.avg(F.col("m") / F.col("rank")).alias("ap"), *((F.min("rank") <= k).cast("int").alias(f"hit_at_{k}") for k in ks))
 
 

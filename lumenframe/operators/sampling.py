@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,27 +85,107 @@ def downsample_negatives(chunks: DataFrame, positive: Column, group: str, id_col
     return rest.unionByName(kept.select(rest.columns))
 
 
+#: Videos that one task assigns.
+RANGE_VIDEOS = 1 << 16
+
+
+class SplitState:
+    """How many videos each split has, and which classes; ``choose`` assigns the next video."""
+
+    def __init__(self, targets: dict[str, float], sizes: dict[str, int] | None = None) -> None:
+        self.targets, self.names = targets, list(targets)
+        self.sizes = dict(sizes or dict.fromkeys(targets, 0))
+        self.classes: dict[str, set] = {n: set() for n in targets}
+
+    def room(self, name: str) -> float:
+        return self.targets[name] - self.sizes[name]
+
+    def choose(self, classes: list) -> str:
+        """The split that lacks most of the classes, then the one with most room; the first of equal ones."""
+        lacking = {n: len(set(classes) - self.classes[n]) for n in self.names}
+        best = max(self.names, key=lambda n: (lacking[n], self.room(n)))
+        self.sizes[best] += 1
+        self.classes[best].update(classes)
+        return best
+
+    def skip(self, n: int) -> None:
+        """``n`` videos of which no split lacks a class go where there is most room: most of them in one step.
+
+        Every split is filled down to a common level of room that no split meets exactly; the few left go one by one.
+        """
+        rooms = {s: self.room(s) for s in self.names}
+        parts = sorted({r % 1 for r in rooms.values()})
+        gaps = [((b - a), (a + b) / 2 % 1) for a, b in zip(parts, [*parts[1:], parts[0] + 1], strict=True)]
+        offset = max(gaps)[1]
+        used = lambda level: {s: max(0, math.floor(r - offset - level)) for s, r in rooms.items()}
+        low, high = math.floor(min(rooms.values())) - n - 2, math.ceil(max(rooms.values())) + 1
+        while low + 1 < high:  # the lowest level that takes no more than n
+            mid = (low + high) // 2
+            low, high = (low, mid) if sum(used(mid).values()) <= n else (mid, high)
+        taken = used(high)
+        for s, k in taken.items():
+            self.sizes[s] += k
+        for _ in range(n - sum(taken.values())):
+            self.sizes[max(self.names, key=self.room)] += 1
+
+
 def greedy_split(videos: DataFrame, fractions: dict[str, float], seed: int = 42) -> DataFrame:
-    """Assigns each (video, classes) to a split, rarest class first: video, split.
+    """Assigns each (video, classes) to a split, rarest class first, in hash order among equally rare: video, split.
 
     Every video goes to the split that lacks most of its classes, then to the one furthest below its target; ties
-    go to the split named first. The choice depends on all choices before it, so one fold runs over the videos'
-    list; for a corpus of up to some millions of videos that list, ids and class names only, fits one task.
+    go to the split named first. A choice depends on all choices before it, but only few are more than a count: each
+    video of which a split lacks a class adds a class to a split, so of any class only the first (classes * splits)
+    videos can. Those, a number that follows the classes alone, are chosen first; what lies between them fills the
+    splits evenly, so the state at any place follows, and ranges of videos are assigned side by side.
     """
     exploded = videos.select("video", F.explode("classes").alias("c"))
-    rarity = exploded.join(exploded.groupBy("c").count(), "c").groupBy("video").agg(F.min("count").alias("rare"))
-    ordered = videos.join(rarity, "video", "left").select(F.struct(F.coalesce("rare", F.lit(1 << 30)).alias("rare"), hash_key(seed, "video").alias("h"), "video", "classes").alias("v"), F.lit(1).alias("all"))
-    names = list(fractions)
+    counts = exploded.groupBy("c").agg(F.count(F.lit(1)).alias("k"))  # a row for each class
+    rarity = exploded.join(counts, "c").groupBy("video").agg(F.min("k").alias("rare"))
+    rare = videos.join(rarity, "video", "left").withColumn("rare", F.coalesce("rare", F.lit(1 << 30)))
+    sizes = rare.groupBy("rare").agg(F.count(F.lit(1)).alias("k"))
+    below = sizes.select("rare", (F.sum("k").over(Window.orderBy("rare")) - F.col("k")).alias("below"))  # a row for each count of a class
+    ordered = hash_rank(rare, ["rare"], "video", seed).join(below, "rare").select("video", "classes", (F.col("below") + F.col("rank") - 1).alias("place"))
+    names, total = list(fractions), videos.count()
+    first = counts.count() * len(names)
+    early = Window.partitionBy("c").orderBy("place")
+    able = ordered.select("place", "classes", F.explode("classes").alias("c")).withColumn("_r", F.row_number().over(early)).where(F.col("_r") <= first)
+    special = sorted(((r["place"], r["classes"]) for r in able.select("place", "classes").distinct().collect()), key=lambda x: x[0])  # at most classes squared times splits
+    targets = {n: fractions[n] * total for n in names}
+    state, place, chosen, marks = SplitState(targets), 0, {}, [(0, dict.fromkeys(names, 0))]
+    for at, classes in special:
+        state.skip(at - place)
+        chosen[at] = state.choose(classes)
+        place = at + 1
+        marks.append((place, dict(state.sizes)))
 
     def assign(table: pa.Table) -> pa.Table:
-        rows = sorted(table.column("v").to_pylist(), key=lambda v: (v["rare"], v["h"]))
-        size, have, out = dict.fromkeys(names, 0), {n: set() for n in names}, []
-        for v in rows:
-            need = {n: (sum(c not in have[n] for c in set(v["classes"])), fractions[n] * len(rows) - size[n]) for n in names}
-            best = max(names, key=need.__getitem__)
-            size[best] += 1
-            have[best].update(v["classes"])
-            out.append(best)
-        return pa.table({"video": pa.array([v["video"] for v in rows], table.schema.field("v").type.field("video").type), "split": pa.array(out, pa.string())})
-
-    return ordered.groupBy("all").applyInArrow(assign, f"video {dict(videos.dtypes)['video']}, split string")
+        rows = sorted(zip(table.column("place").to_pylist(), table.column("video").to_pylist(), strict=True))
+        begin = rows[0][0]
+        mark = marks[bisect.bisect_right(marks, begin, key=lambda m: m[0]) - 1]
+        now, out = SplitState(targets, mark[1]), []
+        now.skip(begin - mark[0])
+        for at, _ in rows:
+            if at in chosen:
+                now.sizes[chosen[at]] += 1
+                out.append(chosen[at])
+            else:
+                out.append(now.choose([]))
+        return pa.table({"video": pa.array([v for _, v in rows], table.schema.field("video").type), "split": pa.array(out, pa.string())})
+
+    ranges = ordered.select("video", "place", F.floor(F.col("place") / RANGE_VIDEOS).alias("range"))
+    return ranges.groupBy("range").applyInArrow(assign, f"video {dict(videos.dtypes)['video']}, split string")
+
+
+def training_set(chunks: DataFrame, positive: Column, jittered: DataFrame, group: str, id_col: str, ratio: float = 4.0, seed: int = 42) -> DataFrame:
+    """Training rows: positives, their jittered copies and sampled negatives, repeats kept, with ``origin`` saying which.
+
+    ``chunks`` and ``jittered`` (of the train split) have the same columns but jitter, which is 0 for chunks.
+    """
+    train = chunks.where(F.col("split") == "train").withColumn("jitter", F.lit(0))
+    kept = downsample_negatives(train, positive, group, id_col, ratio, seed).withColumn("origin", F.when(positive, "positive").otherwise("negative"))
+    return kept.unionByName(jittered.withColumn("origin", F.lit("jitter")).select(kept.columns))
+
+
+def joined_splits(df: DataFrame, splits: tuple[str, ...], name: str) -> DataFrame:
+    """The rows of several splits as one split, such as val and test as held out; rows of others go."""
+    return df.where(F.col("split").isin(*splits)).withColumn("split", F.lit(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.classify import small
+
 BY = ["video", "class"]
 #: Smoothed scores are rounded to so many digits, so that a threshold doesn't split what two ways of halving give.
 DIGITS = 9
@@ -41,7 +43,7 @@ def events(scores: DataFrame, thresholds: DataFrame, mode: str = "glue", chunk:
     ``glue`` smooths with the class's window and asks for min_consec windows; ``isolated`` takes raw scores and
     single windows. Classes without thresholds have no events. Each distinct window is smoothed once.
     """
-    t = F.broadcast(thresholds.select("class", "threshold", "window", "min_consec"))  # a row for each class
+    t = small(thresholds.select("class", "threshold", "window", "min_consec"))  # a row for each class
     joined = scores.join(t, "class")
     if mode == "glue":
         w = Window.partitionBy(*BY).orderBy("start_sec")
@@ -58,7 +60,7 @@ def events(scores: DataFrame, thresholds: DataFrame, mode: str = "glue", chunk:
 
 def flags(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """1 where a score reaches its class's threshold, inclusive, else 0: video, class, start_sec, flag."""
-    t = F.broadcast(thresholds.select("class", "threshold"))
+    t = small(thresholds.select("class", "threshold"))
     return scores.join(t, "class").select(*BY, "start_sec", (F.col("score") >= F.col("threshold")).cast("int").alias("flag"))
 
 
@@ -69,7 +71,7 @@ def wide(long: DataFrame, classes: list[str], value: str) -> DataFrame:
 
 def unknown_flags(probs: DataFrame, heads: DataFrame) -> DataFrame:
     """Rows with ``unknown``: t_lo <= p < t_hi, and ``decision``: positive, negative or unknown."""
-    joined = probs.join(F.broadcast(heads.select("class", "t_lo", "t_hi")), "class")
+    joined = probs.join(small(heads.select("class", "t_lo", "t_hi")), "class")
     band = (F.col("score") >= F.col("t_lo")) & (F.col("score") < F.col("t_hi"))
     decision = F.when(F.col("score") >= F.col("t_hi"), "positive").when(band, "unknown").otherwise("negative")
     return joined.withColumn("unknown", band.cast("int")).withColumn("decision", decision).drop("t_lo", "t_hi")

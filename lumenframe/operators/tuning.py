@@ -2,38 +2,99 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import prf
-from lumenframe.operators.matching import match_events
-from lumenframe.operators.trajectory import runs, smooth
+from lumenframe.operators.trajectory import DIGITS
+
+
+def median_smooth(score: np.ndarray, window: int) -> np.ndarray:
+    """The median of the 2 * (window // 2) + 1 values about each, of fewer at the ends, rounded as ``smooth`` does."""
+    half = window // 2
+    if window <= 1 or not len(score):
+        return score
+    padded = np.concatenate((np.full(half, np.nan), score, np.full(half, np.nan)))
+    return np.round(np.nanmedian(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1), DIGITS)
+
+
+def runs_at(start: np.ndarray, score: np.ndarray, threshold: float, chunk: float) -> list[tuple[float, float, float, int]]:
+    """Maximal runs of scores that reach the threshold: (-peak, begin, end, windows), as predictions choose."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (score >= threshold).view(np.int8), [0]))))
+    return sorted((-float(score[a:b].max()), float(start[a]), float(start[b - 1]) + chunk, int(b - a)) for a, b in edge.reshape(-1, 2).tolist())
+
+
+def matched(found: list[tuple[float, float, float, int]], truth: list[tuple[float, float]], iou: float) -> int:
+    """How many runs, in their order, take a free true event of enough overlap; of equal overlaps the last event."""
+    free, hits = list(truth), 0
+    for _, s, e, _ in found:
+        best, at = iou, -1
+        for i, (a, b) in enumerate(free):
+            hull = max(e, b) - min(s, a)
+            share = max(0.0, min(e, b) - max(s, a)) / hull if hull > 0 else 0.0
+            if share >= best:
+                best, at = share, i
+        if at >= 0:
+            free.pop(at)
+            hits += 1
+    return hits
+
+
+def tally(start: np.ndarray, score: np.ndarray, truth: list[tuple[float, float]], thresholds: list[float], windows: list[int], min_consecs: list[int], iou: float, chunk: float) -> np.ndarray:
+    """tp, fp, fn of one video and class for every combination: (windows, thresholds, min_consecs, 3)."""
+    out = np.zeros((len(windows), len(thresholds), len(min_consecs), 3), np.int64)
+    out[..., 2] = len(truth)
+    for w, window in enumerate(windows):
+        smooth = median_smooth(score, window)
+        top = smooth.max() if len(smooth) else -np.inf
+        for t, threshold in enumerate(thresholds):
+            if top < threshold:
+                continue
+            found, done = runs_at(start, smooth, threshold, chunk), {}
+            for k, shortest in enumerate(min_consecs):
+                kept = [r for r in found if r[3] >= shortest]
+                if len(kept) not in done:
+                    done[len(kept)] = matched(kept, truth, iou) if truth else 0
+                hits = done[len(kept)]
+                out[w, t, k] = hits, len(kept) - hits, len(truth) - hits
+    return out
 
 
 def tune(scores: DataFrame, truth: DataFrame, thresholds: list[float], windows: list[int], min_consecs: list[int], iou: float = 0.3, chunk: float = 2.0) -> DataFrame:
     """The best (threshold, window, min_consec) of each class with its tp, fp, fn and F1 over all videos.
 
     F1 is compared after rounding to four digits; of equal ones the first in order of window, threshold and
-    min_consec wins. Each window is smoothed once, runs are found once for each window and threshold, and
-    min_consec filters them after. Classes without any event get tp = fp = 0.
+    min_consec wins. One shuffle brings a video's trajectory and true events of a class together; all combinations
+    are tried there, and only their counts, summed up in each task, go on. Classes without any event get tp = fp = 0.
     """
-    smoothed = reduce(DataFrame.unionByName, [smooth(scores, w).withColumn("w_idx", F.lit(i)) for i, w in enumerate(windows)])
-    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("t_idx"), F.lit(t).alias("threshold")) for i, t in enumerate(thresholds)))).alias("g")
-    keys = ["video", "class", "w_idx", "t_idx"]
-    flagged = smoothed.select("*", grid).select("video", "class", "w_idx", "start_sec", "score", "g.*")
-    found = runs(flagged, F.col("score") >= F.col("threshold"), keys, 1, chunk)
-    ks = F.explode(F.array(*(F.struct(F.lit(i).alias("k_idx"), F.lit(k).alias("k")) for i, k in enumerate(min_consecs)))).alias("k")
-    pred = found.select("*", ks).select(*found.columns, "k.k_idx", "k.k").where(F.col("n_windows") >= F.col("k"))
-    config = F.explode(F.array(*(F.struct(F.lit(w).alias("w_idx"), F.lit(t).alias("t_idx"), F.lit(k).alias("k_idx")) for w in range(len(windows)) for t in range(len(thresholds)) for k in range(len(min_consecs))))).alias("c")
-    seen = scores.select("video", "class").distinct()
-    wanted = truth.join(seen, ["video", "class"], "left_semi").select("*", config).select("video", "class", "start_sec", "end_sec", "pos", "c.*")
-    matches = match_events(pred.select(*keys, "k_idx", "start_sec", "end_sec", "peak"), wanted, iou, [*keys, "k_idx"])
-    sums = matches.groupBy("class", "w_idx", "t_idx", "k_idx").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    spine = scores.select("class").distinct().select("class", config).select("class", "c.*")
-    full = spine.join(sums, ["class", "w_idx", "t_idx", "k_idx"], "left").select("class", "w_idx", "t_idx", "k_idx", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")))
+    t = F.array_sort(F.collect_list(F.struct(F.col("start_sec").cast("double").alias("s"), F.col("score").cast("double").alias("x"))))
+    g = F.array_sort(F.collect_list(F.struct("pos", F.col("start_sec").cast("double").alias("s"), F.col("end_sec").cast("double").alias("e"))))
+    both = scores.groupBy("video", "class").agg(t.alias("t")).join(truth.groupBy("video", "class").agg(g.alias("g")), ["video", "class"], "left").select("class", "t", "g")
+    shape = (len(windows), len(thresholds), len(min_consecs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            lists = b["t"]
+            ends, flat = np.asarray(lists.offsets), lists.values
+            starts, values = flat.field("s").to_numpy(), flat.field("x").to_numpy()
+            for cls, lo, hi, events in zip(b["class"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), b["g"].to_pylist(), strict=True):
+                found = tally(starts[lo:hi], values[lo:hi], [(e["s"], e["e"]) for e in events or ()], thresholds, windows, min_consecs, iou, chunk)
+                sums[cls] = sums[cls] + found if cls in sums else found
+        at = np.indices(shape).reshape(3, -1)
+        for cls, n in sums.items():
+            flat = n.reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array([cls] * len(flat), kind), *(pa.array(x.astype(np.int32)) for x in at), *(pa.array(flat[:, i]) for i in range(3))], ["class", "w_idx", "t_idx", "k_idx", "tp", "fp", "fn"])
+
+    name = dict(scores.dtypes)["class"]
+    kind = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[name]
+    counts = both.mapInArrow(run, f"class {name}, w_idx int, t_idx int, k_idx int, tp long, fp long, fn long")
+    full = counts.groupBy("class", "w_idx", "t_idx", "k_idx").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     scored = full.withColumn("f1", prf(F.col("tp"), F.col("fp"), F.col("fn"))[2])
-    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("f1"), "w_idx", "t_idx", "k_idx"))).where("_r = 1")
+    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("f1"), "w_idx", "t_idx", "k_idx"))).where("_r = 1")  # a row for each combination
     at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), F.col(i) + 1)
     return best.select("class", at(thresholds, "t_idx").alias("threshold"), at(windows, "w_idx").alias("window"), at(min_consecs, "k_idx").alias("min_consec"), F.col("f1").alias("val_f1"), F.col("tp").alias("val_tp"), F.col("fp").alias("val_fp"), F.col("fn").alias("val_fn"))

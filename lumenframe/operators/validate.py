@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,28 @@ def same_encoder(*tables: DataFrame) -> DataFrame:
     return encoders.agg(n.alias("n_encoders"), (n == 1).cast("int").alias("ok"))
 
 
+def probe_media(files: DataFrame, probe: Callable[[str], dict]) -> DataFrame:
+    """``files`` (path) probed: path, codec, pix_fmt, duration, error.
+
+    ``probe`` takes a path and returns codec, pix_fmt and duration, as a media tool reports them; it runs where the
+    file can be read. A file that it fails on has nulls and the error's text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path in b["path"].to_pylist():
+                try:
+                    found = probe(path)
+                    out.append((path, found.get("codec"), found.get("pix_fmt"), float(found["duration"]), None))
+                except Exception as e:
+                    out.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            kinds = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["path", "codec", "pix_fmt", "duration", "error"])
+
+    return files.select("path").mapInArrow(run, "path string, codec string, pix_fmt string, duration double, error string")
+
+
 def usable_media(probes: DataFrame, min_sec: float = 0.2, codec: str = "h264", pixels: str = "yuv420p") -> DataFrame:
     """Probed files (path, codec, pix_fmt, duration) that are longer than ``min_sec`` and of the wanted format."""
     return probes.where((F.col("duration") > min_sec) & (F.col("codec") == codec) & (F.col("pix_fmt") == pixels))

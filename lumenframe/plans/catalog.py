@@ -185,7 +185,23 @@ def neg_downsample(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("chunk_id", "video", "split", F.array_join("labels", ";").alias("labels"))
 
 
-@query()
+def _greedy_sql() -> str:
+    """The sequential rule: a row after the other, with the splits' sizes and classes so far."""
+    names, shares = ("train", "val", "test"), (0.72, 0.08, 0.2)
+    lacks = ", ".join(f"len(list_filter(o.classes, lambda c: NOT list_contains(h{i}, c))) AS l{i}, {f}::DOUBLE * o.total - s{i} AS r{i}" for i, f in enumerate(shares))
+    better = lambda i, j: f"(l{i} > l{j} OR l{i} = l{j} AND r{i} >= r{j})"
+    pick = f"CASE WHEN {better(0, 1)} AND {better(0, 2)} THEN 0 WHEN {better(1, 2)} THEN 1 ELSE 2 END"
+    state = ", ".join(f"s{i} + CAST(pick = {i} AS INTEGER) AS s{i}, CASE WHEN pick = {i} THEN list_distinct(list_concat(h{i}, classes)) ELSE h{i} END AS h{i}" for i in range(3))
+    return f"""cl AS (SELECT DISTINCT video, class FROM annotations),
+fr AS (SELECT class, count(*) AS k FROM cl GROUP BY class),
+ov AS (SELECT video, list(class) AS classes, min(k) AS rare FROM cl JOIN fr USING (class) GROUP BY video),
+o AS (SELECT *, row_number() OVER (ORDER BY rare, md5('42:' || video), video) AS place, count(*) OVER () AS total FROM ov),
+g AS (SELECT 0::BIGINT AS place, NULL::BIGINT AS video, -1 AS pick, {", ".join(f"0 AS s{i}, []::VARCHAR[] AS h{i}" for i in range(3))}
+  UNION ALL SELECT place, video, pick, {state} FROM (SELECT *, {pick} AS pick FROM (SELECT o.place, o.video, o.classes, s0, s1, s2, h0, h1, h2, {lacks} FROM g JOIN o ON o.place = g.place + 1)))
+SELECT video, [{", ".join(f"'{n}'" for n in names)}][pick + 1] AS split FROM g WHERE place > 0"""
+
+
+@query(select(_greedy_sql().rsplit("\n", 1)[1], _greedy_sql().rsplit("\n", 1)[0]))
 def greedy_video_split(spark: SparkSession, sf: str) -> DataFrame:
     videos = I.annotations(spark, sf).groupBy("video").agg(F.array_sort(F.collect_set("class")).alias("classes"))
     return sampling.greedy_split(videos, {"train": 0.72, "val": 0.08, "test": 0.2})
@@ -381,7 +397,7 @@ def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
 _THR, _WIN, _K = [0.2, 0.35, 0.5, 0.65, 0.8], [1, 3], [1, 2]
 
 
-def _tune_sql() -> str:
+def _tune_sql(_THR: list[float] = _THR, _WIN: list[int] = _WIN, _K: list[int] = _K) -> str:  # noqa: N803
     smooth = " UNION ALL ".join(f"SELECT video, class, {i} AS wi, start_sec, " + ("score" if w <= 1 else f"round(median(score) OVER (PARTITION BY video, class ORDER BY start_sec ROWS BETWEEN {w // 2} PRECEDING AND {w // 2} FOLLOWING), 9)") + " AS score FROM trajectories" for i, w in enumerate(_WIN))
     thr = ", ".join(f"({i}, {t}::DOUBLE)" for i, t in enumerate(_THR))
     ks = ", ".join(f"({i}, {k})" for i, k in enumerate(_K))
@@ -480,7 +496,14 @@ def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).groupBy("split").agg(F.count_distinct("video").alias("videos"), F.count(F.lit(1)).alias("chunks"), F.count_if(~F.array_contains("labels", NEGATIVE)).alias("positives"))
 
 
-@query()
+@query(
+    select(
+        """SELECT v.video, coalesce(events, '{}') AS events FROM (SELECT DISTINCT video FROM durations) v LEFT JOIN (
+  SELECT video, '{' || string_agg('"' || class || '":[' || e || ']', ',' ORDER BY class) || '}' AS events FROM (
+    SELECT video, class, string_agg('{"start_sec":' || start_sec || ',"end_sec":' || end_sec || ',"peak":' || round(peak, 6) || ',"mean":' || round(mean, 6) || ',"n_windows":' || n_windows || '}', ',' ORDER BY start_sec) AS e
+    FROM glue GROUP BY ALL) GROUP BY video) USING (video)"""
+    )
+)
 def events_json(spark: SparkSession, sf: str) -> DataFrame:
     return reports.events_document(I.events(spark, sf, "glue"), I.durations(spark, sf))
 
@@ -499,3 +522,56 @@ def train_heads(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("class", F.size("w").alias("dim"), F.round("b", 6).alias("b"), F.round("t_lo", 6).alias("t_lo"), F.round("t_hi", 6).alias("t_hi"), "c_reg")
 
 
+
+
+@query(select("SELECT c.class, count(*) FILTER (split = 'train' AND label = c.class) AS train_pos, count(*) FILTER (split = 'val' AND label = c.class) AS val_pos, CAST(count(*) FILTER (split = 'train' AND label = c.class) < 50 AS INTEGER) AS warn FROM classes c CROSS JOIN items GROUP BY c.class"))
+def head_positives(spark: SparkSession, sf: str) -> DataFrame:
+    return heads.positives(I.items(spark, sf).withColumn("labels", F.array("label")), I.classes(spark, sf), 50)
+
+
+_ORIGIN = GRID + f""", tr AS (SELECT *, CAST(list_contains(labels, '{NEGATIVE}') AS INTEGER) AS neg FROM chunks WHERE split = 'train'),
+rk AS (SELECT *, row_number() OVER (PARTITION BY video, neg ORDER BY md5('42:' || chunk_id), chunk_id) AS rank, floor(4.0 * greatest(sum(1 - neg) OVER (PARTITION BY video), 1)) AS keep FROM tr),
+kept AS (SELECT chunk_id, video, 0 AS jitter, CASE WHEN neg = 1 THEN 'negative' ELSE 'positive' END AS origin FROM rk WHERE neg = 0 OR rank <= keep),
+mv AS (SELECT m.video, m.start_sec, printf('%d_%07d', m.video, CAST(round_even(m.start_sec * 1000, 0) AS BIGINT)) AS chunk_id
+  FROM (SELECT video, start_sec + d AS start_sec FROM tr, (VALUES (-0.5::DOUBLE), (0.5::DOUBLE)) t(d) WHERE neg = 0) m JOIN durations u ON u.video = m.video AND m.start_sec >= 0 AND m.start_sec + 2.0 <= u.duration
+  WHERE EXISTS (FROM annotations a WHERE a.video = m.video AND a.class <> '{NEGATIVE}' AND least(m.start_sec + 2.0, a.end_sec) - greatest(m.start_sec, a.start_sec) >= 0.5))"""
+
+
+@query(select("SELECT * FROM kept UNION ALL SELECT chunk_id, video, 1 AS jitter, 'jitter' AS origin FROM mv", _ORIGIN))
+def training_set(spark: SparkSession, sf: str) -> DataFrame:
+    c = _chunks(spark, sf)
+    moved = intervals.jitter(c, _truth(spark, sf), I.durations(spark, sf), 0.5, CHUNK, MIN_OVERLAP, NEGATIVE)
+    return sampling.training_set(c, ~F.array_contains("labels", NEGATIVE), moved, "video", "chunk_id").select("chunk_id", "video", "jitter", "origin")
+
+
+@query(select("SELECT chunk_id, CASE WHEN split = 'val' THEN 'held' ELSE 'fit' END AS split FROM chunks WHERE split IN ('val', 'train')", GRID))
+def joined_splits(spark: SparkSession, sf: str) -> DataFrame:
+    c = _chunks(spark, sf).select("chunk_id", "split")
+    return sampling.joined_splits(c, ("val",), "held").unionByName(sampling.joined_splits(c, ("train", "test"), "fit"))
+
+
+@query(select("SELECT item, label, caption FROM items LEFT JOIN (SELECT CAST(i - 1 AS INTEGER) AS label, c AS caption FROM (SELECT generate_subscripts(l, 1) AS i, unnest(l) AS c FROM (SELECT ['zero', 'one', 'two', 'three', 'four'] AS l))) USING (label)"))
+def caption_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    captions = spark.createDataFrame(list(enumerate(("zero", "one", "two", "three", "four"))), "label int, caption string")
+    return classify.with_captions(I.items(spark, sf).select("item", "label"), captions)
+
+
+#: A fixed probe that never saw the last two classes: ten times the prompts, without a bias.
+_PROBE = """lg AS (SELECT item, label, split, class, CASE WHEN class < 8 THEN 10 * score ELSE 0.0 END AS z FROM scores),
+pp AS (SELECT item, label, class AS pred FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY z DESC, class) AS r FROM lg WHERE split = 'val') WHERE r = 1),
+ev AS (SELECT 'probe' AS name, label, pred FROM pp UNION ALL SELECT 'zeroshot', label, pred FROM pred WHERE split = 'val'),
+ct AS (SELECT n.name, c.class, (SELECT count(*) FROM ev WHERE ev.name = n.name AND label = c.class) AS support, (SELECT count(*) FROM ev WHERE ev.name = n.name AND ev.pred = c.class) AS predicted, (SELECT count(*) FROM ev WHERE ev.name = n.name AND ev.pred = c.class AND label = c.class) AS tp FROM classes c, (SELECT DISTINCT name FROM ev) n),
+sm AS (SELECT name, round(sum(tp) / sum(support), 6) AS a, round(avg(CASE WHEN predicted + support > 0 THEN 2.0 * tp / (predicted + support) ELSE 0.0 END) FILTER (support > 0 OR predicted > 0), 6) AS f FROM ct GROUP BY name)"""
+
+
+@query(select("SELECT p.a AS probe_accuracy, p.f AS probe_macro_f1, z.a AS zeroshot_accuracy, z.f AS zeroshot_macro_f1, round(p.a - z.a, 6) AS accuracy_lift, round(p.f - z.f, 6) AS macro_f1_lift FROM sm p, sm z WHERE p.name = 'probe' AND z.name = 'zeroshot'", _PROBE))
+def probe_lift(spark: SparkSession, sf: str) -> DataFrame:
+    seen = I.prompts(spark, sf).where("class < 8").select("class", F.transform("embedding", lambda x: x * 10).alias("w"), F.lit(0.0).alias("b"))
+    val = I.items(spark, sf).where("split = 'val'")
+    probe = heads.probe_predictions(val, heads.by_class_index(seen, 10, 64))
+    return reports.lift(probe, I.predictions(spark, sf).where("split = 'val'"), I.classes(spark, sf))
+
+
+@query(select("SELECT event_id, json_extract(props, '$.k')::DOUBLE AS k FROM events"))
+def flatten_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return I.table(spark, sf, "events").select("event_id", reports.flatten_json(F.col("props"))["k"].alias("k"))

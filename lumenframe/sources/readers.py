@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenframe.functions.names import stem
 from lumenframe.operators.validate import missing, require_empty
@@ -90,3 +97,31 @@ def with_defaults(taxonomy: DataFrame, tuned: DataFrame) -> DataFrame:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty trimmed lines: video."""
     return spark.read.text(path).select(F.trim("value").alias("video")).where(F.length("video") > 0)
+
+
+def array_files(spark: SparkSession, path: str, schema: str, rows: int = 4096) -> DataFrame:
+    """Array archives (.npz) as a table of the arrays that ``schema`` names, and path.
+
+    Arrays run along their first dimension, one row for each place; a matrix gives array columns. An array without
+    dimensions, such as a model's name, is repeated in every row. Arrays of unequal length, missing ones and pickled
+    objects are errors. Each archive is read by one task, ``rows`` rows at a time leave it.
+    """
+    kinds = T._parse_datatype_string(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(f.dataType) for f in kinds]
+        for b in batches:
+            for name, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as archive:
+                    arrays = [archive[f.name] for f in kinds]
+                lengths = {len(a) for a in arrays if a.ndim}
+                if len(lengths) > 1:
+                    raise ValueError(f"{name}: arrays of lengths {sorted(lengths)}")
+                n = lengths.pop() if lengths else 1
+                for low in range(0, n, rows):
+                    high = min(low + rows, n)
+                    cells = [pa.array((a[low:high] if a.ndim else np.repeat(a, high - low)).tolist(), t) for a, t in zip(arrays, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * (high - low)), *cells], ["path", *(f.name for f in kinds)])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, T.StructType([T.StructField("path", T.StringType()), *kinds]))
