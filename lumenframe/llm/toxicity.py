@@ -23,6 +23,10 @@ EXAMPLES, EXAMPLE_WORDS, CALIBRATION = 4096, 4_000_000, 1024
 K, BLOCK, PRIOR_WEIGHT = 15, 64, 0.25
 #: A term must be in so many examples at least to be tested; terms that tell label 1 weigh so many times their TF-IDF.
 LEAST_DF, TELLING_WEIGHT = 3, 64.0
+#: Terms that one in so many examples has, and as many examples at least, are dense rows; texts whose scores by them are one product.
+COMMON, TOGETHER = 16, 128
+#: Blocks that are opened before there is a cosine to beat.
+FIRST = 4
 #: Units in a task's table of those seen.
 KEPT = 300_000
 
@@ -60,6 +64,9 @@ class Vocabulary:
     heads: dict[str, int]
     tells: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.stems = {h[:4] for h in self.heads}
+
     def __len__(self) -> int:
         return len(self.words) + len(self.heads)
 
@@ -70,10 +77,11 @@ class Vocabulary:
         out = []
         for u in units:
             found = []
-            for w in words_of(u):
+            lower = u.strip().lower()
+            for w in (lower,) if lower.isalpha() else _WORD.findall(lower):
                 n = self.words.get(w)
                 found.append(len(self) + (xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & 0xFFFFFFFFF) if n is None else n)
-                if self.heads:
+                if w[:4] in self.stems:
                     found += [self.heads[h] for h in beginnings(w) if h in self.heads]
             out.append(found)
         return out
@@ -84,10 +92,12 @@ def learn_vocabulary(words: list[list[str]], labels: np.ndarray) -> Vocabulary:
     number = {w: i for i, w in enumerate(sorted({w for x in words for w in x}))}
     heads: dict[str, int] = {}
     of_word = [[heads.setdefault(h, len(heads)) for h in beginnings(w)] for w in number]
+    size = np.fromiter(map(len, of_word), np.int64, len(of_word))
+    flat, start = np.fromiter((h for x in of_word for h in x), np.int64, int(size.sum())), np.cumsum(size) - size
     df, ones = np.zeros(len(number) + len(heads), np.int64), np.zeros(len(number) + len(heads), np.int64)
     for x, y in zip(words, labels.tolist(), strict=True):
-        at = [number[w] for w in x]
-        at += [len(number) + h for h in {h for w in at for h in of_word[w]}]
+        at = np.fromiter(map(number.__getitem__, x), np.int64, len(x))
+        at = np.concatenate((at, len(number) + np.unique(flat[spans(start[at], size[at])])))
         df[at] += 1
         if y:
             ones[at] += 1
@@ -131,12 +141,14 @@ class Weights:
 class Index:
     """Block-max inverted index of unit example vectors.
 
-    Postings stand by term and row. For each term and block that has it, an entry holds the largest weight in the
-    block and the postings' place.
+    Terms of many examples are dense rows of weights. Postings of the others stand by term and row; for each term and
+    block that has it, an entry holds the largest weight in the block and the postings' place.
     """
 
     ids: np.ndarray
     labels: np.ndarray
+    common: np.ndarray  # the dense row of each term, or -1
+    dense: np.ndarray  # (common terms, blocks * BLOCK)
     row: np.ndarray
     weight: np.ndarray
     first: np.ndarray  # entries of each term
@@ -145,38 +157,57 @@ class Index:
     start: np.ndarray
     length: np.ndarray
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the ``k`` most similar examples with a cosine above 0, exact, ties to smaller ids; not row ``but``.
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (term, weight) rows and cosines of the ``k`` most similar examples with a cosine above 0, exact, ties to smaller ids.
+
+        The row that ``but`` names for a vector takes no part.
+        """
+        out = []
+        for low in range(0, len(vectors), TOGETHER):
+            part = vectors[low : low + TOGETHER]
+            query = np.zeros((len(part), len(self.dense)))
+            for i, (t, w) in enumerate(part):
+                at = self.common[t]
+                query[i, at[at >= 0]] = w[at >= 0]
+            for i, (score, (t, w)) in enumerate(zip(query @ self.dense, part, strict=True)):
+                rare = self.common[t] < 0
+                out.append(self._best(score, t[rare], w[rare], k, but[low + i] if but else -1))
+        return out
+
+    def _best(self, score: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """The search from the common terms' ``score`` of each row on.
 
-        Blocks are opened in order of their upper bound, the sum of the terms' block maxima; the search ends at
-        the first block whose bound is below the k-th best cosine so far.
+        A block's upper bound is the best score in it and the other terms' block maxima. The blocks with the highest
+        bounds are opened first, then those whose bound isn't below the k-th best cosine found there; only postings in
+        opened blocks are read.
         """
+        if but >= 0:
+            score[but] = -2.0
         n = self.first[term + 1] - self.first[term]
         entry, mine = spans(self.first[term], n), np.repeat(weight, n)
         block = self.block[entry]
-        bound = np.bincount(block, weights=mine * self.most[entry], minlength=-(-len(self.ids) // BLOCK))
+        bound = score.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weights=mine * self.most[entry], minlength=len(score) // BLOCK)
         order = np.argsort(-bound, kind="stable")
-        score = np.zeros(len(self.ids))
         rows, best = np.zeros(0, np.int64), np.zeros(0)
-        at, width = 0, 4
-        while at < len(order) and bound[order[at]] > 0 and (len(best) < k or bound[order[at]] >= best[-1] - 1e-9):
+        now = order[:FIRST]
+        left = order[FIRST:]
+        while len(now):
             opened = np.zeros(len(bound), bool)
-            opened[order[at : at + width]] = True
-            at, width = at + width, width * 4
-            now = opened[block]
-            size = self.length[entry[now]]
-            post = spans(self.start[entry[now]], size)
-            hit = self.row[post]
-            score += np.bincount(hit, weights=np.repeat(mine[now], size) * self.weight[post], minlength=len(score))
-            rows = np.concatenate((rows, np.unique(hit)))
-            rows = rows[rows != but]
-            best = np.round(score[rows], 12)
-            if len(rows) > k:
-                stay = best >= np.partition(best, len(best) - k)[len(best) - k]
-                rows, best = rows[stay], best[stay]
+            opened[now] = True
+            read = opened[block]
+            size = self.length[entry[read]]
+            post = spans(self.start[entry[read]], size)
+            score += np.bincount(self.row[post], weights=np.repeat(mine[read], size) * self.weight[post], minlength=len(score))
+            inside = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            fresh = np.round(score[inside], 12)
+            bar = max(best[-1] if len(best) == k else 0.0, 0.0)
+            stay = (fresh >= bar) & (fresh > 0)
+            rows, best = np.concatenate((rows, inside[stay])), np.concatenate((best, fresh[stay]))
             keep = np.lexsort((rows, self.ids[rows], -best))[:k]
             rows, best = rows[keep], best[keep]
-        return rows[best > 0], best[best > 0]
+            reach = bound[left] >= (best[-1] - 1e-9 if len(best) == k else 0.0)
+            now, left = left[reach], left[~reach][:0]
+        return rows, best
 
 
 def build(vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, terms: int) -> Index:
@@ -186,20 +217,30 @@ def build(vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels:
     than half of the examples have, which is mostly a word of their language.
     """
     df = np.bincount(np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64), minlength=terms)
-    common = np.where(df * 2 < max(len(vectors), 1), df, -1)
+    usual_df = np.where(df * 2 < max(len(vectors), 1), df, -1)
     heavy = [int(t[w.argmax()]) if len(t) and w.max() > 0.3 else terms for t, w in vectors]
-    usual = [int(t[common[t].argmax()]) if len(t) else terms for t, _ in vectors]
+    usual = [int(t[usual_df[t].argmax()]) if len(t) else terms for t, _ in vectors]
     rows = sorted(range(len(vectors)), key=lambda i: (heavy[i], usual[i], int(ids[i]), vectors[i][0].tolist()))
     size = np.array([len(vectors[i][0]) for i in rows], np.int64)
     term = np.concatenate([vectors[i][0] for i in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
     weight = np.concatenate([vectors[i][1] for i in rows]) if rows else np.zeros(0)
     row = np.repeat(np.arange(len(rows)), size)
+    often = np.flatnonzero(df * COMMON >= max(len(vectors), COMMON * COMMON))
+    common = np.full(terms, -1, np.int32)
+    common[often] = np.arange(len(often))
+    dense = np.zeros((len(often), max(1, -(-len(rows) // BLOCK)) * BLOCK))
+    is_common = common[term] >= 0
+    dense[common[term[is_common]], row[is_common]] = weight[is_common]
+    term, weight, row = term[~is_common], weight[~is_common], row[~is_common]
     order = np.lexsort((row, term))
     term, weight, row = term[order], weight[order], row[order]
     start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (row[1:] // BLOCK != row[:-1] // BLOCK)]) if len(term) else np.zeros(0, np.int64)
     length = np.diff(np.append(start, len(term)))
     most = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
-    return Index(np.asarray(ids)[rows], np.asarray(labels, float)[rows], row.astype(np.int32), weight, np.searchsorted(term[start], np.arange(terms + 1)), (row[start] // BLOCK).astype(np.int32), most, start, length)
+    pad = dense.shape[1]  # places without an example have no postings
+    named = np.concatenate((np.asarray(ids)[rows], np.zeros(pad - len(rows), np.int64))) if rows else np.zeros(pad, np.int64)
+    marked = np.concatenate((np.asarray(labels, float)[rows], np.zeros(pad - len(rows)))) if rows else np.zeros(pad)
+    return Index(named, marked, common, dense, row.astype(np.int32), weight, np.searchsorted(term[start], np.arange(terms + 1)), (row[start] // BLOCK).astype(np.int32), most, start, length)
 
 
 @dataclass
@@ -230,14 +271,13 @@ class Scorer:
         self.raw = np.array([v / n for _, n, v in pools])
         self.real = np.maximum.accumulate([(y + self.rate) / (n + 1) for y, n, _ in pools])
 
-    def __call__(self, term: np.ndarray, count: np.ndarray, other: float, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score, the examples' ids (evidence) and their cosines; without a word of an example, the rate of label 1."""
-        if not len(term) or not len(self.index.ids):
-            return self.rate, np.zeros(0, np.int64), np.zeros(0)
-        row, cosine = self.index.nearest(term.astype(np.int64), self.weights.unit(term, count, other), but=but)
-        if not len(row):
-            return self.rate, np.zeros(0, np.int64), np.zeros(0)
-        return float(np.interp(self.vote(row, cosine), self.raw, self.real)), self.index.ids[row], cosine
+    def __call__(self, texts: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, the examples' ids (evidence) and their cosines of each (term, count, other); without a word of an example, the rate of label 1."""
+        out = []
+        for row, cosine in self.index.nearest([(t.astype(np.int64), self.weights.unit(t, c, o)) for t, c, o in texts]):
+            score = float(np.interp(self.vote(row, cosine), self.raw, self.real)) if len(row) else self.rate
+            out.append((score, self.index.ids[row], cosine))
+        return out
 
 
 def clean_labels(labels: DataFrame, id_col: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -340,7 +380,7 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends, term, cnt = np.asarray(b["term"].offsets), np.asarray(b["term"].values), np.asarray(b["cnt"].values)
-            out = [told.value(term[e:f], cnt[e:f].astype(np.float64), o) for e, f, o in zip(ends[:-1].tolist(), ends[1:].tolist(), b["other"].to_pylist(), strict=True)]
+            out = told.value([(term[e:f], cnt[e:f].astype(np.float64), o) for e, f, o in zip(ends[:-1].tolist(), ends[1:].tolist(), b["other"].to_pylist(), strict=True)])
             score = np.array([x[0] for x in out], np.float64)
             size = np.array([len(x[1]) for x in out], np.int64)
             flat = lambda i, kind: np.concatenate([x[i] for x in out]).astype(kind) if out else np.zeros(0, kind)
@@ -353,17 +393,11 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
 def _calibrate(scorer: Scorer, examples: list[dict], arrays: list[tuple[np.ndarray, np.ndarray]]) -> None:
     """Calibrates on the votes that the first ``CALIBRATION`` examples get from the other ones."""
     place: dict[int, list[int]] = {}
-    for i, x in enumerate(scorer.index.ids.tolist()):
+    for i, x in enumerate(scorer.index.ids[: len(examples)].tolist()):
         place.setdefault(x, []).append(i)
-    votes, labels = [], []
-    for r, (t, c) in zip(examples[:CALIBRATION], arrays, strict=False):
-        own = place[r["id"]]
-        if len(own) > 1 or not len(t):  # an id with several texts votes on itself
-            continue
-        row, cosine = scorer.index.nearest(t, scorer.weights.unit(t, c, 0.0), but=own[0])
-        votes.append(scorer.vote(row, cosine))
-        labels.append(r["y"])
-    scorer.calibrate(np.array(votes), np.array(labels))
+    chosen = [(r["y"], t, c, place[r["id"]][0]) for r, (t, c) in zip(examples[:CALIBRATION], arrays, strict=False) if len(t) and len(place[r["id"]]) == 1]  # an id with several texts votes on itself
+    near = scorer.index.nearest([(t, scorer.weights.unit(t, c, 0.0)) for _, t, c, _ in chosen], but=[p for *_, p in chosen])
+    scorer.calibrate(np.array([scorer.vote(*x) for x in near]), np.array([y for y, *_ in chosen]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

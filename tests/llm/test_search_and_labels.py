@@ -186,24 +186,27 @@ def test_toxicity_of_held_out_documents(spark, sf, caught, capsys):
             assert abs(share - mean) <= 0.03 + 2.6 * math.sqrt(mean * (1 - mean) / len(part))
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("common,dense", [(1, {0}), (7, set(range(1, 30))), (16, {30})])  # dense rows for no, some and all terms
+def test_block_max_search_is_exact(monkeypatch, common, dense):
     rng = np.random.default_rng(4)
     vectors = []
     for m in rng.random((700, 30)) < 0.15:
         w = rng.random(m.sum()) + 0.1
         vectors.append((np.flatnonzero(m), w / np.sqrt(w @ w) if len(w) else w))
     ids = rng.permutation(700)
+    monkeypatch.setattr(toxicity, "COMMON", common)
     index = toxicity.build(vectors, ids, rng.integers(0, 2, 700), 30)
+    assert int((index.common >= 0).sum()) in dense
     full = np.zeros((700, 30))
     for i, (t, w) in zip(ids, vectors, strict=True):
         full[i, t] = w
     for i, (t, w) in zip(ids[:80], vectors, strict=False):
-        own = int(np.flatnonzero(index.ids == i)[0])
+        own = int(np.flatnonzero(index.ids[:700] == i)[0])
         for but in (-1, own):
             cosine = np.round(full[:, t] @ w, 12) if len(t) else np.zeros(700)
             cosine[i] = cosine[i] if but < 0 else 0
             want = [j for j in np.lexsort((np.arange(700), -cosine))[: toxicity.K] if cosine[j] > 0]
-            row, found = index.nearest(t, w, but=but)
+            row, found = index.nearest([(t, w)], but=[but])[0]
             assert np.allclose(found, cosine[want]) and index.ids[row].tolist() == want
 
 
@@ -268,6 +271,37 @@ def test_toxicity_of_odd_rows(spark):
     assert {r["predicted"] for r in toxicity.score_texts(df, labels.limit(0)).collect()} == {0}
 
 
+def test_licences_of_ties_repeated_rows_and_long_texts(spark):
+    long = "word and more words, without any end " * 40_000
+    rows = [("/a/x", "Released under the MIT License."), ("/a/x", "Released under the MIT License."), ("/b/x", "Released under the MIT License.\nLicensed under CC BY-NC 4.0"), ("/c/x", long + "\nReleased under the MIT License.\n" + long), ("/d/x", long), ("/e/x", " ".join(["license"] * 5000))]
+    df = spark.createDataFrame(rows, "p string, text string").withColumn("row", F.lit("clash")).withColumn("statements", F.lit(1))
+    got = sorted((r["p"], r["own_license"], r["own_cosine"]) for r in licenses.scan(df, F.col("p"), keep=("p",)).collect())
+    assert [(p, name) for p, name, _ in got] == [("/a/x", "MIT"), ("/a/x", "MIT"), ("/b/x", "CC-BY-NC-4.0"), ("/c/x", "MIT"), ("/d/x", None), ("/e/x", None)]
+    assert got[0][2] == got[1][2] == got[2][2] == got[3][2] == 1.0  # a tie goes to the first name
+
+
+def test_cosines_against_plain_dictionaries(spark):
+    texts = ["Licensed under the Apache License, Version 2.0 or so", "This work is licensed under a Creative Commons Attribution 4.0 license", "MIT License", "Permission to use copy modify and or distribute this software for any purpose is hereby granted", "All rights reserved reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    terms = sorted({w for _, _, t in licenses.templates() for w in licenses.words(t)})
+    idf = licenses.document_frequencies(df, "t", terms)
+    rows = df.select(F.col("i").alias("row"), licenses.statements(F.col("t"), idf, 0.3).alias("statements"))
+    got = {r["row"]: (r["own_license"], r["own_cosine"]) for r in licenses.own_licenses(rows, idf, 0.3).collect()}
+    for i, t in enumerate(texts):
+        best = {0: (0.0, ""), 1: (0.0, "")}
+        for kind, name, template in licenses.templates():
+            known = {w for k, _, x in licenses.templates() if k == kind for w in licenses.words(x)}
+            for s in {t} if kind == 0 else {t, *t.split(": ")}:
+                a, b = Counter(licenses.words(s)), Counter(licenses.words(template))
+                weigh = lambda c: {w: n * idf[w if w in known else ""] for w, n in c.items()}  # noqa: E731, B023
+                x, y = weigh(a), weigh(b)
+                cosine = round(sum(x[w] * y.get(w, 0) for w in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())), 6)
+                if (kind == 0 or licenses._needed(template) <= set(a)) and cosine >= 0.3 and (-cosine, name) < (-best[kind][0], best[kind][1] or "~"):
+                    best[kind] = (cosine, name)
+        want = best[0] if best[0][1] and (best[0][1] != "Proprietary" or not best[1][1]) else best[1]
+        assert got.get(i, ("", 0.0))[0] == want[1] and abs(got.get(i, ("", 0.0))[1] - want[0]) < 2e-6
+
+
 LICENCE_TEXTS = {
     "MIT": "MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n",
     "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n",
