@@ -162,18 +162,26 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): node, root = the component's smallest node.
 
-    Rounds of least-neighbour labels with pointer jumping; every round is a staged table, so lost executors
-    cost one round. Hubs of many edges and roots of many nodes are joined apart. Nothing but the number of changed
-    labels comes to the driver. No edges: no rows.
+    In a round every node takes its smallest neighbour for parent, parents are followed to their end by doubling, and
+    edges are drawn anew between these ends, which leaves few; a round without edges is the last. Every step is a
+    staged table, so a lost executor costs one step, and hubs of many edges or children are joined apart. Nothing but
+    whether rows are left comes to the driver. No edges: no rows.
     """
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), f"{name}-labels")
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = stage(edges.where("a <> b").select(*ordered("a", "b")).distinct(), f"{name}-edges")
+    found = stage(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), f"{name}-nodes")
     for _ in range(max_rounds):
-        near = join_hot(both, labels.select(F.col("node").alias("b"), "root"), ["b"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        stepped = stage(labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("up")), f"{name}-steps")
-        up = labels.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        labels = stage(join_hot(stepped, up, ["up"], "left").select("node", "was", F.least("up", F.coalesce("top", "up")).alias("root")), f"{name}-labels")
-        if labels.where("was <> root").limit(1).count() == 0:
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+        if left.limit(1).count() == 0:
+            return found
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
+        parent = stage(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), f"{name}-parents")
+        while True:
+            step = stage(join_hot(parent, parent.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"]).select("node", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")), f"{name}-steps")
+            parent = step.select("node", "root")
+            if step.where("moved").limit(1).count() == 0:
+                break
+        found = stage(join_hot(found, parent.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"], "left").select("node", F.coalesce("top", "root").alias("root")), f"{name}-nodes")
+        half = stage(join_hot(left, parent.select(F.col("node").alias("a"), F.col("root").alias("x")), ["a"]).select("b", "x"), f"{name}-half")
+        drawn = join_hot(half, parent.select(F.col("node").alias("b"), F.col("root").alias("y")), ["b"]).where("x <> y")
+        left = stage(drawn.select(*ordered("x", "y")).distinct(), f"{name}-edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
