@@ -45,6 +45,10 @@ STOP = frozenset(
 LONG, MEDIUM = 140, 60
 STOP_HIGH, STOP_LOW = 0.2, 0.08
 LINKED = 0.4
+#: Share of linked letters at which even an article's block is a list of links; white space counts as unlinked.
+LINKED_MAIN = 0.7
+#: An article or main element isn't the article if other running text is so many times its text and so many characters longer.
+OUTSIDE, SPARE = 2, 600
 
 #: A comment, a declaration or a tag. Attributes may hold quoted ">"; a tag with more than 256 stretches of quotes, or
 #: with an unclosed quote, ends at its first ">". No alternative looks far ahead twice, so pages take linear time.
@@ -227,11 +231,14 @@ def _runs(block: Block) -> bool:
 
 
 def decide(block: Block, has_main: bool) -> bool | None:
-    """First pass: what a block's place, length, links and stop words say about it alone."""
+    """First pass: what a block's place, length, links and stop words say about it alone.
+
+    Inside an article the same rules hold with other limits: fewer stop words and more links make it text.
+    """
     if block.boiler or has_main and not block.main:
         return False
     n = len(block.text)
-    if block.linked > LINKED * n and not block.main:
+    if block.linked > (LINKED_MAIN if block.main else LINKED) * n:
         return False
     words = block.text.lower().split()
     stop = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
@@ -239,11 +246,18 @@ def decide(block: Block, has_main: bool) -> bool | None:
         return True
     if n >= MEDIUM and stop >= STOP_HIGH and block.linked <= LINKED * n / 2:
         return True
-    if not block.main and (n >= LONG and stop < STOP_LOW and not _runs(block) or block.linked and n < MEDIUM):
+    if n >= LONG and stop < STOP_LOW and not _runs(block) or not block.main and block.linked and n < MEDIUM:
         return False
     return None
 
 
+def _holds_article(blocks: list[Block]) -> bool:
+    """Whether article and main elements hold the page's article: not if far more running text is outside of them."""
+    inside = sum(len(b.text) for b in blocks if b.main and not b.boiler)
+    outside = sum(len(b.text) - b.linked for b in blocks if not b.main and not b.boiler and len(b.text) >= MEDIUM and b.linked <= LINKED * len(b.text))
+    return inside > 0 and outside <= OUTSIDE * inside + SPARE
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line.
 
@@ -254,8 +268,9 @@ def main_text(page: str | None) -> str:
     if the page has no decided text at all.
     """
     blocks = blocks_of(page or "")
-    has_main = any(b.main and not b.boiler for b in blocks)
+    has_main = _holds_article(blocks)
     for b in blocks:
+        b.main = b.main and has_main
         b.label = decide(b, has_main)
     seen = [b for b in blocks if not b.boiler and (b.main or not has_main)] if has_main else blocks
     if not any(b.label for b in seen):

@@ -428,6 +428,43 @@ def test_text_without_known_stop_words_stays(text):
     assert htmltext.main_text(page) == f"{text}\n{text}"
 
 
+def test_densities_decide(monkeypatch):
+    links = "<p>" + " ".join(f'<a href="/{i}">the story of the day</a>' for i in range(12)) + " and</p>"
+    numbers = "<p>" + " ".join(f'<a href="/{i}">{i}{i}{i}{i}</a> {i}9,{i}7' for i in range(30)) + "</p>"
+    for page in (f"<article><p>{ENGLISH}</p>{links}{numbers}<p>{ENGLISH}</p></article>", f"<body><p>{ENGLISH}</p>{links}{numbers}<p>{ENGLISH}</p></body>"):
+        assert htmltext.main_text(page) == f"{ENGLISH}\n{ENGLISH}"
+    loose = f"<body><p>{ENGLISH}</p>{links}</body>"
+    assert "story" not in htmltext.main_text(loose)
+    monkeypatch.setattr(htmltext, "LINKED", 1.0)
+    assert "story" in htmltext.main_text(loose)
+    monkeypatch.setattr(htmltext, "LINKED_MAIN", 1.0)
+    assert "story" in htmltext.main_text(f"<article><p>{ENGLISH}</p>{links}</article>")
+    monkeypatch.undo()
+    short = f"<body><p>{ENGLISH}</p><p>ok</p><nav><p>x</p></nav></body>"
+    assert htmltext.main_text(short).endswith("ok")
+    monkeypatch.setattr(htmltext, "STOP_HIGH", 2.0)
+    monkeypatch.setattr(htmltext, "LONG", 10_000)
+    assert htmltext.main_text(short) != ENGLISH + "\nok"
+
+
+def test_ambiguous_blocks_go_with_the_nearest_decided_ones():
+    menu = '<div><a href="/a">one of the links of the site that is here for you</a></div>'
+    page = f"<body>{menu}<div>Near the menu</div>{menu}<h2>A heading</h2><p>{ENGLISH}</p><div>In between</div><p>{ENGLISH}</p>{menu}</body>"
+    assert htmltext.main_text(page) == f"A heading\n{ENGLISH}\nIn between\n{ENGLISH}"
+
+
+def test_a_stray_teaser_is_not_the_article():
+    body = f"<div><h1>On it</h1>{f'<p>{ENGLISH}</p>' * 8}</div>"
+    assert htmltext.main_text(f"<body>{body}<article><p>Other news.</p></article></body>").startswith("On it\n" + ENGLISH)
+    assert htmltext.main_text(f"<body><article><p>Only this.</p></article><div><p>{ENGLISH}</p></div></body>") == "Only this."
+
+
+def test_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{ENGLISH}</p>", "t", 5)], "page_id int, url string, html string, text string, n_chars int").withColumn("h", F.lit("x")).withColumn("k0", F.lit(1))
+    assert htmltext.extract(df).select("text", "n_chars").first() == (ENGLISH, len(ENGLISH))
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 def test_boilerplate_by_class_stays_out():
     junk = "".join(f'<div class="{c}"><p>All of the news that is on the site for you and for the people who are here.</p></div>' for c in ("site-footer", "ad", "cookie-notice", "related posts"))
     assert htmltext.main_text(f"<body><p>{ENGLISH}</p><p>{ENGLISH}</p><p>{ENGLISH}</p>{junk}</body>") == "\n".join([ENGLISH] * 3)
