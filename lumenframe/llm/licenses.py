@@ -1,6 +1,6 @@
 """Licence scan: TF-IDF cosine of statements to templates, then inheritance from the nearest licensed directory above.
 
-DataFrame and SQL functions only. A text's statements are its lines and sentences; the standard headers and licence
+DataFrame and SQL functions only, on sparse term rows. A text's statements are its lines and sentences; the standard headers and licence
 files are looked for in lines and in sentences over wrapped lines. Files take the licence of their own best statement;
 files without one take that of the nearest directory above them that holds a licence file.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import stage
@@ -99,10 +99,10 @@ def document_frequencies(df: DataFrame, text: str, terms: list[str]) -> dict[str
     return {t: math.log((n + 1) / (seen.get(t, 0) + 1)) + 1 for t in [*terms, ""]}
 
 
-def _anchors(idf: dict[str, float], threshold: float, templates: list[str] | None = None) -> list[str]:
+def _anchors(idf: dict[str, float], threshold: float, texts: list[str]) -> list[str]:
     """Terms of which every matching statement holds one: a template's other terms together stay below the threshold."""
     out: set[str] = set()
-    for template in TEMPLATES.values() if templates is None else templates:
+    for template in texts:
         count = {w: words(template).count(w) for w in words(template)}
         weight = sorted(((count[w] * idf[w]) ** 2, w) for w in count)
         limit, rest = threshold**2 * sum(x for x, _ in weight) * (1 - 1e-9), 0.0
@@ -113,99 +113,73 @@ def _anchors(idf: dict[str, float], threshold: float, templates: list[str] | Non
     return sorted(out)
 
 
-def statement_cosines(statement: Column, idf: dict[str, float]) -> Column:
-    """array of (cosine, template) of a statement, in order of the template's name."""
-    w = words_of(statement)
-    terms = sorted({t for template in TEMPLATES.values() for t in words(template)})
-    known = F.filter(w, lambda x: x.isin(terms))
-    # Of the other words only the squared counts matter: equal words are neighbours once sorted.
-    zero = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-    others = F.aggregate(
-        F.array_sort(F.filter(w, lambda x: ~x.isin(terms))),
-        zero,
-        lambda a, x: F.struct(x.alias("w"), F.when(a["w"] == x, a["run"] + 1.0).otherwise(F.lit(1.0)).alias("run"), (a["sum"] + F.when(a["w"] == x, 2.0 * a["run"] + 1.0).otherwise(F.lit(1.0))).alias("sum")),
-        lambda a: a["sum"] * (idf[""] ** 2),
-    )
-    counts = F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter(known, lambda x: x == t)).cast("double"))
-    norm = F.aggregate(F.zip_with(counts, F.array(*(F.lit(idf[t] ** 2) for t in terms)), lambda c, v: c * c * v), F.lit(0.0), lambda a, x: a + x) + others
-
-    both = F.struct(counts.alias("counts"), norm.alias("norm"))
-
-    def scores(b: Column) -> Column:
-        cells = []
-        for name in sorted(TEMPLATES):
-            own = [float(words(TEMPLATES[name]).count(t)) for t in terms]
-            size = math.sqrt(sum((c * idf[t]) ** 2 for c, t in zip(own, terms, strict=True)))
-            weights = F.array(*(F.lit(c * idf[t] ** 2) for c, t in zip(own, terms, strict=True)))
-            dot = F.aggregate(F.zip_with(b["counts"], weights, lambda c, v: c * v), F.lit(0.0), lambda a, x: a + x)
-            cells.append(F.struct(F.when(b["norm"] > 0, F.round(dot / (F.sqrt(b["norm"]) * F.lit(size)), 6)).otherwise(F.lit(0.0)).alias("cosine"), F.lit(name).alias("license")))
-        return F.array(*cells)
-
-    return F.element_at(F.transform(F.array(both), scores), 1)
-
-
-def own_license(df: DataFrame, text: str, idf: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with own_license and own_cosine: the best statement's template; ties go to the name that sorts first.
-
-    Only statements with an anchor term are scored, which leaves none out that reaches the threshold.
+def templates() -> list[tuple[int, str, str]]:
+    """(kind, license, text) of all templates: kind 0 are ``TEMPLATES``, kind 1 are ``TEXTS``; in order of the name."""
+    return [(0, name, TEMPLATES[name]) for name in sorted(TEMPLATES)] + [(1, name, t) for name in sorted(TEXTS) for t in TEXTS[name]]
+
+
+def _needed(text: str) -> set[str]:
+    """A template of at most six words is a heading, all of whose words must be there: "mit" alone is a German word."""
+    return set(words(text)) - {"the"} if len(words(text)) <= 6 else set()
+
+
+def postings(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
+    """A row for each term: w, squares (of its weight, by kind) and postings (template, weight over the template's norm, needed).
+
+    In a kind's statements, a word of none of the kind's templates weighs as a word of no document.
     """
-    anchors = _anchors(idf, threshold)
-    statements = F.filter(F.split(F.col(text), STATEMENT), lambda s: F.arrays_overlap(F.split(F.lower(s), GAP), F.array(*map(F.lit, anchors))))
-    each = F.transform(statements, lambda s: F.reduce(statement_cosines(s, idf), F.struct(F.lit(0.0).alias("cosine"), F.lit("").alias("license")), lambda a, x: F.when(x["cosine"] > a["cosine"], x).otherwise(a)))
-    best = F.reduce(each, F.struct(F.lit(0.0).alias("cosine"), F.lit("").alias("license")), lambda a, x: F.when((x["cosine"] > a["cosine"]) | ((x["cosine"] == a["cosine"]) & (x["license"] < a["license"])), x).otherwise(a))
-    # A plain test of the whole text first: few texts hold an anchor at all.
-    any_anchor = F.col(text).rlike("(?iu)" + "|".join(map(re.escape, anchors)))
-    found = df.withColumn("_best", F.when(any_anchor, best))
-    # A standard text says more than "All rights reserved", which many of them hold; other statements stand.
-    whole = F.col("_text")["cosine"] >= threshold
-    found = found.withColumn("_text", text_license(F.col(text), idf, threshold))
-    stands = (F.col("_best")["cosine"] >= threshold) & ((F.col("_best")["license"] != "Proprietary") | ~F.coalesce(whole, F.lit(False)))
-    found = found.withColumn("_best", F.when(F.coalesce(stands, F.lit(False)), F.col("_best")).when(whole, F.col("_text"))).drop("_text")
-    match = F.col("_best")["cosine"] >= threshold
-    return found.withColumn("own_license", F.when(match, F.col("_best")["license"])).withColumn("own_cosine", F.when(match, F.col("_best")["cosine"])).drop("_best")
-
-
-def text_license(text: Column, idf: dict[str, float], threshold: float = THRESHOLD) -> Column:
-    """(cosine, license) of the best of ``TEXTS`` in a text's lines and sentences over wrapped lines; ties go to the name that sorts first.
-
-    A template of at most six words is a heading, all of whose words must be there: "mit" alone is a German word.
-    A dot product is a sum over a statement's words of the templates' weights of each; equal words are neighbours once sorted.
+    rows: dict[str, list[str]] = {}
+    for i, (kind, _, text) in enumerate(templates()):
+        own = words(text)
+        size = math.sqrt(sum((own.count(w) * idf[w]) ** 2 for w in set(own)))
+        for w in sorted(set(own)):
+            need = int(kind == 1 and w in _needed(text))
+            rows.setdefault(w, []).append(f"named_struct('template', {i}, 'weight', {own.count(w) * idf[w] ** 2 / size!r}D, 'need', {need})")
+    known = [{w for kind, _, text in templates() if kind == k for w in words(text)} for k in (0, 1)]
+    square = lambda w: ", ".join(f"{idf[w if w in k else ''] ** 2!r}D" for k in known)
+    values = ", ".join(f"('{w}', array({square(w)}), array({', '.join(cells)}))" for w, cells in sorted(rows.items()))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(w, squares, postings)")
+
+
+def statements(text: Column, idf: dict[str, float], threshold: float) -> Column:
+    """array of (kind, s): the statements that a template of each kind may match, of texts that hold a word of one at all.
+
+    Only statements with an anchor term are taken, which leaves none out that reaches the threshold. Kind 0 are lines
+    and sentences, kind 1 also sentences over wrapped lines.
     """
-    templates = [(name, t) for name in sorted(TEXTS) for t in TEXTS[name]]
-    terms = sorted({w for _, t in templates for w in words(t)})
-    sizes = [math.sqrt(sum((words(t).count(w) * idf[w]) ** 2 for w in set(words(t)))) for _, t in templates]
-    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in (idf[w] ** 2, *(words(t).count(w) * idf[w] ** 2 / z for (_, t), z in zip(templates, sizes, strict=True)))) + ")" for w in terms)
-    table, known = F.expr(f"array({rows})"), F.array(*map(F.lit, terms))
-    other = F.array(F.lit(idf[""] ** 2), *(F.lit(0.0) for _ in templates))
-    need = [sorted(set(words(t)) - {"the"}) if len(words(t)) <= 6 else [] for _, t in templates]
-    names = F.array(*(F.struct(F.lit(name).alias("license"), (F.array(*map(F.lit, n)) if n else F.array().cast("array<string>")).alias("need")) for (name, _), n in zip(templates, need, strict=True)))
-    none = F.struct(F.lit(0.0).alias("cosine"), F.lit("").alias("license"))
-    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("run"), F.lit(0.0).alias("norm"), F.array(*(F.lit(0.0) for _ in templates)).alias("dots"))
-
-    def add(a: Column, x: Column) -> Column:
-        run = F.when(a["w"] == x["w"], a["run"] + 1.0).otherwise(F.lit(1.0))
-        norm = a["norm"] + (2.0 * run - 1.0) * F.get(x["v"], F.lit(0))
-        return F.struct(x["w"].alias("w"), run.alias("run"), norm.alias("norm"), F.zip_with(a["dots"], F.slice(x["v"], 2, len(templates)), lambda p, q: p + q).alias("dots"))
-
-    def score(statement: Column) -> Column:
-        def cell(a: Column, d: Column, n: Column) -> Column:
-            cosine = F.round(d / F.sqrt(a["norm"]), 6)
-            whole = (cosine >= threshold) & (F.size(F.array_except(n["need"], words_of(statement))) == 0)
-            return F.struct(F.when(whole, cosine).otherwise(F.lit(0.0)).alias("cosine"), n["license"].alias("license"))
-
-        def best(a: Column) -> Column:
-            found = F.zip_with(a["dots"], names, lambda d, n: cell(a, d, n))
-            return F.when(a["norm"] > 0, F.reduce(found, none, lambda b, y: F.when(y["cosine"] > b["cosine"], y).otherwise(b))).otherwise(none)
-
-        looked = F.transform(F.array_sort(words_of(statement)), lambda w: F.struct(w.alias("w"), F.coalesce(F.get(table, (F.array_position(known, w) - 1).cast("int")), other).alias("v")))
-        return F.reduce(looked, start, add, best)
-
-    anchors = _anchors(idf, threshold, [t for _, t in templates])
+    held = lambda s, a: F.arrays_overlap(F.split(F.lower(s), GAP), F.array(*map(F.lit, a)))
+    anchors = [_anchors(idf, threshold, [t for k, _, t in templates() if k == kind]) for kind in (0, 1)]
+    tagged = lambda found, kind: F.transform(F.filter(found, lambda s: held(s, anchors[kind])), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
+    none = F.array().cast("array<struct<kind: int, s: string>>")
     lines = F.split(text, STATEMENT)
-    statements = F.array_distinct(F.concat(lines, F.split(F.regexp_replace(text, WRAP, " "), SENTENCE)))
-    held = F.filter(statements, lambda s: F.arrays_overlap(F.split(F.lower(s), GAP), F.array(*map(F.lit, anchors))))
-    found = F.reduce(F.transform(held, score), none, lambda a, x: F.when((x["cosine"] > a["cosine"]) | ((x["cosine"] == a["cosine"]) & (x["license"] < a["license"])), x).otherwise(a))
-    return F.when(text.rlike(r"(?i)licen[sc]|copyright|permission|redistribution|software|creative|cc0|mozilla"), found)
+    short = F.when(text.rlike("(?iu)" + "|".join(map(re.escape, anchors[0]))), tagged(lines, 0)).otherwise(none)
+    wrapped = F.array_distinct(F.concat(lines, F.split(F.regexp_replace(text, WRAP, " "), SENTENCE)))
+    standard = F.when(text.rlike(r"(?i)licen[sc]|copyright|permission|redistribution|software|creative|cc0|mozilla"), tagged(wrapped, 1)).otherwise(none)
+    return F.coalesce(F.concat(short, standard), none)
+
+
+def own_licenses(rows: DataFrame, idf: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
+    """row, own_license and own_cosine of the rows (row, statements) with a match: that of the best template of any statement.
+
+    Statements are sparse rows (statement, word, count); they meet the templates' postings by an equi-join on the word,
+    and dot products are sums by statement and template. Ties go to the name that sorts first. A standard text says
+    more than "All rights reserved", which many of them hold; other matches of kind 0 stand before those of kind 1.
+    """
+    spark = rows.sparkSession
+    held = rows.where(F.size("statements") > 0).select("row", F.posexplode("statements").alias("pos", "x")).select("row", "pos", "x.kind", F.explode(words_of(F.col("x.s"))).alias("w"))
+    counted = held.repartition("row", "pos").groupBy("row", "pos", "kind", "w").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    met = counted.join(F.broadcast(postings(spark, idf)), "w", "left")  # a row for each word of a template
+    square = F.col("c") * F.col("c") * F.coalesce(F.element_at("squares", F.col("kind") + 1), F.lit(idf[""] ** 2))
+    cells = F.transform("postings", lambda x: F.struct(x["template"].alias("template"), (x["weight"] * F.col("c")).alias("dot"), x["need"].alias("need")))
+    each = met.groupBy("row", "pos", "kind").agg(F.sum(square).alias("norm"), F.flatten(F.collect_list(cells)).alias("cells"))
+    dots = each.select("row", "pos", "kind", "norm", F.inline("cells")).groupBy("row", "pos", "kind", "norm", "template").agg(F.sum("dot").alias("dot"), F.sum("need").alias("needed"))
+    facts = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("license"), F.lit(len(_needed(t)) if k else 0).alias("need")) for k, n, t in templates()))
+    scored = dots.withColumn("fact", F.get(facts, F.col("template"))).where("kind = fact.kind AND needed >= fact.need").select("row", "kind", F.round(F.col("dot") / F.sqrt("norm"), 6).alias("cosine"), "fact.license")
+    best = lambda k: F.min(F.when(F.col("kind") == k, F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("license")))).alias(f"b{k}")
+    found = scored.where(F.col("cosine") >= threshold).groupBy("row").agg(best(0), best(1))
+    stands = F.col("b0").isNotNull() & ((F.col("b0.license") != "Proprietary") | F.col("b1").isNull())
+    chosen = F.when(stands, F.col("b0")).otherwise(F.col("b1"))
+    return found.select("row", chosen["license"].alias("own_license"), (-chosen["c"]).alias("own_cosine"))
 
 
 def _salted(probe: DataFrame, table: DataFrame, key: str, salt: Column, how: str) -> DataFrame:
@@ -243,8 +217,11 @@ def scan(df: DataFrame, path: Column, text: str = "text", keep: tuple[str, ...]
     Document frequencies are counted over all rows' whole texts. Null and empty texts have no licence of their
     own; repeated rows get equal results; an empty table has none.
     """
-    terms = sorted({t for template in (*TEMPLATES.values(), *(t for of in TEXTS.values() for t in of)) for t in words(template)})
+    terms = sorted({w for _, _, t in templates() for w in words(t)})
     read = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), path.alias("path"), F.col(text).alias("t"))
     idf = document_frequencies(read, "t", terms)
-    found = inherit(stage(own_license(read, "t", idf, threshold).drop("t"), "licenses"))  # own licences are found once, not for each of three uses
+    kept = [f"k{i}" for i in range(len(keep))]
+    rows = stage(read.select(F.monotonically_increasing_id().alias("row"), *kept, "path", statements(F.col("t"), idf, threshold).alias("statements")), "license-statements")
+    own = stage(own_licenses(rows.select("row", "statements"), idf, threshold), "licenses")
+    found = inherit(rows.drop("statements").join(own, "row", "left").drop("row"))
     return found.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "path", "own_license", "own_cosine", "license", "license_from")
