@@ -50,9 +50,9 @@ LINKED_MAIN = 0.7
 #: An article or main element isn't the article if other running text is so many times its text and so many characters longer.
 OUTSIDE, SPARE = 2, 600
 
-#: A comment, a declaration or a tag. Attributes may hold quoted ">"; a tag with more than 256 stretches of quotes, or
-#: with an unclosed quote, ends at its first ">". No alternative looks far ahead twice, so pages take linear time.
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^<>]*>|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,256}+)>|(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>)", re.S)
+#: A comment, a declaration or a tag. Attributes may hold quoted ">"; a tag with an unclosed quote ends at its first ">".
+#: No alternative gives back what it has taken, so pages take linear time.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^<>]*>|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>)", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z]+")
 _HEADING = re.compile(r"h[1-6]")

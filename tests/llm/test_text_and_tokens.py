@@ -383,7 +383,7 @@ def test_join_query_equals_sql(spark):
     assert collected(queries.op10_ngram_join(spark, SF)) == oracle(SF, queries.oracle_sql()["op10_ngram_join"])
 
 
-@pytest.mark.parametrize("page", ["<div class='" * 20_000, '<a href="' * 20_000 + "x", "<" * 100_000, "<div>" * 20_000 + "x", "<svg>a" * 20_000, "<a<b" * 30_000])
+@pytest.mark.parametrize("page", ["<div class='" * 20_000, '<a href="' * 20_000 + "x", "<" * 100_000, "<div>" * 20_000 + "x", "<svg>a" * 20_000, "<a<b" * 30_000, '<a ' + '"<a "' * 20_000])
 def test_broken_pages_take_linear_time(page):
     import time
 
@@ -392,6 +392,10 @@ def test_broken_pages_take_linear_time(page):
     assert time.process_time() - began < 20
 
 
+def test_tags_with_many_attributes():
+    assert htmltext.main_text("<p " + " ".join(f'a{i}="x>y"' for i in range(6000)) + ">text of it</p>") == "text of it"
+
+
 def test_scripts_and_inline_adverts():
     page = '<article><p>before <script>if (a<b && c == "x") { d = "</p>" }</script>after <span class="ad">buy <span>this</span> now</span></p><p>end</p></article>'
     assert htmltext.main_text(page) == "before after\nend"
