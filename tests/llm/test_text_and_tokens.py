@@ -472,3 +472,29 @@ def test_pages_with_clashing_columns(spark):
 def test_boilerplate_by_class_stays_out():
     junk = "".join(f'<div class="{c}"><p>All of the news that is on the site for you and for the people who are here.</p></div>' for c in ("site-footer", "ad", "cookie-notice", "related posts"))
     assert htmltext.main_text(f"<body><p>{ENGLISH}</p><p>{ENGLISH}</p><p>{ENGLISH}</p>{junk}</body>") == "\n".join([ENGLISH] * 3)
+
+
+def test_staging_needs_a_shared_folder_off_local_mode():
+    from types import SimpleNamespace
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            common.stage_dir(SimpleNamespace(conf=Conf({"spark.master": master})))
+    assert common.stage_dir(SimpleNamespace(conf=Conf({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///x/"}))) == "hdfs:///x"
+    local = Conf({"spark.master": "local[2]"})
+    assert common.stage_dir(SimpleNamespace(conf=local)) == local["spark.checkpoint.dir"]
+
+
+def test_very_long_texts():
+    text = "The quick words of a very long text, and more of them. " * 200_000  # 11 MB
+    tok = library(WORDS)
+    one = tok.encode("The quick words of a very long text, and more of them.", add_special_tokens=False).ids
+    ids, sizes = units.UnitEncoder(units.LibraryWords(WORDS, False)).encode_many([text, "a"])
+    assert sizes.tolist() == [200_000 * len(one), 1] and (ids[:-1].reshape(200_000, -1) == one).all()
+    assert len(jaccard.ngrams(text)) == 12
+    mel, energy = media.log_mel(np.frombuffer(media.payload_of(text), np.uint8))
+    assert len(mel) == len(energy) and len(media.from_arrow(media.to_arrow(mel))) == -(-len(mel) // media.TENSOR)
+    assert htmltext.main_text(f"<article><p>{text}</p></article>") == text.strip()
