@@ -148,7 +148,7 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     common: np.ndarray  # the dense row of each term, or -1
-    dense: np.ndarray  # (common terms, blocks * BLOCK)
+    dense: np.ndarray  # (common terms, blocks * size)
     row: np.ndarray
     weight: np.ndarray
     first: np.ndarray  # entries of each term
@@ -156,6 +156,7 @@ class Index:
     most: np.ndarray
     start: np.ndarray
     length: np.ndarray
+    size: int = BLOCK  # examples in a block
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each (term, weight) rows and cosines of the ``k`` most similar examples with a cosine above 0, exact, ties to smaller ids.
@@ -186,7 +187,7 @@ class Index:
         n = self.first[term + 1] - self.first[term]
         entry, mine = spans(self.first[term], n), np.repeat(weight, n)
         block = self.block[entry]
-        bound = score.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weights=mine * self.most[entry], minlength=len(score) // BLOCK)
+        bound = score.reshape(-1, self.size).max(axis=1) + np.bincount(block, weights=mine * self.most[entry], minlength=len(score) // self.size)
         order = np.argsort(-bound, kind="stable")
         rows, best = np.zeros(0, np.int64), np.zeros(0)
         now = order[:FIRST]
@@ -198,7 +199,7 @@ class Index:
             size = self.length[entry[read]]
             post = spans(self.start[entry[read]], size)
             score += np.bincount(self.row[post], weights=np.repeat(mine[read], size) * self.weight[post], minlength=len(score))
-            inside = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            inside = (now[:, None] * self.size + np.arange(self.size)).ravel()
             fresh = np.round(score[inside], 12)
             bar = max(best[-1] if len(best) == k else 0.0, 0.0)
             stay = (fresh >= bar) & (fresh > 0)
@@ -240,16 +241,20 @@ def build(vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels:
     pad = dense.shape[1]  # places without an example have no postings
     named = np.concatenate((np.asarray(ids)[rows], np.zeros(pad - len(rows), np.int64))) if rows else np.zeros(pad, np.int64)
     marked = np.concatenate((np.asarray(labels, float)[rows], np.zeros(pad - len(rows)))) if rows else np.zeros(pad)
-    return Index(named, marked, common, dense, row.astype(np.int32), weight, np.searchsorted(term[start], np.arange(terms + 1)), (row[start] // BLOCK).astype(np.int32), most, start, length)
+    return Index(named, marked, common, dense, row.astype(np.int32), weight, np.searchsorted(term[start], np.arange(terms + 1)), (row[start] // BLOCK).astype(np.int32), most, start, length, BLOCK)
 
 
 @dataclass
 class Scorer:
-    """Votes of the nearest examples, calibrated: ``raw`` and ``real`` are points of a rising curve from votes to scores."""
+    """Votes of the nearest examples, calibrated: ``raw`` and ``real`` are points of a rising curve from votes to scores.
+
+    ``rate`` is the share of label 1, ``rate_without`` that among examples without a term that tells it.
+    """
 
     weights: Weights
     index: Index
     rate: float
+    rate_without: float
     raw: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     real: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
 
@@ -272,10 +277,10 @@ class Scorer:
         self.real = np.maximum.accumulate([(y + self.rate) / (n + 1) for y, n, _ in pools])
 
     def __call__(self, texts: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Score, the examples' ids (evidence) and their cosines of each (term, count, other); without a word of an example, the rate of label 1."""
+        """Score, the examples' ids (evidence) and their cosines of each (term, count, other); without a word of an example, the rate without."""
         out = []
         for row, cosine in self.index.nearest([(t.astype(np.int64), self.weights.unit(t, c, o)) for t, c, o in texts]):
-            score = float(np.interp(self.vote(row, cosine), self.raw, self.real)) if len(row) else self.rate
+            score = float(np.interp(self.vote(row, cosine), self.raw, self.real)) if len(row) else self.rate_without
             out.append((score, self.index.ids[row], cosine))
         return out
 
@@ -326,8 +331,8 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     is in no other document. Document frequencies are counted over all of ``df``. Scores are votes of the ``K``
     nearest examples, calibrated on votes on examples by the others. Evidence is the ids and cosines of these nearest.
 
-    Null and empty texts, and texts without a word of an example, get the smoothed rate of label 1, which is 0 without
-    any examples, and no evidence. Repeated rows get equal scores; a repeated id among the examples' texts counts
+    Null and empty texts, and texts without a word of an example, get the smoothed rate of label 1 among examples
+    without a term that tells it, which is 0 without any examples, and no evidence. Repeated rows get equal scores; a repeated id among the examples' texts counts
     with each different text.
     """
     spark = df.sparkSession
@@ -373,7 +378,8 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
         arrays.append((term, np.bincount(number, weights=np.repeat(r["counts"], [len(x) for x in terms]), minlength=len(term)) if len(term) else np.zeros(0)))
     ids = np.array([r["id"] for r in examples], np.int64)
     index = build([(t, weights.unit(t, c, 0.0)) for t, c in arrays], ids, y, len(vocabulary))
-    scorer = Scorer(weights, index, float(rate))
+    plain = np.array([not vocabulary.tells[t].any() for t, _ in arrays], bool)
+    scorer = Scorer(weights, index, float(rate), float((y[plain].sum() + rate) / (plain.sum() + 1)))
     _calibrate(scorer, examples, arrays)
     told = spark.sparkContext.broadcast(scorer)
 
