@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,17 +88,35 @@ class Vocabulary:
         return out
 
 
-def learn_vocabulary(words: list[list[str]], labels: np.ndarray) -> Vocabulary:
-    """The vocabulary of examples, given as their distinct words. A beginning counts once for each example that has it."""
-    number = {w: i for i, w in enumerate(sorted({w for x in words for w in x}))}
+@dataclass
+class Examples:
+    """Examples in order, with their distinct words as places in ``words``, sorted: those of example i from ends[i] to ends[i + 1]."""
+
+    ids: np.ndarray
+    y: np.ndarray
+    words: list[str]
+    index: np.ndarray
+    counts: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def learn_vocabulary(examples: Examples) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """The vocabulary of examples, and the numbers of each word's telling beginnings, flat with each word's number of them.
+
+    A beginning counts once for each example that has it.
+    """
+    words, labels = examples.words, examples.y
     heads: dict[str, int] = {}
-    of_word = [[heads.setdefault(h, len(heads)) for h in beginnings(w)] for w in number]
-    size = np.fromiter(map(len, of_word), np.int64, len(of_word))
-    flat, start = np.fromiter((h for x in of_word for h in x), np.int64, int(size.sum())), np.cumsum(size) - size
-    df, ones = np.zeros(len(number) + len(heads), np.int64), np.zeros(len(number) + len(heads), np.int64)
-    for x, y in zip(words, labels.tolist(), strict=True):
-        at = np.fromiter(map(number.__getitem__, x), np.int64, len(x))
-        at = np.concatenate((at, len(number) + np.unique(flat[spans(start[at], size[at])])))
+    size = np.fromiter((max(0, min(len(w), 8) - 3) for w in words), np.int64, len(words))
+    flat = np.fromiter((heads.setdefault(h, len(heads)) for w in words for h in beginnings(w)), np.int64, int(size.sum()))
+    start = np.cumsum(size) - size
+    df, ones = np.zeros(len(words) + len(heads), np.int64), np.zeros(len(words) + len(heads), np.int64)
+    for i, y in enumerate(labels.tolist()):
+        at = examples.index[examples.ends[i] : examples.ends[i + 1]]
+        at = np.concatenate((at, len(words) + np.unique(flat[spans(start[at], size[at])])))
         df[at] += 1
         if y:
             ones[at] += 1
@@ -105,8 +124,13 @@ def learn_vocabulary(words: list[list[str]], labels: np.ndarray) -> Vocabulary:
     seen = np.flatnonzero(df >= LEAST_DF)
     if 0 < pos < n and len(seen):
         tells[seen] = telling(df[seen], ones[seen], n, pos)
-    kept = [h for h, i in heads.items() if tells[len(number) + i]]
-    return Vocabulary(number, {h: len(number) + i for i, h in enumerate(sorted(kept))}, np.concatenate((tells[: len(number)], np.ones(len(kept), bool))))
+    kept = sorted(h for h, i in heads.items() if tells[len(words) + i])
+    number = np.full(len(heads), -1, np.int64)
+    number[[heads[h] for h in kept]] = len(words) + np.arange(len(kept))
+    own = number[flat]
+    per_word = np.bincount(np.repeat(np.arange(len(words)), size)[own >= 0], minlength=len(words))
+    vocabulary = Vocabulary({w: i for i, w in enumerate(words)}, {h: len(words) + i for i, h in enumerate(kept)}, np.concatenate((tells[: len(words)], np.ones(len(kept), bool))))
+    return vocabulary, own[own >= 0], per_word
 
 
 def counted(vocabulary: Vocabulary, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -304,8 +328,8 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b["id"], b["y"], b["place"], pa.array(list(map(len, found)), pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["id", "y", "place", "n", "words", "counts"])
 
 
-def _examples(df: DataFrame, labels: DataFrame, rows: int) -> list[dict]:
-    """Examples (id, y, words, counts) in order of a hash of id and text: the smallest ones, within the bounds on rows and words."""
+def _examples(df: DataFrame, labels: DataFrame, rows: int) -> Examples:
+    """Examples in order of a hash of id and text: the smallest ones, within the bounds on rows and words."""
     chosen = F.broadcast(train_rows(labels, rows))  # about ``rows`` rows
     read = df.select(F.col("id"), F.xxhash64("id", "t").alias("place"), F.col("t")).join(chosen, "id").dropDuplicates(["id", "place"])  # equal rows are one example
     found = stage(map_arrow(read.select("id", "y", "place", "t"), _example_words, "id long, y int, place long, n long, words array<string>, counts array<int>"), "tox-examples")
@@ -316,10 +340,15 @@ def _examples(df: DataFrame, labels: DataFrame, rows: int) -> list[dict]:
         if held > EXAMPLE_WORDS and last is not None:
             break
         last = r["place"]
-    if last is None:
-        return []
-    taken = found.where((F.col("place") <= last) & (F.col("n") <= EXAMPLE_WORDS)).orderBy("place").limit(rows)
-    return taken.select("id", "y", "words", "counts").toArrow().to_pylist()  # within the bounds
+    taken = found.where((F.col("place") <= F.lit(last).cast("long")) & (F.col("n") <= EXAMPLE_WORDS)).orderBy("place").limit(rows)
+    table = taken.select("id", "y", "words", "counts").toArrow().combine_chunks()  # within the bounds; none without a last one
+    lists, counts = (pa.chunked_array(table[c].chunks, table[c].type).combine_chunks() for c in ("words", "counts"))
+    coded = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()  # by bytes, as by code points
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return Examples(table["id"].to_numpy(), table["y"].to_numpy().astype(np.int64), coded.dictionary.take(pa.array(order)).to_pylist(), place[coded.indices.to_numpy()], counts.flatten().to_numpy().astype(np.int64), ends)
 
 
 def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", rows: int = EXAMPLES) -> DataFrame:
@@ -340,8 +369,8 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     read = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), *([] if text in keep else [F.col(text).alias("t")]))
     types, words = dict(read.dtypes), f"k{keep.index(text)}" if text in keep else "t"
     examples = _examples(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")), labels, rows)
-    y = np.array([r["y"] for r in examples], np.int64)
-    vocabulary = learn_vocabulary([r["words"] for r in examples], y)
+    y = examples.y
+    vocabulary, heads, n_heads = learn_vocabulary(examples)
     rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
     shared = spark.sparkContext.broadcast(vocabulary)
 
@@ -370,13 +399,13 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     df_[seen["term"].to_numpy()] = seen["n"].to_numpy()
     weights = Weights((np.log((total + 1) / (df_ + 1)) + 1) * np.where(vocabulary.tells, TELLING_WEIGHT, 1.0), math.log(total + 1) + 1)
 
-    of_word = dict(zip(vocabulary.words, vocabulary.encode(list(vocabulary.words)), strict=True))
+    first = np.cumsum(n_heads) - n_heads
     arrays = []
-    for r in examples:  # all their words are known
-        terms = [of_word[w] for w in r["words"]]
-        term, number = np.unique(np.array([t for x in terms for t in x], np.int64), return_inverse=True)
-        arrays.append((term, np.bincount(number, weights=np.repeat(r["counts"], [len(x) for x in terms]), minlength=len(term)) if len(term) else np.zeros(0)))
-    ids = np.array([r["id"] for r in examples], np.int64)
+    for a, b in zip(examples.ends[:-1].tolist(), examples.ends[1:].tolist(), strict=True):  # all their words are known
+        at, count = examples.index[a:b], examples.counts[a:b]
+        term, number = np.unique(np.concatenate((at, heads[spans(first[at], n_heads[at])])), return_inverse=True)
+        arrays.append((term, np.bincount(number, weights=np.concatenate((count, np.repeat(count, n_heads[at]))), minlength=len(term)).astype(np.float64)))
+    ids = examples.ids
     index = build([(t, weights.unit(t, c, 0.0)) for t, c in arrays], ids, y, len(vocabulary))
     plain = np.array([not vocabulary.tells[t].any() for t, _ in arrays], bool)
     scorer = Scorer(weights, index, float(rate), float((y[plain].sum() + rate) / (plain.sum() + 1)))
@@ -396,12 +425,12 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     return map_arrow(sparse, scores, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "score", "predicted", "evidence_ids", "evidence_cosines")
 
 
-def _calibrate(scorer: Scorer, examples: list[dict], arrays: list[tuple[np.ndarray, np.ndarray]]) -> None:
+def _calibrate(scorer: Scorer, examples: Examples, arrays: list[tuple[np.ndarray, np.ndarray]]) -> None:
     """Calibrates on the votes that the first ``CALIBRATION`` examples get from the other ones."""
     place: dict[int, list[int]] = {}
     for i, x in enumerate(scorer.index.ids[: len(examples)].tolist()):
         place.setdefault(x, []).append(i)
-    chosen = [(r["y"], t, c, place[r["id"]][0]) for r, (t, c) in zip(examples[:CALIBRATION], arrays, strict=False) if len(t) and len(place[r["id"]]) == 1]  # an id with several texts votes on itself
+    chosen = [(y, t, c, place[i][0]) for y, i, (t, c) in zip(examples.y[:CALIBRATION].tolist(), examples.ids.tolist(), arrays, strict=False) if len(t) and len(place[i]) == 1]  # an id with several texts votes on itself
     near = scorer.index.nearest([(t, scorer.weights.unit(t, c, 0.0)) for _, t, c, _ in chosen], but=[p for *_, p in chosen])
     scorer.calibrate(np.array([scorer.vote(*x) for x in near]), np.array([y for y, *_ in chosen]))
 

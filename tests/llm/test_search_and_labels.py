@@ -222,7 +222,10 @@ def test_toxicity_equals_brute_force(spark, monkeypatch):
     got = {r["doc_id"]: r for r in toxicity.score_texts(frame, toxicity.clean_labels(spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
     text, label = dict(docs), dict(labels)
     own = [i for i in text if i in label]
-    known = toxicity.learn_vocabulary([sorted(set(toxicity.words_of(text[i]))) for i in own], np.array([label[i] for i in own]))
+    lists = [sorted(set(toxicity.words_of(text[i]))) for i in own]
+    words = sorted({w for x in lists for w in x})
+    at, ends = np.array([words.index(w) for x in lists for w in x]), np.cumsum([0, *map(len, lists)])
+    known, _, _ = toxicity.learn_vocabulary(toxicity.Examples(np.array(own), np.array([label[i] for i in own]), words, at, np.ones(len(at), int), ends))
     assert "vile" in known.heads and "x" * 300 in known.words
     terms = {i: Counter(w for w in toxicity.words_of(t or "")) for i, t in docs}
     for i, c in list(terms.items()):
