@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, htmltext, jaccard, langid, licenses, media, packing, pipeline, tokenio, topk, toxicity
+from lumenframe.llm import audit, bpe, htmltext, jaccard, langid, licenses, media, packing, pipeline, tokenio, topk, toxicity
 from lumenframe.llm.sources import table, tokenizer_path
 
 
@@ -70,8 +70,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_langid, op3_licenses, op4_toxicity, op5_media, op6_html, op7_bpe, op8_tokenio, op9_packing, op10_ngram_join)
+    own = (op1_topk, op2_langid, op3_licenses, op4_toxicity, op5_media, op6_html, op7_bpe, op8_tokenio, op9_packing, op10_ngram_join, op13_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
@@ -150,10 +154,43 @@ near AS (
 )"""
 
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS e
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), m AS (
+  SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS failed,
+    count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM f GROUP BY ALL
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT p.k || q.k || r.k || s.k || t.k AS o FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.k, q.k, r.k, s.k, t.k])) = 5),
+run AS (
+  SELECT part, o, failed, n, good, toxic, list_min(list_transform(string_split(failed, ''), lambda c: strpos(o, c))) AS place FROM m, o WHERE failed <> ''
+  UNION ALL SELECT part, o, failed, n, good, toxic, 6 FROM m, o WHERE failed = ''
+), steps AS (SELECT o, CAST(s AS INTEGER) AS step, o[s] AS own FROM o, range(1, 6) r(s)),
+base AS (
+  SELECT part, r.o, step, own, sum(CASE WHEN place > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN place = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN place < step AND contains(failed, own) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN place = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN place = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM run r JOIN steps s ON s.o = r.o GROUP BY ALL
+)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM base
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "op1_topk": OP1_SQL,
         "op3_licenses": _licenses_sql(),
+        "op13_filter_audit": OP13_SQL,
         "op10_ngram_join": f"WITH RECURSIVE {near_sql()} SELECT doc_id, class_id, set_id, n_copies, n_set_links, n_links FROM near",
     }
     return found | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
