@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import audit, bpe, htmltext, jaccard, langid, licenses, media, packing, pipeline, tokenio, topk, toxicity
+from lumenframe.llm import audit, bpe, htmltext, jaccard, langid, licenses, media, packing, pipeline, tokenio, topk, toxicity, warc
+from lumenframe.llm.common import stage
 from lumenframe.llm.sources import table, tokenizer_path
 
 
@@ -70,12 +71,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = warc.new_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), where)
+    found = warc.resolve(stage(warc.read_records(spark, where), "warc-read"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_langid, op3_licenses, op4_toxicity, op5_media, op6_html, op7_bpe, op8_tokenio, op9_packing, op10_ngram_join, op13_filter_audit)
+    own = (op1_topk, op2_langid, op3_licenses, op4_toxicity, op5_media, op6_html, op7_bpe, op8_tokenio, op9_packing, op10_ngram_join, op11_warc, op13_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
@@ -154,6 +162,13 @@ near AS (
 )"""
 
 
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, max(page_id) OVER (PARTITION BY t) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {warc.LEAST_BYTES} AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.LEAST_BYTES} AND page_id <> top THEN top END AS refers_to
+FROM d
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
@@ -190,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "op1_topk": OP1_SQL,
         "op3_licenses": _licenses_sql(),
+        "op11_warc": OP11_SQL,
         "op13_filter_audit": OP13_SQL,
         "op10_ngram_join": f"WITH RECURSIVE {near_sql()} SELECT doc_id, class_id, set_id, n_copies, n_set_links, n_links FROM near",
     }
