@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import audit, bpe, htmltext, jaccard, langid, licenses, media, packing, pipeline, tokenio, topk, toxicity, warc
+from lumenframe.llm import audit, bpe, htmltext, jaccard, langid, licenses, media, negatives, packing, pipeline, tokenio, topk, toxicity, warc
 from lumenframe.llm.common import stage
 from lumenframe.llm.sources import table, tokenizer_path
 
@@ -78,12 +78,17 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_langid, op3_licenses, op4_toxicity, op5_media, op6_html, op7_bpe, op8_tokenio, op9_packing, op10_ngram_join, op11_warc, op13_filter_audit)
+    own = (op1_topk, op2_langid, op3_licenses, op4_toxicity, op5_media, op6_html, op7_bpe, op8_tokenio, op9_packing, op10_ngram_join, op11_warc, op12_hard_negatives, op13_filter_audit)
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
@@ -169,6 +174,23 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {warc.
 FROM d
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND r <= 5 AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
@@ -206,6 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk": OP1_SQL,
         "op3_licenses": _licenses_sql(),
         "op11_warc": OP11_SQL,
+        "op12_hard_negatives": OP12_SQL,
         "op13_filter_audit": OP13_SQL,
         "op10_ngram_join": f"WITH RECURSIVE {near_sql()} SELECT doc_id, class_id, set_id, n_copies, n_set_links, n_links FROM near",
     }
