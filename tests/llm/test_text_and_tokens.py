@@ -463,6 +463,59 @@ def test_a_stray_teaser_is_not_the_article():
     assert htmltext.main_text(f"<body><article><p>Only this.</p></article><div><p>{ENGLISH}</p></div></body>") == "Only this."
 
 
+COMMENT = "I think that this is not what the writer of the piece had in mind, and it is a pity that all of the others on the site say the same of it."
+
+
+@pytest.mark.parametrize("kind", ['div class="comments"', 'section class="comments"', 'div class="sidebar"', 'div class="cookie-notice"', 'div class="newsletter"', 'div class="ad"'])
+@pytest.mark.parametrize("n", [1, 2, 3, 12])
+def test_what_an_element_is_counts_not_its_weight(kind, n):
+    junk = f"<{kind}>" + "".join(f"<p>{COMMENT} {i}</p>" for i in range(n)) + f"</{kind.split()[0]}>"
+    for page in ("<article><p>{}</p></article>{j}", "{j}<article><p>{}</p></article>", "<article><p>{}</p>{j}</article>", "<article>{j}<p>{}</p></article>", "<div><p>{}</p></div>{j}", "{j}<p>{}</p>"):
+        assert htmltext.main_text(f"<body>{page.format(ENGLISH, j=junk)}</body>") == ENGLISH
+    for page in ("<article><h1>T</h1><p>Short.</p>{j}</article>", "<h1>T</h1><p>Short.</p>{j}"):
+        assert htmltext.main_text(f"<body>{page.format(j=junk)}</body>") == "T\nShort."
+    wrapped = f'<body><div class="{kind.split(chr(34))[1]}-layout"><article><h1>T</h1><p>{ENGLISH}</p>{junk}</article></div></body>'
+    assert htmltext.main_text(wrapped) == f"T\n{ENGLISH}"
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_densities_find_the_article_without_semantic_tags(level):
+    """Pages with <article> renamed, then without class, id and role, then without any semantic tag keep their text."""
+    import re
+
+    import duckdb
+
+    same = total = 0
+    for (page,) in duckdb.sql(f"SELECT html FROM read_parquet('{SF.replace('0.001', '0.01')}/pages.parquet')").fetchall():
+        plain = re.sub(r"<(/?)article\b", r"<\1div", page)
+        plain = re.sub(r"\s(?:class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", plain) if level else plain
+        plain = re.sub(r"<(/?)(nav|footer|header|aside|main|section|form)\b", r"<\1div", plain) if level > 1 else plain
+        same, total = same + (htmltext.main_text(plain) == htmltext.main_text(page)), total + 1
+    assert same >= 0.98 * total > 200
+
+
+def test_nearest_decided_blocks_equal_a_plain_reading():
+    rng = random.Random(3)
+    for _ in range(300):
+        blocks = [htmltext.Block("x", 0, False, False, rng.choice([0, 0, 0, 1, 3]), box=rng.randrange(3), label=rng.choice([None, None, True, False])) for _ in range(rng.randrange(1, 12))]
+        for i, (p, q) in enumerate(htmltext._nearest(blocks)):
+            before = [(i - j, b.label) for j, b in enumerate(blocks[:i]) if b.label is not None][::-1]
+            after = [(j - i, b.label) for j, b in enumerate(blocks) if j > i and b.label is not None and not any(x.heading for x in blocks[i + 1 : j + 1])]
+            own_before = [(i - j, b.label) for j, b in enumerate(blocks[:i]) if b.label is not None and b.box == blocks[i].box][::-1]
+            own_after = [(j - i, b.label) for j, b in enumerate(blocks) if j > i and b.label is not None and b.box == blocks[i].box]
+            want = (own_before, own_after) if own_before or own_after else (before, after)
+            assert (p, q) == tuple(x[0] if x else None for x in want)
+
+
+def test_deep_soft_elements_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for tag in ('<div class="ad">', '<article class="ad">', "<article>"):
+        htmltext.main_text(f"{tag}<p>{ENGLISH}</p>" * 10_000)
+    assert time.process_time() - began < 30
+
+
 def test_pages_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", f"<p>{ENGLISH}</p>", "t", 5)], "page_id int, url string, html string, text string, n_chars int").withColumn("h", F.lit("x")).withColumn("k0", F.lit(1))
     assert htmltext.extract(df).select("text", "n_chars").first() == (ENGLISH, len(ENGLISH))
