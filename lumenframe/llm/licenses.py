@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF cosine of statements to templates, then inheritance from the nearest licensed directory above.
 
-DataFrame and SQL functions only, on sparse term rows. A text's statements are its lines and sentences; the standard headers and licence
-files are looked for in lines and in sentences over wrapped lines. Files take the licence of their own best statement;
+DataFrame and SQL functions only, on sparse term rows. A text's statements are its lines, its sentences, and
+its sentences and clauses over wrapped lines. Files take the licence of their own best statement;
 files without one take that of the nearest directory above them that holds a licence file.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,55 +31,85 @@ TEMPLATES = {
     "Proprietary": "All rights reserved",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
-_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
-_HEADER = "This program is free software you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or at your option any later version"
-_LESSER = "This library is free software you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version {} of the License, or at your option any later version"
-#: Headings, sentences of licence files and standard headers, by licence. Versions that differ little stand
-#: beside each other, so that the nearest one is found.
+#: Names, versions and kinds of licences that come in families, as their texts spell them.
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+COMMONS_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+GNU = {"GPL": ("GNU General Public License", {"1.0": "1", "2.0": "2", "3.0": "3"}), "LGPL": ("GNU Lesser General Public License", {"2.1": "2.1", "3.0": "3"}), "AGPL": ("GNU Affero General Public License", {"3.0": "3"})}
+FAMILIES = {
+    "Apache": (("1.0", "1.1", "2.0"), ("Apache License, Version {}", "Apache Software License, Version {}", "Licensed under the Apache License, Version {}")),
+    "MPL": (("1.0", "1.1", "2.0"), ("Mozilla Public License Version {}", "The contents of this file are subject to the Mozilla Public License Version {}")),
+    "EPL": (("1.0", "2.0"), ("Eclipse Public License - v {}", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v{}")),
+    "BSL": (("1.0",), ("Boost Software License - Version {}", "Distributed under the Boost Software License, Version {}")),
+}
+GNU_TEXTS = (
+    "{} Version {}",
+    "This work is licensed under the {}, version {}",
+    "This program is free software you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or at your option any later version",
+)
+#: Headings and sentences of licence files that tell a licence, by licence.
 TEXTS = {
-    "AGPL-3.0": ("GNU Affero General Public License Version 3, 19 November 2007", _HEADER.format("Affero", "3")),
+    "AGPL-3.0": ("GNU Affero General Public License Version 3, 19 November 2007", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"),
     "Apache-2.0": (
-        "Apache License, Version 2.0",
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
         "Licensed under the Apache License, Version 2.0 (the License)",
-        "you may not use this file except in compliance with the License",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     ),
-    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
     "BSD-3-Clause": (
         "BSD 3-Clause License",
-        _BSD,
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "The 3-Clause BSD License",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     ),
-    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International Public License"),
-    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC0-1.0": ("CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    "GPL-2.0": ("GNU General Public License Version 2, June 1991", _HEADER.format("", "2")),
-    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007", "GNU General Public License Version 3", _HEADER.format("", "3")),
+    "GPL-2.0": ("GNU General Public License Version 2, June 1991",),
+    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007", "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
     "ISC": ("ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    "LGPL-2.1": ("GNU Lesser General Public License Version 2.1, February 1999", _LESSER.format("2.1")),
-    "LGPL-3.0": ("GNU Lesser General Public License Version 3, 29 June 2007", "GNU Lesser General Public License Version 3", _LESSER.format("3"), _HEADER.format("Lesser", "3")),
+    "LGPL-2.0": ("GNU Library General Public License Version 2, June 1991", "GNU Library General Public License, version 2"),
+    "LGPL-2.1": (
+        "GNU Lesser General Public License Version 2.1, February 1999",
+        "This library is free software you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or at your option any later version",
+    ),
+    "LGPL-3.0": (
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        "This library is free software you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    ),
     "MIT": (
         "MIT License",
         "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     ),
-    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    "MPL-2.0": ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",),
     "Unlicense": (
         "The Unlicense",
-        "This is free and unencumbered software released into the public domain",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     ),
+    "Zlib": ("zlib License", "This software is provided as-is, without any express or implied warranty", "In no event will the authors be held liable for any damages arising from the use of this software"),
+}
+#: Sentences that several licences share; they count where no other statement of a text tells a licence.
+SHARED = {
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    ),
+    "MIT": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",),
 }
+#: Words that tell variants and versions of a licence apart, by what they say. A statement matches a template
+#: only if it says the same of these; a template without a number takes any.
+MARKS = {
+    "share alike": ("sharealike", "alike", "sa"), "non-commercial": ("noncommercial", "commercial", "nc"), "no derivatives": ("noderivatives", "noderivs", "derivatives", "nd"),
+    "affero": ("affero", "agpl", "agplv3"), "lesser": ("lesser", "lgpl", "lgplv2", "lgplv3"),
+    "1": ("1", "v1", "gplv1"), "2": ("2", "v2", "gplv2", "lgplv2"), "3": ("3", "v3", "gplv3", "lgplv3", "agplv3"), "4": ("4", "v4"), "5": ("5",),
+}
+#: Words of which a text that is looked at holds one.
+HINT = r"(?i)licen[sc]|copyright|permission|redistribution|software|creative commons|cc0|public domain|rights reserved|spdx"
 #: The least cosine of a match; salts of a lookup by directory.
 THRESHOLD, SALTS = 0.75, 32
 #: Ends of statements and the gaps between words, for Spark and for SQL engines with RE2 alike.
 STATEMENT, GAP = r"\n|[.!?;] ", r"[^\p{L}\p{N}]+"
-#: Wrapped lines: a line's end before a line with a word, and the marks of a comment that begin that line. Ends of sentences over them.
-WRAP, SENTENCE = r"[^\S\n]*\n(?=[^\p{L}\p{N}\n]*[\p{L}\p{N}])[^\p{L}\p{N}\n]*", r"\n|[.!?;:]\s"
+#: Wrapped lines: a line's end before a line with a word, and the marks of a comment that begin that line. Ends of sentences and clauses over them.
+WRAP, SENTENCE, CLAUSE = r"[^\S\n]*\n[^\p{L}\p{N}\n]*([\p{L}\p{N}])", r"\n|[.!?]\s", r"\n|[.!?;:]\s"
 #: Names of licence files.
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
 
@@ -113,73 +144,101 @@ def _anchors(idf: dict[str, float], threshold: float, texts: list[str]) -> list[
     return sorted(out)
 
 
-def templates() -> list[tuple[int, str, str]]:
-    """(kind, license, text) of all templates: kind 0 are ``TEMPLATES``, kind 1 are ``TEXTS``; in order of the name."""
-    return [(0, name, TEMPLATES[name]) for name in sorted(TEMPLATES)] + [(1, name, t) for name in sorted(TEXTS) for t in TEXTS[name]]
+class Template(NamedTuple):
+    """A licence's statement: ``level`` 0 tells the licence, 1 is shared by several, 2 says least; ``need``: how many of its words must be there."""
 
+    license: str
+    text: str
+    level: int
+    need: int
 
-def _needed(text: str) -> set[str]:
-    """A template of at most six words is a heading, all of whose words must be there: "mit" alone is a German word."""
-    return set(words(text)) - {"the"} if len(words(text)) <= 6 else set()
+    def marks(self) -> tuple[int, int]:
+        """The bits of ``MARKS`` that a statement must have, and those that it is compared by."""
+        own, every = set(words(self.text)), [*MARKS]
+        bits = sum(1 << i for i, k in enumerate(every) if not own.isdisjoint(MARKS[k]))
+        digits = sum(1 << i for i, k in enumerate(every) if k.isdigit())
+        return bits, (1 << len(every)) - 1 if bits & digits else (1 << len(every)) - 1 - digits
 
 
-def postings(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
-    """A row for each term: w, squares (of its weight, by kind) and postings (template, weight over the template's norm, needed).
+def mark_bits() -> dict[str, int]:
+    """The bits of ``MARKS`` that a word says."""
+    return {w: sum(1 << i for i, k in enumerate(MARKS) if w in MARKS[k]) for k in MARKS for w in MARKS[k]}
+
 
-    In a kind's statements, a word of none of the kind's templates weighs as a word of no document.
+def templates() -> list[Template]:
+    """All templates, in a fixed order: single statements, families by variant and version, licence files, SPDX lines.
+
+    Short headings and SPDX lines must be there with all their words ("mit" alone is a German word), others with half, and three at least.
     """
+    told: list[tuple[str, str, int, bool]] = [(name, TEMPLATES[name], {"Proprietary": 2, "BSD-3-Clause": 1}.get(name, 0), False) for name in sorted(TEMPLATES)]
+    for code, name in COMMONS.items():
+        for version, kind in COMMONS_VERSIONS.items():
+            own = f"CC-{code}-{version}"
+            told += [(own, f"Creative Commons {name} {version} {kind}", 0, False), (own, f"This work is licensed under a Creative Commons {name} {version} {kind} License", 0, False)]
+            told += [(own, f"Licensed under CC {code} {version}", 0, False), (own, f"CC {code} {version}", 0, True)]
+    for code, (name, versions) in GNU.items():
+        for version, short in versions.items():
+            told += [(f"{code}-{version}", text.format(name, short), 0, False) for text in GNU_TEXTS]
+            told += [(f"{code}-{version}", f"Licensed under the {code}v{short}", 0, True)]
+    for code, (versions, texts) in FAMILIES.items():
+        told += [(f"{code}-{version}", t, 0, len(set(words(t))) < 6) for version in versions for t in (text.format(version) for text in texts)]
+    for level, table in ((0, TEXTS), (1, SHARED)):
+        told += [(name, text, level, len(words(text)) <= 6) for name in sorted(table) for text in table[name]]
+    named = sorted({name for name, _, level, _ in told if level < 2})
+    told += [(name, f"SPDX-License-Identifier: {name}", 0, True) for name in named]
+    unique = {(name, tuple(words(text))): (name, text, level, need) for name, text, level, need in reversed(told)}
+    size = {text: len(set(words(text)) - {"the"}) for _, text, _, _ in told}
+    return [Template(name, text, level, size[text] if need else max(min(3, size[text]), size[text] // 2)) for name, text, level, need in reversed(unique.values())]
+
+
+def postings(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
+    """A row for each term: w, square (of its weight), marks, postings (template, weight over the template's norm, need, its marks)."""
     rows: dict[str, list[str]] = {}
-    for i, (kind, _, text) in enumerate(templates()):
-        own = words(text)
+    for i, t in enumerate(templates()):
+        own, (bits, care) = words(t.text), t.marks()
         size = math.sqrt(sum((own.count(w) * idf[w]) ** 2 for w in set(own)))
         for w in sorted(set(own)):
-            need = int(kind == 1 and w in _needed(text))
-            rows.setdefault(w, []).append(f"named_struct('template', {i}, 'weight', {own.count(w) * idf[w] ** 2 / size!r}D, 'need', {need})")
-    known = [{w for kind, _, text in templates() if kind == k for w in words(text)} for k in (0, 1)]
-    square = lambda w: ", ".join(f"{idf[w if w in k else ''] ** 2!r}D" for k in known)
-    values = ", ".join(f"('{w}', array({square(w)}), array({', '.join(cells)}))" for w, cells in sorted(rows.items()))
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(w, squares, postings)")
+            need = int(w != "the")
+            rows.setdefault(w, []).append(f"named_struct('template', {i}, 'weight', {own.count(w) * idf[w] ** 2 / size!r}D, 'need', {need}, 'bits', {bits}, 'care', {care})")
+    bits_of = mark_bits()
+    values = [f"('{w}', {idf[w] ** 2!r}D, {bits_of.get(w, 0)}, array({', '.join(cells)}))" for w, cells in sorted(rows.items())]
+    none = "cast(array() AS array<struct<template: int, weight: double, need: int, bits: int, care: int>>)"
+    values += [f"('{w}', {idf[''] ** 2!r}D, {bits}, {none})" for w, bits in sorted(bits_of.items()) if w not in rows]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS t(w, square, marks, postings)")
 
 
 def statements(text: Column, idf: dict[str, float], threshold: float) -> Column:
-    """array of (kind, s): the statements that a template of each kind may match, of texts that hold a word of one at all.
+    """The distinct lines, sentences, and sentences and clauses over wrapped lines that a template may match, of texts with a ``HINT``.
 
-    Only statements with an anchor term are taken, which leaves none out that reaches the threshold. Kind 0 are lines
-    and sentences, kind 1 also sentences over wrapped lines.
+    Only statements with an anchor term are taken, which leaves none out that reaches the threshold.
     """
-    held = lambda s, a: F.arrays_overlap(F.split(F.lower(s), GAP), F.array(*map(F.lit, a)))
-    anchors = [_anchors(idf, threshold, [t for k, _, t in templates() if k == kind]) for kind in (0, 1)]
-    tagged = lambda found, kind: F.transform(F.filter(found, lambda s: held(s, anchors[kind])), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
-    none = F.array().cast("array<struct<kind: int, s: string>>")
-    lines = F.split(text, STATEMENT)
-    short = F.when(text.rlike("(?iu)" + "|".join(map(re.escape, anchors[0]))), tagged(lines, 0)).otherwise(none)
-    wrapped = F.array_distinct(F.concat(lines, F.split(F.regexp_replace(text, WRAP, " "), SENTENCE)))
-    standard = F.when(text.rlike(r"(?i)licen[sc]|copyright|permission|redistribution|software|creative|cc0|mozilla"), tagged(wrapped, 1)).otherwise(none)
-    return F.coalesce(F.concat(short, standard), none)
+    anchors = F.array(*map(F.lit, _anchors(idf, threshold, [t.text for t in templates()])))
+    joined = F.regexp_replace(text, WRAP, " $1")
+    every = F.array_distinct(F.concat(F.split(text, STATEMENT), F.split(joined, SENTENCE), F.split(joined, CLAUSE)))
+    held = F.filter(every, lambda s: F.arrays_overlap(F.split(F.lower(s), GAP), anchors))
+    return F.when(text.rlike(HINT), held).otherwise(F.array().cast("array<string>"))
 
 
 def own_licenses(rows: DataFrame, idf: dict[str, float], threshold: float = THRESHOLD) -> DataFrame:
     """row, own_license and own_cosine of the rows (row, statements) with a match: that of the best template of any statement.
 
     Statements are sparse rows (statement, word, count); they meet the templates' postings by an equi-join on the word,
-    and dot products are sums by statement and template. Ties go to the name that sorts first. A standard text says
-    more than "All rights reserved", which many of them hold; other matches of kind 0 stand before those of kind 1.
+    and dot products are sums by statement and template. Templates whose variant or version a statement doesn't name
+    fall out before the sums. The best is that of the lowest level, then the highest cosine, then the name that sorts first.
     """
     spark = rows.sparkSession
-    held = rows.where(F.size("statements") > 0).select("row", F.posexplode("statements").alias("pos", "x")).select("row", "pos", "x.kind", F.explode(words_of(F.col("x.s"))).alias("w"))
-    counted = held.repartition("row", "pos").groupBy("row", "pos", "kind", "w").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    held = rows.where(F.size("statements") > 0).select("row", F.posexplode("statements").alias("pos", "s")).select("row", "pos", F.explode(words_of(F.col("s"))).alias("w"))
+    counted = held.repartition("row", "pos").groupBy("row", "pos", "w").agg(F.count(F.lit(1)).cast("double").alias("c"))
     met = counted.join(F.broadcast(postings(spark, idf)), "w", "left")  # a row for each word of a template
-    square = F.col("c") * F.col("c") * F.coalesce(F.element_at("squares", F.col("kind") + 1), F.lit(idf[""] ** 2))
-    cells = F.transform("postings", lambda x: F.struct(x["template"].alias("template"), (x["weight"] * F.col("c")).alias("dot"), x["need"].alias("need")))
-    each = met.groupBy("row", "pos", "kind").agg(F.sum(square).alias("norm"), F.flatten(F.collect_list(cells)).alias("cells"))
-    dots = each.select("row", "pos", "kind", "norm", F.inline("cells")).groupBy("row", "pos", "kind", "norm", "template").agg(F.sum("dot").alias("dot"), F.sum("need").alias("needed"))
-    facts = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("license"), F.lit(len(_needed(t)) if k else 0).alias("need")) for k, n, t in templates()))
-    scored = dots.withColumn("fact", F.get(facts, F.col("template"))).where("kind = fact.kind AND needed >= fact.need").select("row", "kind", F.round(F.col("dot") / F.sqrt("norm"), 6).alias("cosine"), "fact.license")
-    best = lambda k: F.min(F.when(F.col("kind") == k, F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("license")))).alias(f"b{k}")
-    found = scored.where(F.col("cosine") >= threshold).groupBy("row").agg(best(0), best(1))
-    stands = F.col("b0").isNotNull() & ((F.col("b0.license") != "Proprietary") | F.col("b1").isNull())
-    chosen = F.when(stands, F.col("b0")).otherwise(F.col("b1"))
-    return found.select("row", chosen["license"].alias("own_license"), (-chosen["c"]).alias("own_cosine"))
+    square = F.col("c") * F.col("c") * F.coalesce("square", F.lit(idf[""] ** 2))
+    each = met.groupBy("row", "pos").agg(F.sum(square).alias("norm"), F.bit_or(F.coalesce("marks", F.lit(0))).alias("marks"), F.collect_list(F.when(F.size("postings") > 0, F.struct("c", "postings"))).alias("met"))
+    fits = lambda x: F.col("marks").bitwiseAND(x["care"]) == x["bits"]
+    cells = F.flatten(F.transform("met", lambda m: F.transform(F.filter(m["postings"], fits), lambda x: F.struct(x["template"].alias("template"), (x["weight"] * m["c"]).alias("dot"), x["need"].alias("need")))))
+    dots = each.select("row", "pos", "norm", F.inline(cells)).groupBy("row", "pos", "norm", "template").agg(F.sum("dot").alias("dot"), F.sum("need").alias("needed"))
+    facts = F.array(*(F.struct(F.lit(t.license).alias("license"), F.lit(t.level).alias("level"), F.lit(t.need).alias("need")) for t in templates()))
+    scored = dots.withColumn("fact", F.get(facts, F.col("template"))).where("needed >= fact.need").select("row", F.round(F.col("dot") / F.sqrt("norm"), 6).alias("cosine"), "fact.*")
+    best = F.min(F.struct("level", (-F.col("cosine")).alias("c"), "license")).alias("b")
+    return scored.where(F.col("cosine") >= threshold).groupBy("row").agg(best).select("row", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_cosine"))
 
 
 def _salted(probe: DataFrame, table: DataFrame, key: str, salt: Column, how: str) -> DataFrame:
@@ -217,7 +276,7 @@ def scan(df: DataFrame, path: Column, text: str = "text", keep: tuple[str, ...]
     Document frequencies are counted over all rows' whole texts. Null and empty texts have no licence of their
     own; repeated rows get equal results; an empty table has none.
     """
-    terms = sorted({w for _, _, t in templates() for w in words(t)})
+    terms = sorted({w for t in templates() for w in words(t.text)})
     read = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keep)), path.alias("path"), F.col(text).alias("t"))
     idf = document_frequencies(read, "t", terms)
     kept = [f"k{i}" for i in range(len(keep))]

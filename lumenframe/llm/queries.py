@@ -107,28 +107,35 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def _licenses_sql() -> str:
-    templates = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES.items())
-    gap, statement = licenses.GAP, licenses.STATEMENT.replace("\\n", "\n")
+    every = licenses.templates()
+    values = ", ".join(f"({i}, '{t.license}', {t.level}, {t.need}, {t.marks()[0]}, {t.marks()[1]}, '{t.text}')" for i, t in enumerate(every))
+    marks = ", ".join(f"('{w}', {bits})" for w, bits in licenses.mark_bits().items())
+    gap, statement, sentence, clause = licenses.GAP, licenses.STATEMENT.replace("\\n", "\n"), licenses.SENTENCE, licenses.CLAUSE
     split = lambda x: f"list_filter(string_split_regex(lower({x}), '{gap}'), lambda w: w <> '')"
+    wrapped = f"regexp_replace(text, '{licenses.WRAP}', ' \\1', 'g')"
     return f"""
-WITH RECURSIVE tpl AS (SELECT * FROM (VALUES {templates}) t(license, t)),
-tw AS (SELECT license, w, count(*) AS c FROM (SELECT license, unnest({split("t")}) AS w FROM tpl) GROUP BY ALL),
+WITH RECURSIVE tpl AS (SELECT * FROM (VALUES {values}) t(id, license, level, need, bits, care, t)),
+marks AS (SELECT * FROM (VALUES {marks}) t(w, mark)),
+tw AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest({split("t")}) AS w FROM tpl) GROUP BY ALL),
 docs AS (SELECT doc_id, source, text, len(string_split(coalesce(text, ''), ' ')) <= 40 AS short FROM documents),
 df AS (SELECT w, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct({split("text")})) AS w FROM docs) WHERE w IN (SELECT w FROM tw) GROUP BY w),
 total AS (SELECT count(*) AS n FROM docs),
 idf AS (SELECT t.w, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 AS v FROM (SELECT DISTINCT w FROM tw) t LEFT JOIN df USING (w), total),
-size AS (SELECT license, sqrt(sum((c * v) ** 2)) AS s FROM tw JOIN idf USING (w) GROUP BY license),
-st AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS s FROM (SELECT doc_id, string_split_regex(text, '{statement}') AS l FROM docs)),
+size AS (SELECT id, sqrt(sum((c * v) ** 2)) AS s FROM tw JOIN idf USING (w) GROUP BY id),
+st AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS s
+  FROM (SELECT doc_id, list_distinct(list_concat(string_split_regex(text, '{statement}'), string_split_regex({wrapped}, '{sentence}'), string_split_regex({wrapped}, '{clause}'))) AS l FROM docs WHERE regexp_matches(text, '{licenses.HINT}'))
+),
 sw AS (SELECT doc_id, pos, w, count(*) AS c FROM (SELECT doc_id, pos, unnest({split("s")}) AS w FROM st) GROUP BY ALL),
-norm AS (SELECT doc_id, pos, sqrt(sum((c * coalesce(v, ln(total.n + 1) + 1)) ** 2)) AS s FROM sw LEFT JOIN idf USING (w), total GROUP BY ALL),
+norm AS (SELECT doc_id, pos, sqrt(sum((c * coalesce(v, ln(total.n + 1) + 1)) ** 2)) AS s, bit_or(coalesce(mark, 0)) AS marks FROM sw LEFT JOIN idf USING (w) LEFT JOIN marks USING (w), total GROUP BY ALL),
 cosine AS (
-  SELECT sw.doc_id, tw.license, round(sum(sw.c * tw.c * v * v) / (any_value(norm.s) * any_value(size.s)), 6) AS cosine
-  FROM sw JOIN tw USING (w) JOIN idf USING (w) JOIN size USING (license) JOIN norm ON norm.doc_id = sw.doc_id AND norm.pos = sw.pos
-  GROUP BY sw.doc_id, sw.pos, tw.license
+  SELECT sw.doc_id, license, level, round(sum(sw.c * tw.c * v * v) / (any_value(norm.s) * any_value(size.s)), 6) AS cosine
+  FROM sw JOIN tw USING (w) JOIN idf USING (w) JOIN size ON size.id = tw.id JOIN norm ON norm.doc_id = sw.doc_id AND norm.pos = sw.pos JOIN tpl ON tpl.id = tw.id AND norm.marks & care = bits
+  GROUP BY sw.doc_id, sw.pos, tpl.id, license, level, need HAVING count(CASE WHEN w <> 'the' THEN 1 END) >= need
 ),
 own AS (
   SELECT doc_id, license AS own_license, cosine AS own_cosine
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS r FROM cosine WHERE cosine >= {licenses.THRESHOLD}) WHERE r = 1
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level, cosine DESC, license) AS r FROM cosine WHERE cosine >= {licenses.THRESHOLD}) WHERE r = 1
 ),
 files AS (
   SELECT doc_id, short, own_license, own_cosine, '/' || coalesce(source, 'none') || '/' || (doc_id // 1000) AS thousand,
