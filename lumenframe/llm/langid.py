@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import bucket_of, map_arrow, texts_of
@@ -163,11 +163,13 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Fits a model to at most ``rows`` labelled rows, the ones with the smallest id hashes of each language.
+    """Fits a model to at most ``rows`` labelled rows, the ones with the smallest hashes of id and text of each language.
 
-    ``rows`` also bounds the languages: the ``rows`` // 4 most frequent ones are learned, of four rows each at least.
+    Null and repeated ids are rows like others. No more than ``rows`` rows come to the driver, however many have one
+    hash; of such equal rows any may be taken. ``rows`` also bounds the languages: the ``rows`` // 4 most frequent ones
+    are learned, of four rows each at least.
     """
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(id_col), F.col(text)).alias("h"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 4).collect()}
     if not counts:
         return Model({})
@@ -175,6 +177,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.1 * each / n))) for k, n in counts.items()))
     place = (F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))).cast("double")
     chosen = labelled.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11)))).where(F.col("rank") <= each)
     found = map_arrow(chosen, _featurize, "h long, lang string, x binary").toArrow()
     seen: dict[str, int] = {}
     langs, xs = [], []

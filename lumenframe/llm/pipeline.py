@@ -14,22 +14,36 @@ from lumenframe.llm.common import stage, without_listed
 from lumenframe.llm.sources import table, tokenizer_path
 
 
+def _inner(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names that no operator gives to a column of its own, and these names by the columns' own."""
+    names = [f"in{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
+def _outer(found: DataFrame, inner: dict[str, str]) -> DataFrame:
+    return found.select(*(F.col(x).alias(name) for name, x in inner.items()))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (no text, or no letter in it) and sets ``lang`` to the language found.
 
     If no row has a language to learn from, documents with a letter stay as they are. No score is too low to stay.
     """
     model = langid.train(docs)
+    rows, inner = _inner(docs)
+    text, lang = inner["text"], inner["lang"]
     if not model.families:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    found = langid.identify(rows, model, text=text, keep=tuple(rows.columns))
+    return _outer(found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn(lang, F.col("lang_pred")), inner)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score is 0.5 or more; every row is judged by its own text, whatever its id."""
-    found = toxicity.score_texts(docs, toxicity.clean_labels(table(spark, sf_dir, "labels")), keep=tuple(docs.columns))
-    return found.where("predicted = 0").select(docs.columns)
+    rows, inner = _inner(docs)
+    labels = toxicity.clean_labels(table(spark, sf_dir, "labels"))
+    found = toxicity.score_texts(rows, labels, text=inner["text"], keep=tuple(rows.columns), id_col=inner["doc_id"])
+    return _outer(found.where("predicted = 0"), inner)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +51,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by a number of their own, so rows of one id or without one are compared as all others are.
     """
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    linked = stage(jaccard.ngram_join(rows, id_col="_row").where("n_links > 0").select(F.col("id").alias("_row"), "class_id"), "pipeline-links")
-    named = linked.join(rows.select("_row", "doc_id"), "_row")
-    stay = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("s")).select("s._row")
+    rows, inner = _inner(docs)
+    doc_id, text = inner["doc_id"], inner["text"]
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    linked = stage(jaccard.ngram_join(rows, id_col="_row", text=text).where("n_links > 0").select(F.col("id").alias("_row"), "class_id"), "pipeline-links")
+    named = linked.join(rows.select("_row", doc_id), "_row")
+    stay = named.groupBy("class_id").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, "_row")).alias("s")).select("s._row")
     gone = stage(linked.select("_row").join(stay, "_row", "left_anti"), "pipeline-gone")
-    return without_listed(rows, "_row", gone).select(docs.columns)
+    return _outer(without_listed(rows, "_row", gone), inner)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

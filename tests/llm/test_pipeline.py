@@ -66,3 +66,22 @@ def test_rows_without_an_id_are_judged_by_their_text(spark):
     kept = corpus_pipeline.toxic(spark, docs.unionByName(odd), "/root/testdata/sf0.01")
     rows = [(r["doc_id"], r["n_chars"]) for r in kept.collect()]
     assert (None, 45) not in rows and (None, 19) in rows and (0, 0) in rows
+
+
+@pytest.mark.parametrize("name", ["score", "lang_pred", "predicted", "evidence_ids", "evidence_cosines", "_row", "class_id", "id", "row", "t", "k0", "in1", "n_links", "_bits"])
+def test_columns_of_any_name_come_through_unchanged(spark, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumn(name, F.concat(F.lit("own "), F.col("doc_id")))
+    for step in (corpus_pipeline.language, corpus_pipeline.toxic, corpus_pipeline.near_duplicates):
+        out = step(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.select("doc_id", name).collect()
+        assert rows and all(r[name] == f"own {r['doc_id']}" for r in rows)
+
+
+def test_the_pipeline_runs_with_all_clashes_and_odd_ids(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(40).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long"))
+    clashes = {c: F.lit("x") for c in ("score", "lang_pred", "predicted", "evidence_ids", "evidence_cosines", "_row", "text_", "start", "length", "sequence_id")}
+    docs.unionByName(odd).withColumns(clashes).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

@@ -150,6 +150,18 @@ def test_votes_against_plain_loops():
     assert sum(a == b for a, (b, _) in zip(langs, model.predict(x), strict=True)) >= 57
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_no_more_than_the_stated_rows_are_collected(spark, monkeypatch, ids):
+    texts = {"en": "the house of the man is old", "de": "das haus des mannes ist alt", "fr": "la maison est vieille"}
+    rows = [({"null": None, "one": 5, "own": i}[ids], texts[lang] + (f" {i}" if i % 3 else ""), lang) for i, lang in enumerate(["en", "de", "fr"] * 700)]
+    seen, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, langs: seen.append(len(x)) or fit(x, langs))
+    collected_rows, arrow = [], type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: collected_rows.append(len(t := arrow(df))) or t)
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=90)
+    assert 30 <= seen[0] <= 90 and max(collected_rows) <= 90 and model.predict(np.stack([langid.features(texts["de"])]))[0][0] == "de"
+
+
 def test_licences_equal_sql(spark):
     assert collected(queries.op3_licenses(spark, SF)) == oracle(SF, queries.oracle_sql()["op3_licenses"])
 
