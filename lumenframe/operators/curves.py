@@ -16,8 +16,7 @@ def pr_curve(scored: DataFrame) -> DataFrame:
     (recall 0, precision 1) is not a threshold and is left out.
     """
     g = scored.groupBy("class", F.col("score").alias("threshold")).agg(F.sum("y").alias("hits"), F.count(F.lit(1)).alias("rows"))
-    npos = g.groupBy("class").agg(F.sum("hits").alias("npos"))
-    c = running_sums(g, ["class"], {"tp": "hits", "n": "rows"}, "threshold").join(npos, "class").select("class", "threshold", "hits", "tp", "n", "npos")
+    c = running_sums(g, ["class"], {"tp": "hits", "n": "rows"}, "threshold", wholes={"npos": "tp"}).select("class", "threshold", "hits", "tp", "n", "npos")
     return c.withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", F.when(F.col("npos") > 0, F.col("tp") / F.col("npos")))
 
 

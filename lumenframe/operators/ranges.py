@@ -1,32 +1,45 @@
-"""Running sums in order of a score, by ranges of scores, so that no task sees a whole group."""
+"""Running sums and numbers in an order, by ranges that follow the data, so that no task sees a whole group."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a unit of score falls into. Scores far outside of 0 to 1 give more ranges, scores close together fewer.
-RANGES = 4096
+from lumenframe.operators.staging import stage
 
 
-def _range(score: Column) -> Column:
-    """Rises with the score; NaN sorts above all numbers and null below, as in a sort."""
-    top, low = F.lit((1 << 63) - 1), F.lit(-(1 << 63))
-    inside = F.abs(score) < 2.0**50
-    return F.when(score.isNull(), low).when(F.isnan(score) | (~inside & (score > 0)), top).when(~inside, low + 1).otherwise(F.floor(score * RANGES))
+def dealt(df: DataFrame, order: list[Column], name: str, ranges: int | None = None) -> DataFrame:
+    """``df`` as a staged table with ``_p``: ranges of about equal numbers of rows in the given order, numbered in it.
+
+    Spark samples the order's quantiles. Rows that tie in all of ``order`` share a range, so it should end in what tells
+    rows apart; then one score that all rows have is dealt out like any other.
+    """
+    cut = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return stage(cut.withColumn("_p", F.spark_partition_id()), name)
 
 
-def running_sums(df: DataFrame, by: list[str], sums: dict[str, str], score: str = "score", ties: tuple[str, ...] = ()) -> DataFrame:
+def running_sums(df: DataFrame, by: list[str], sums: dict[str, str], score: str = "score", ties: tuple[str, ...] = (), wholes: dict[str, str] | None = None, ranges: int | None = None) -> DataFrame:
     """``df`` with, for each (name, column) of ``sums``, the column's sum over the rows of its group that are not below it.
 
-    Highest scores come first, equal ones in order of ``ties``. Sums of whole ranges, a few thousand rows a group,
-    give each range's start; rows are then summed inside their range.
+    Highest scores come first, NaN before all and null last, equal ones in order of ``ties``. ``wholes`` (name, name of
+    a sum) adds sums over the whole group. Rows are dealt to ranges of (group, score, ties), each range's sums, a row
+    for each range and group in it, give its start, and rows are then summed inside their range.
     """
-    cut = df.withColumn("_b", _range(F.col(score).cast("double")))
-    totals = cut.groupBy(*by, "_b").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
-    above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "_b", *(F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_t_{n}") for n in sums))
-    inner = Window.partitionBy(*by, "_b").orderBy(F.desc(score), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    cut = dealt(df, [*map(F.col, by), F.desc(score), *map(F.col, ties)], "running-sums", ranges)
+    totals = cut.groupBy(*by, "_p").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    above, all_of = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    whole = {n: F.sum(f"_t_{of}").over(all_of).alias(f"_w_{n}") for n, of in (wholes or {}).items()}
+    before = totals.select(*by, "_p", *(F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_t_{n}") for n in sums), *whole.values())
+    inner = Window.partitionBy(*by, "_p").orderBy(F.desc(score), *ties).rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.select("*", *(F.sum(c).over(inner).alias(f"_i_{n}") for n, c in sums.items()))
-    joined = inside.join(before, [*by, "_b"])
-    return joined.select(*df.columns, *((F.col(f"_i_{n}") + F.col(f"_t_{n}")).alias(n) for n in sums))
+    joined = inside.join(before, [*by, "_p"])
+    return joined.select(*df.columns, *((F.col(f"_i_{n}") + F.col(f"_t_{n}")).alias(n) for n in sums), *(F.col(f"_w_{n}").alias(n) for n in whole))
+
+
+def numbers(df: DataFrame, order: list[str], name: str = "idx", ranges: int | None = None) -> DataFrame:
+    """``df`` with ``name``, 0, 1, ... in ``order``: ranges are counted, a row for each, then numbered inside."""
+    cut = dealt(df, list(map(F.col, order)), "numbers", ranges)
+    counts = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))  # a row for each range
+    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return cut.withColumn("_r", inner).join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_before")

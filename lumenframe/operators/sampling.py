@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.ranges import numbers
+
 #: First hexadecimal digits of the hash that deal a class over tasks: 16 to that power buckets.
 DIGITS = 2
 
@@ -32,13 +34,9 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str, seed: int = 0) -> Dat
     return ranked.withColumn("rank", (F.col("_r") + F.col("_before")).cast("long")).drop("_h", "_b", "_r", "_before")
 
 
-def numbered(df: DataFrame, id_col: str, width: int = 1 << 16) -> DataFrame:
-    """``df`` with idx from 0 in order of a whole-number id: rows are counted by ranges of ids, then numbered in each."""
-    cut = df.withColumn("_b", F.floor(F.col(id_col) / F.lit(width)))
-    counts = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before"))  # a row for each range
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(id_col))
-    return cut.withColumn("_r", inner).join(before, "_b").withColumn("idx", (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_b", "_r", "_before")
+def numbered(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with idx from 0 in order of the id, by ranges of ids that follow the data."""
+    return numbers(df, [id_col])
 
 
 def val_count(n: Column, fraction: float) -> Column:

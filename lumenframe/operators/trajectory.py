@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.classify import small
+from lumenframe.operators.series import merged_runs, with_halo
 
 BY = ["video", "class"]
 #: Smoothed scores are rounded to so many digits, so that a threshold doesn't split what two ways of halving give.
@@ -16,12 +17,14 @@ def smooth(scores: DataFrame, window: int) -> DataFrame:
     """Scores replaced by the median of the 2 * (window // 2) + 1 rows about each; frames shrink at the ends.
 
     A window of 1 or less leaves scores as they are; the median of an even number of rows is the middle two's mean.
+    A long series is smoothed in blocks.
     """
     if window <= 1:
         return scores
     half = window // 2
-    w = Window.partitionBy(*BY).orderBy("start_sec").rowsBetween(-half, half)
-    return scores.withColumn("score", F.round(F.percentile("score", 0.5).over(w), DIGITS))
+    w = Window.partitionBy(*BY, "_block").orderBy("start_sec").rowsBetween(-half, half)
+    smoothed = with_halo(scores, BY, half).withColumn("score", F.round(F.percentile("score", 0.5).over(w), DIGITS))
+    return smoothed.where("_own").select(scores.columns)
 
 
 def runs(flagged: DataFrame, flag: Column, keys: list[str] | None = None, min_run: int = 1, chunk: float = 2.0, value: str = "score") -> DataFrame:
@@ -29,12 +32,8 @@ def runs(flagged: DataFrame, flag: Column, keys: list[str] | None = None, min_ru
 
     A run ends ``chunk`` seconds after its last window's start; runs of fewer than ``min_run`` windows are left out.
     """
-    keys = keys or BY
-    w = Window.partitionBy(*keys).orderBy("start_sec")
-    place = F.row_number().over(w)
-    hits = flagged.withColumn("_place", place).where(flag).withColumn("_run", F.col("_place") - F.row_number().over(w))
-    out = hits.groupBy(*keys, "_run").agg(F.min("start_sec").alias("start_sec"), (F.max("start_sec") + F.lit(chunk)).alias("end_sec"), F.max(value).alias("peak"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_windows"))
-    return out.where(F.col("n_windows") >= min_run if isinstance(min_run, int) else min_run).drop("_run")
+    found = merged_runs(flagged, flag, keys or BY, value).select(*(keys or BY), F.col("start").alias("start_sec"), (F.col("last") + F.lit(chunk)).alias("end_sec"), "peak", "mean", "n_windows")
+    return found.where(F.col("n_windows") >= min_run if isinstance(min_run, int) else min_run)
 
 
 def events(scores: DataFrame, thresholds: DataFrame, mode: str = "glue", chunk: float = 2.0, digits: int = 6) -> DataFrame:
@@ -46,12 +45,13 @@ def events(scores: DataFrame, thresholds: DataFrame, mode: str = "glue", chunk:
     t = small(thresholds.select("class", "threshold", "window", "min_consec"))  # a row for each class
     joined = scores.join(t, "class")
     if mode == "glue":
-        w = Window.partitionBy(*BY).orderBy("start_sec")
+        sizes = [r[0] for r in thresholds.select("window").where("window > 1").distinct().collect()]  # a few window sizes
+        w = Window.partitionBy(*BY, "_block").orderBy("start_sec")
         score = F.col("score")
-        for (size,) in thresholds.select("window").distinct().collect():  # a few window sizes
-            if size > 1:
-                score = F.when(F.col("window") == size, F.round(F.percentile("score", 0.5).over(w.rowsBetween(-(size // 2), size // 2)), DIGITS)).otherwise(score)
-        joined = joined.withColumn("score", score)
+        for size in sizes:
+            score = F.when(F.col("window") == size, F.round(F.percentile("score", 0.5).over(w.rowsBetween(-(size // 2), size // 2)), DIGITS)).otherwise(score)
+        if sizes:
+            joined = with_halo(joined, BY, max(sizes) // 2).withColumn("score", score).where("_own").drop("_own", "_block")
     keys = [*BY, "min_consec"]
     found = runs(joined, F.col("score") >= F.col("threshold"), keys, 1, chunk)
     found = found.where(F.col("n_windows") >= F.col("min_consec")) if mode == "glue" else found

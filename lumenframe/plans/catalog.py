@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import grids, names, vectors
 from lumenframe.operators import classify, curves, heads, intervals, matching, reports, retrieval, sampling, trajectory, tuning, validate
+from lumenframe.operators.staging import stage
 from lumenframe.plans import inputs as I
 from lumenframe.plans.inputs import CHUNK, MIN_OVERLAP, NEGATIVE
 from lumenframe.plans.sql import GRID, match_sql, prf_sql, runs_sql, select
@@ -163,10 +164,11 @@ def split_stats(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.split_stats(I.items(spark, sf), "label")
 
 
-def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+def _chunks(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
     """Tumbling windows with labels: chunk_id, video, split, start_sec, end_sec, labels."""
-    tiles = I.durations(spark, sf).select("video", F.explode(grids.tumbling_starts(F.col("duration"), CHUNK)).alias("start_sec"))
-    labelled = intervals.overlap_labels(tiles, I.annotations(spark, sf).where(F.col("class") != NEGATIVE), CHUNK, MIN_OVERLAP, NEGATIVE)
+    days = known if known is not None else I.days(spark, sf)
+    tiles = I.durations(spark, sf, days).select("video", F.explode(grids.tumbling_starts(F.col("duration"), CHUNK)).alias("start_sec"))
+    labelled = intervals.overlap_labels(tiles, I.annotations(spark, sf, days).where(F.col("class") != NEGATIVE), CHUNK, MIN_OVERLAP, NEGATIVE)
     split = F.when(F.pmod(F.col("video"), F.lit(5)) == 0, "val").otherwise("train")
     return labelled.select(names.chunk_id(F.col("video"), F.col("start_sec")).alias("chunk_id"), "video", split.alias("split"), "start_sec", (F.col("start_sec") + CHUNK).alias("end_sec"), "labels")
 
@@ -180,7 +182,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def neg_downsample(spark: SparkSession, sf: str) -> DataFrame:
-    c = _chunks(spark, sf)
+    c = stage(_chunks(spark, sf), "chunks")
     kept = sampling.downsample_negatives(c, ~F.array_contains("labels", NEGATIVE), "video", "chunk_id")
     return kept.select("chunk_id", "video", "split", F.array_join("labels", ";").alias("labels"))
 
@@ -203,7 +205,7 @@ SELECT video, [{", ".join(f"'{n}'" for n in names)}][pick + 1] AS split FROM g W
 
 @query(select(_greedy_sql().rsplit("\n", 1)[1], _greedy_sql().rsplit("\n", 1)[0]))
 def greedy_video_split(spark: SparkSession, sf: str) -> DataFrame:
-    videos = I.annotations(spark, sf).groupBy("video").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    videos = stage(I.annotations(spark, sf).groupBy("video").agg(F.array_sort(F.collect_set("class")).alias("classes")), "videos")
     return sampling.greedy_split(videos, {"train": 0.72, "val": 0.08, "test": 0.2})
 
 
@@ -231,7 +233,8 @@ def overlap_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Scores and labels of the dense grid: video, class, start_sec, score, y; the negative class has no events."""
-    return intervals.label_matrix(I.trajectories(spark, sf), I.annotations(spark, sf).where(F.col("class") != NEGATIVE), CHUNK, MIN_OVERLAP)
+    days = I.days(spark, sf)
+    return intervals.label_matrix(I.trajectories(spark, sf, days), I.annotations(spark, sf, days).where(F.col("class") != NEGATIVE), CHUNK, MIN_OVERLAP)
 
 
 @query(select("SELECT video, class, start_sec, round(score, 6) AS score, y FROM matrix", GRID))
@@ -246,7 +249,8 @@ def complement_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(select("SELECT video, class, start_sec, end_sec FROM annotations a WHERE NOT EXISTS (FROM chunks w WHERE w.video = a.video AND least(w.start_sec + 2.0, a.end_sec) - greatest(w.start_sec, a.start_sec) >= 1.5)", GRID))
 def uncovered_events(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.uncovered_events(_chunks(spark, sf), I.annotations(spark, sf), CHUNK, 1.5)
+    days = I.days(spark, sf)
+    return intervals.uncovered_events(_chunks(spark, sf, days), I.annotations(spark, sf, days), CHUNK, 1.5)
 
 
 @query(select("SELECT DISTINCT video FROM annotations WHERE video NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)"))
@@ -266,7 +270,8 @@ def missing_videos(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def jitter_augment(spark: SparkSession, sf: str) -> DataFrame:
-    out = intervals.jitter(_chunks(spark, sf), I.annotations(spark, sf).where(F.col("class") != NEGATIVE), I.durations(spark, sf), 0.5, CHUNK, MIN_OVERLAP, NEGATIVE)
+    days = I.days(spark, sf)
+    out = intervals.jitter(_chunks(spark, sf, days), _truth(spark, sf, days), I.durations(spark, sf, days), 0.5, CHUNK, MIN_OVERLAP, NEGATIVE)
     return out.select("chunk_id", "video", "split", "start_sec", "end_sec", F.array_join("labels", ";").alias("labels"))
 
 
@@ -342,8 +347,8 @@ def unknown_rate(spark: SparkSession, sf: str) -> DataFrame:
 # Events against annotations
 
 
-def _truth(spark: SparkSession, sf: str) -> DataFrame:
-    return I.annotations(spark, sf).where(F.col("class") != NEGATIVE)
+def _truth(spark: SparkSession, sf: str, known: DataFrame | None = None) -> DataFrame:
+    return I.annotations(spark, sf, known).where(F.col("class") != NEGATIVE)
 
 
 _MATCH = match_sql("matches", "glue", f"(SELECT * FROM annotations WHERE class <> '{NEGATIVE}')", ["video", "class"])
@@ -351,12 +356,14 @@ _MATCH = match_sql("matches", "glue", f"(SELECT * FROM annotations WHERE class <
 
 @query(select("SELECT video, class, tp, fp, fn FROM matches", _MATCH))
 def event_match(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.match_events(I.events(spark, sf, "glue"), _truth(spark, sf))
+    days = I.days(spark, sf)
+    return matching.match_events(I.events(spark, sf, "glue", days), _truth(spark, sf, days))
 
 
 @query(select(f"SELECT coalesce(class, 'micro') AS class, tp, fp, fn, {prf_sql()} FROM (SELECT class, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM matches GROUP BY ROLLUP (class))", _MATCH))
 def event_prf(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.event_scores(matching.match_events(I.events(spark, sf, "glue"), _truth(spark, sf)))
+    days = I.days(spark, sf)
+    return matching.event_scores(matching.match_events(I.events(spark, sf, "glue", days), _truth(spark, sf, days)))
 
 
 _CURVE = GRID + """, g AS (SELECT class, score AS threshold, sum(y) AS hits, count(*) AS k FROM matrix GROUP BY ALL),
@@ -422,7 +429,8 @@ def _tune_sql(_THR: list[float] = _THR, _WIN: list[int] = _WIN, _K: list[int] =
 
 @query(select(f"SELECT class, {_THR}[ti + 1]::DOUBLE AS threshold, {_WIN}[wi + 1] AS \"window\", {_K}[ki + 1] AS min_consec, f1 AS val_f1, CAST(tp AS BIGINT) AS val_tp, CAST(fp AS BIGINT) AS val_fp, CAST(fn AS BIGINT) AS val_fn FROM be WHERE r = 1", _tune_sql()))
 def tune_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return tuning.tune(I.trajectories(spark, sf).where(F.col("class") != NEGATIVE), _truth(spark, sf), _THR, _WIN, _K, chunk=CHUNK)
+    days = I.days(spark, sf)
+    return tuning.tune(I.trajectories(spark, sf, days).where(F.col("class") != NEGATIVE), _truth(spark, sf, days), _THR, _WIN, _K, chunk=CHUNK)
 
 
 #: The whole grid, 492 combinations a class. It has no SQL: that of ``tune_thresholds`` is for its 20 combinations.
@@ -431,7 +439,8 @@ FULL_THR, FULL_WIN, FULL_K = grids.parse_grid("0.10:0.50:0.01"), grids.parse_lis
 
 @query()
 def tune_thresholds_full(spark: SparkSession, sf: str) -> DataFrame:
-    return tuning.tune(I.trajectories(spark, sf).where(F.col("class") != NEGATIVE), _truth(spark, sf), FULL_THR, FULL_WIN, FULL_K, chunk=CHUNK)
+    days = I.days(spark, sf)
+    return tuning.tune(I.trajectories(spark, sf, days).where(F.col("class") != NEGATIVE), _truth(spark, sf, days), FULL_THR, FULL_WIN, FULL_K, chunk=CHUNK)
 
 
 # Heads and reports
@@ -472,10 +481,12 @@ def phase_compare(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def run_matrix_2x2(spark: SparkSession, sf: str) -> DataFrame:
-    rows = None
+    rows, days = None, I.days(spark, sf)
+    found = {mode: stage(I.events(spark, sf, mode, days), "events") for mode in ("isolated", "glue")}
+    truth = stage(_truth(spark, sf, days), "truth")
     for phase, iou in (("loose", 0.3), ("strict", 0.6)):
         for mode in ("isolated", "glue"):
-            m = matching.event_scores(matching.match_events(I.events(spark, sf, mode), _truth(spark, sf), iou)).where("class = 'micro'")
+            m = matching.event_scores(matching.match_events(found[mode], truth, iou)).where("class = 'micro'")
             row = m.select(F.lit(phase).alias("phase"), F.lit(mode).alias("mode"), "f1")
             rows = row if rows is None else rows.unionByName(row)
     return reports.run_matrix(rows, ["loose", "strict"])
@@ -505,7 +516,8 @@ def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def events_json(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.events_document(I.events(spark, sf, "glue"), I.durations(spark, sf))
+    days = I.days(spark, sf)
+    return reports.events_document(I.events(spark, sf, "glue", days), I.durations(spark, sf, days))
 
 
 @query()
@@ -539,14 +551,15 @@ mv AS (SELECT m.video, m.start_sec, printf('%d_%07d', m.video, CAST(round_even(m
 
 @query(select("SELECT * FROM kept UNION ALL SELECT chunk_id, video, 1 AS jitter, 'jitter' AS origin FROM mv", _ORIGIN))
 def training_set(spark: SparkSession, sf: str) -> DataFrame:
-    c = _chunks(spark, sf)
-    moved = intervals.jitter(c, _truth(spark, sf), I.durations(spark, sf), 0.5, CHUNK, MIN_OVERLAP, NEGATIVE)
+    days = I.days(spark, sf)
+    c = stage(_chunks(spark, sf, days).where("split = 'train'"), "chunks")
+    moved = intervals.jitter(c, _truth(spark, sf, days), I.durations(spark, sf, days), 0.5, CHUNK, MIN_OVERLAP, NEGATIVE)
     return sampling.training_set(c, ~F.array_contains("labels", NEGATIVE), moved, "video", "chunk_id").select("chunk_id", "video", "jitter", "origin")
 
 
 @query(select("SELECT chunk_id, CASE WHEN split = 'val' THEN 'held' ELSE 'fit' END AS split FROM chunks WHERE split IN ('val', 'train')", GRID))
 def joined_splits(spark: SparkSession, sf: str) -> DataFrame:
-    c = _chunks(spark, sf).select("chunk_id", "split")
+    c = stage(_chunks(spark, sf).select("chunk_id", "split"), "chunks")
     return sampling.joined_splits(c, ("val",), "held").unionByName(sampling.joined_splits(c, ("train", "test"), "fit"))
 
 
