@@ -5,13 +5,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import dot, l2_normalize
 
-#: Rows of prompts up to which every item meets all of them in a broadcast; beyond, the planner chooses.
-BROADCAST_PROMPTS = 10_000
+#: Rows and bytes of a side up to which it is fetched once and broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16 << 20
 
 
 def class_prototypes(items: DataFrame) -> DataFrame:
@@ -21,37 +22,57 @@ def class_prototypes(items: DataFrame) -> DataFrame:
     return mean.groupBy(F.col("label").alias("class")).agg(vector.alias("v")).select("class", l2_normalize(F.col("v")).alias("embedding"))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_PROMPTS) -> DataFrame:
-    """``df`` computed once and marked for broadcast if it has ``limit`` rows at most; else as it was."""
-    rows = df.limit(limit + 1).toArrow()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= limit else df
+def few_rows(df: DataFrame, limit: int | None = None) -> pa.Table | None:
+    """``df`` as an Arrow table if it has ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` at most, else None.
+
+    Rows are counted by bytes before any comes to the driver, so that long vectors are not fetched only to be too many.
+    """
+    most, text = limit or BROADCAST_ROWS, lambda c, t: F.size(c) * 8 if t.startswith("array") else F.length(F.col(c).cast("string"))
+    size = sum((F.coalesce(text(c, t).cast("long"), F.lit(0)) + 8 for c, t in df.dtypes), F.lit(0))
+    rows = df.limit(most + 1).withColumn("_size", F.sum(size).over(Window.partitionBy())).where(F.col("_size") <= BROADCAST_BYTES)
+    found = rows.drop("_size").toArrow()
+    if 0 < found.num_rows <= most:
+        return found
+    return None if found.num_rows or df.limit(1).count() else found
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` computed once and marked for broadcast if it is small in rows and bytes (``few_rows``); else as it was."""
+    rows = few_rows(df, limit)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows is not None else df
 
 
 def scores(items: DataFrame, prompts: DataFrame) -> DataFrame:
     """Every item's dot product with every prompt: the items' columns but the vector, class, score."""
-    p = small(prompts.select(F.col("class"), F.col("embedding").alias("_p")))
+    p = prompts.select(F.col("class"), F.col("embedding").alias("_p"))
+    few = few_rows(p)
+    if few is None:
+        from lumenframe.operators.blocked import all_scores
+
+        return all_scores(items, prompts)
+    p = F.broadcast(items.sparkSession.createDataFrame(few, p.schema))
     return items.join(p).select(*(c for c in items.columns if c != "embedding"), "class", dot(F.col("embedding"), F.col("_p")).alias("score"))
 
 
 def zero_shot(items: DataFrame, prompts: DataFrame) -> DataFrame:
     """Items with pred and score: the class of the most similar prompt, ties to the smallest class; no prompt: no rows.
 
-    Up to ``BROADCAST_PROMPTS`` prompts are one array that meets each item in its row, without a shuffle; with more,
-    the best of all pairs is aggregated per item.
+    Up to ``BROADCAST_BYTES`` of prompts are one array that meets each item in its row, without a shuffle; more go in
+    blocks (``top_prompts``), where all vectors have one length.
     """
     keys = [c for c in items.columns if c != "embedding"]
-    rows = prompts.select("class", F.col("embedding").alias("v")).limit(BROADCAST_PROMPTS + 1).toArrow()
-    if rows.num_rows <= BROADCAST_PROMPTS:
+    few = few_rows(prompts.select("class", F.col("embedding").alias("v")))
+    if few is not None:
         spark, kind = items.sparkSession, dict(prompts.dtypes)
-        few = spark.createDataFrame(rows, f"class {kind['class']}, v {kind['embedding']}")
+        few = spark.createDataFrame(few, f"class {kind['class']}, v {kind['embedding']}")
         one = F.broadcast(few.agg(F.array_sort(F.collect_list(F.struct("class", "v"))).alias("_p")))  # one row of bounded size
         scored = F.transform("_p", lambda p: F.struct(p["class"].alias("class"), dot(F.col("embedding"), p["v"]).alias("score")))
         first = F.lit(None).cast(f"struct<class: {kind['class']}, score: double>")
         best = F.reduce(scored, first, lambda a, x: F.when(a.isNull() | (x["score"] > a["score"]), x).otherwise(a))
         return items.join(one).select(*keys, best.alias("_b")).where("_b IS NOT NULL").select(*keys, F.col("_b.class").alias("pred"), F.col("_b.score").alias("score"))
-    paired = scores(items, prompts)
-    best = F.max_by(F.struct("class", "score"), F.struct("score", -F.col("class"))) if dict(paired.dtypes)["class"] in ("int", "bigint", "smallint") else F.min_by(F.struct("class", "score"), F.struct(-F.col("score"), "class"))
-    return paired.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.class").alias("pred"), F.col("b.score").alias("score"))
+    from lumenframe.operators.blocked import top_prompts
+
+    return top_prompts(items, prompts).select(*keys, F.col("class").alias("pred"), "score")
 
 
 def with_captions(items: DataFrame, captions: DataFrame, key: str = "label", caption: str = "caption") -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import grids, names, vectors
-from lumenframe.operators import classify, curves, heads, intervals, matching, reports, retrieval, sampling, trajectory, tuning, validate
-from lumenframe.operators.staging import stage
+from lumenframe.operators import blocked, classify, curves, heads, index, intervals, matching, reports, retrieval, sampling, trajectory, tuning, validate
+from lumenframe.operators.staging import folder, stage
 from lumenframe.plans import inputs as I
 from lumenframe.plans.inputs import CHUNK, MIN_OVERLAP, NEGATIVE
 from lumenframe.plans.sql import GRID, match_sql, prf_sql, runs_sql, select
@@ -134,6 +135,31 @@ def search_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.search(e, e.where("item = 1"), 5).select("item", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(
+    "SELECT item, class AS pred, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, class) AS r FROM ("
+    "SELECT i.vec_id AS item, p.vec_id AS class, list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score FROM embeddings i, embeddings p WHERE i.vec_id % 2 = 1 AND p.vec_id % 2 = 0)) WHERE r = 1"
+)
+def zs_many_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """A prompt for every other row of the table: as many prompts as items, in passes of 64 KB."""
+    e = I.table(spark, sf, "embeddings")
+    items = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("item"), "embedding")
+    best = blocked.top_prompts(items, e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("class"), "embedding"), 1, 1 << 16)
+    return best.select("item", F.col("class").alias("pred"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "SELECT query, CAST(r AS INTEGER) AS rank, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS r FROM ("
+    "SELECT q.vec_id AS query, e.vec_id AS item, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 25 = 0)) WHERE r <= 5"
+)
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of all vectors, and the five nearest rows of every 25th."""
+    e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
+    path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    index.build(e, path)
+    found, _ = index.search_many(spark, path, e.where("item % 25 = 0").withColumnRenamed("item", "query"), 5)
+    return found.withColumn("score", F.round("score", 6))
+
+
 # Splits and samples
 
 
