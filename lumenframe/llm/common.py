@@ -149,8 +149,11 @@ HOT, HOT_ROWS = 1e-3, 10_000
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where a few keys may hold most rows of ``left``, a staged table; ``right`` has one row for each key.
 
-    Rows of hot keys, at most 1 / HOT of them, meet a broadcast table; all others are joined as the planner likes.
+    Rows of hot keys, at most 1 / HOT of them, meet a broadcast table; all others are joined as the planner likes. A
+    table of no more than ``HOT_ROWS`` rows has no such key.
     """
+    if left.limit(HOT_ROWS + 1).count() <= HOT_ROWS:
+        return left.join(right, keys, how)
     counts = left.groupBy(keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > HOT_ROWS)
     if hot.limit(1).count() == 0:
@@ -169,10 +172,10 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     left = stage(edges.where("a <> b").select(*ordered("a", "b")).distinct(), f"{name}-edges")
+    if left.limit(1).count() == 0:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = stage(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), f"{name}-nodes")
     for _ in range(max_rounds):
-        if left.limit(1).count() == 0:
-            return found
         ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
         parent = stage(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), f"{name}-parents")
         while True:
@@ -181,7 +184,10 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
             if step.where("moved").limit(1).count() == 0:
                 break
         found = stage(join_hot(found, parent.select(F.col("node").alias("root"), F.col("root").alias("top")), ["root"], "left").select("node", F.coalesce("top", "root").alias("root")), f"{name}-nodes")
-        half = stage(join_hot(left, parent.select(F.col("node").alias("a"), F.col("root").alias("x")), ["a"]).select("b", "x"), f"{name}-half")
+        half = join_hot(left, parent.select(F.col("node").alias("a"), F.col("root").alias("x")), ["a"]).select("b", "x").distinct()
+        half = stage(half, f"{name}-half")
         drawn = join_hot(half, parent.select(F.col("node").alias("b"), F.col("root").alias("y")), ["b"]).where("x <> y")
         left = stage(drawn.select(*ordered("x", "y")).distinct(), f"{name}-edges")
+        if left.limit(1).count() == 0:
+            return found
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

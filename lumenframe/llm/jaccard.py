@@ -191,6 +191,27 @@ def _block_pairs(members: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataF
     return dealt.select("node", "root", "block"), single.unionByName(more)
 
 
+def _linked_sets(read: DataFrame, named: DataFrame, sets: DataFrame, mates: DataFrame, edges: DataFrame, similarity: float, n: int) -> DataFrame:
+    """``named`` sets with class_id, n_set_links and n_links: candidates are gathered, verified by block pairs and joined to classes."""
+    candidates = components(edges, "join-candidates")
+
+    members = stage(candidates.join(sets.select("node", "n_copies", "size", F.element_at("bands", 1).alias("band0"), F.col("rep.id").alias("id"), F.col("rep.h").alias("h")), "node"), "join-members")
+    dealt, pairs = _block_pairs(members.select("node", "root", "size", "band0"), mates)
+    near = only_listed(read, "h", members.select("h"))  # few texts have candidates; the others aren't shuffled
+    texts = near.groupBy("id", "h").agg(F.first("t").alias("t")).join(members.select("id", "h", "node", "n_copies").hint("merge"), ["id", "h"])
+    texts = stage(texts.join(dealt, "node").select("node", "root", "block", F.col("n_copies").alias("copies"), "t"), "join-texts")
+    left = pairs.join(texts, (pairs["root"] == texts["root"]) & (pairs["i"] == texts["block"])).select(pairs["root"], "i", "j", F.lit(0).alias("side"), "node", "copies", "t")
+    right = pairs.where("i < j").join(texts, (pairs["root"] == texts["root"]) & (pairs["j"] == texts["block"])).select(pairs["root"], "i", "j", F.lit(1).alias("side"), "node", "copies", "t")
+    found = stage(left.unionByName(right).groupBy("root", "i", "j").applyInArrow(_links(similarity, n), "node long, links long, documents long, root long"), "join-links")
+
+    linked = found.groupBy("node").agg(F.sum("links").alias("n_set_links"), F.sum("documents").alias("linked")).where("n_set_links > 0")
+    roots = stage(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "join-classes").join(sets.select("node", F.col("rep.id").alias("set_id")), "node"), "join-roots")
+    least = roots.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    inside = join_hot(roots, least, ["root"]).select("node", "class_id")
+    classes = named.join(linked, "node", "left").join(inside, "node", "left")
+    return stage(classes.select("set1", "set2", "set_id", "n_copies", F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")), "join-sets-linked")
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL, functions: int = FUNCTIONS) -> DataFrame:
     """Links between the documents whose word n-gram sets have a Jaccard similarity of ``similarity`` or more.
 
@@ -211,24 +232,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     sets = stage(same.select(F.monotonically_increasing_id().alias("node"), "set1", "set2", "rep", "n_copies", "size", "bands"), "join-sets")
     mates = stage(sets.select("node", F.explode("bands").alias("band")), "join-bands")
     stars = mates.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("mates")).where("mates > 1")
-    edges = join_hot(mates, stars, ["band"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    candidates = components(edges, "join-candidates")
-
-    members = stage(candidates.join(sets.select("node", "n_copies", "size", F.element_at("bands", 1).alias("band0"), F.col("rep.id").alias("id"), F.col("rep.h").alias("h")), "node"), "join-members")
-    dealt, pairs = _block_pairs(members.select("node", "root", "size", "band0"), mates)
-    near = only_listed(read, "h", members.select("h"))  # few texts have candidates; the others aren't shuffled
-    texts = near.groupBy("id", "h").agg(F.first("t").alias("t")).join(members.select("id", "h", "node", "n_copies").hint("merge"), ["id", "h"])
-    texts = stage(texts.join(dealt, "node").select("node", "root", "block", F.col("n_copies").alias("copies"), "t"), "join-texts")
-    left = pairs.join(texts, (pairs["root"] == texts["root"]) & (pairs["i"] == texts["block"])).select(pairs["root"], "i", "j", F.lit(0).alias("side"), "node", "copies", "t")
-    right = pairs.where("i < j").join(texts, (pairs["root"] == texts["root"]) & (pairs["j"] == texts["block"])).select(pairs["root"], "i", "j", F.lit(1).alias("side"), "node", "copies", "t")
-    found = stage(left.unionByName(right).groupBy("root", "i", "j").applyInArrow(_links(similarity, n), "node long, links long, documents long, root long"), "join-links")
-
-    linked = found.groupBy("node").agg(F.sum("links").alias("n_set_links"), F.sum("documents").alias("linked")).where("n_set_links > 0")
-    roots = stage(components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "join-classes").join(sets.select("node", F.col("rep.id").alias("set_id")), "node"), "join-roots")
-    least = roots.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    inside = join_hot(roots, least, ["root"]).select("node", "class_id")
-    classes = sets.select("node", "set1", "set2", F.col("rep.id").alias("set_id"), "n_copies").join(linked, "node", "left").join(inside, "node", "left")
-    classes = stage(classes.select("set1", "set2", "set_id", "n_copies", F.coalesce("class_id", "set_id").alias("class_id"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), (F.coalesce("linked", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")), "join-sets-linked")
+    edges = stage(join_hot(mates, stars, ["band"]).where("node <> a").select("a", F.col("node").alias("b")).distinct(), "join-candidate-edges")
+    named = sets.select("node", "set1", "set2", F.col("rep.id").alias("set_id"), "n_copies")
+    if edges.limit(1).count() == 0:
+        classes = named.withColumns({"class_id": F.col("set_id"), "n_set_links": F.lit(0).cast("long"), "n_links": F.col("n_copies") - 1})
+    else:
+        classes = _linked_sets(read, named, sets, mates, edges, similarity, n)
 
     out = ["id", "class_id", "set_id", "n_copies", "n_set_links", "n_links"]
     found = join_hot(signed.where("size > 0").select("id", "set1", "set2"), classes, ["set1", "set2"])
