@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.vectors import dot, sigmoid
-from lumenframe.operators.classify import averages, confusion, small, zero_shot
-from lumenframe.operators.curves import average_precision, pr_curve, unknown_band
+from lumenframe.operators import fits
+from lumenframe.operators.blocked import matrix
+from lumenframe.operators.classify import small, zero_shot
+from lumenframe.operators.curves import pr_curve
 from lumenframe.operators.sampling import hash_rank
+from lumenframe.operators.staging import stage
+
+
+def _balanced(counts: np.ndarray) -> np.ndarray:
+    """The weight of each class's rows: rows / (classes * rows of the class), 0 for a class without rows."""
+    return np.divide(counts.sum(), len(counts) * counts, out=np.zeros(len(counts)), where=counts > 0)
 
 
-def _vectors(items: DataFrame) -> DataFrame:
-    return items.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+def macro_f1(cells: np.ndarray) -> float:
+    """Mean F1 of the classes that are true or predicted somewhere, from counts [label, pred], rounded as reports are."""
+    tp, both = np.diag(cells), cells.sum(axis=0) + cells.sum(axis=1)
+    return round(float((2 * tp[both > 0] / both[both > 0]).mean()), 6) if (both > 0).any() else 0.0
 
 
-def _balanced(items: DataFrame, label: str, classes: int) -> DataFrame:
-    counts = items.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = items.count()
-    return items.join(small(counts), label).withColumn("weight", F.lit(float(total)) / (F.lit(float(classes)) * F.col("_c"))).drop("_c")
+def _held_counts(shared) -> Callable:
+    """For each model the rows of the fold that it didn't see, by label and predicted class, ties to the first class."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        cells = [np.zeros((m.outputs, m.outputs), np.int64) for m in models]
+        for b in batches:
+            x, y, fold = matrix(b["embedding"]), matrix(b["y"]).astype(np.int64)[:, 0], b["fold"].to_numpy()
+            for m, c in zip(models, cells, strict=True):
+                rows = np.flatnonzero(fold == m.without)
+                np.add.at(c, (y[rows], (x[rows] @ m.x[:, :-1].T + m.x[:, -1]).argmax(axis=1)), 1)
+        for i, c in enumerate(cells):
+            label, pred = np.nonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(label), i)), pa.array(label), pa.array(pred), pa.array(c[label, pred])], ["model", "label", "pred", "n"])
 
-def _regression(c: float, rows: int, **kind: str) -> LogisticRegression:
-    """The mean-loss form of minimising |w|^2 / 2 + C * the sum of balanced losses: regParam = 1 / (C * rows)."""
-    return LogisticRegression(featuresCol="features", weightCol="weight", regParam=1.0 / (c * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8, **kind)
+    return run
 
 
 def linear_probe(train: DataFrame, grid: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0), folds: int = 5, seed: int = 0) -> tuple[DataFrame, float]:
@@ -33,33 +52,37 @@ def linear_probe(train: DataFrame, grid: tuple[float, ...] = (0.1, 1.0, 10.0, 10
 
     ``train`` is item, label (ints), embedding. Folds are stratified by hash order, no more than the smallest
     class has rows, two at least; of equal C the first wins. One class or none gives no rows and the first C.
+    All folds of all C are fitted together, and so are the models of all C to all rows, of which the best one stays.
     """
-    spark = train.sparkSession
+    spark, kind = train.sparkSession, dict(train.dtypes)["label"]
     stats = train.groupBy("label").count().collect()  # a row for each class
     labels = sorted(r["label"] for r in stats)
     if len(labels) < 2:
-        return spark.createDataFrame([], f"class {dict(train.dtypes)['label']}, w array<double>, b double"), grid[0]
+        return spark.createDataFrame([], f"class {kind}, w array<double>, b double"), grid[0]
     number = {c: i for i, c in enumerate(labels)}
-    index = F.element_at(F.create_map(*(F.lit(x) for kv in number.items() for x in kv)), F.col("label")).cast("double")
+    index = F.element_at(F.create_map(*(F.lit(x) for kv in number.items() for x in kv)), F.col("label"))
     k = max(2, min(folds, min(r["count"] for r in stats)))
-    ready = _vectors(hash_rank(train, ["label"], "item", seed).withColumn("fold", (F.col("rank") - 1) % k).drop("rank", "n")).withColumn("y", index).persist()
-    classes = spark.createDataFrame([(float(i),) for i in range(len(labels))], "class double")
-    best_c, best_f = grid[0], -1.0
-    for c in grid if len(grid) > 1 else ():
-        pred = None
-        for f in range(k):
-            part = ready.where(F.col("fold") != f)
-            model = _regression(c, part.count(), labelCol="y", family="multinomial").fit(_balanced(part, "y", len(labels)))
-            got = model.transform(ready.where(F.col("fold") == f)).select(F.col("y").alias("label"), F.col("prediction").alias("pred"), F.lit(f).alias("fold"))
-            pred = got if pred is None else pred.unionByName(got)
-        scores = [averages(confusion(pred.where(F.col("fold") == f), classes)).first()["macro_f1"] for f in range(k)]
-        mean = sum(s or 0.0 for s in scores) / k
-        if mean > best_f + 1e-12:
-            best_c, best_f = c, mean
-    model = _regression(best_c, ready.count(), labelCol="y", family="multinomial").fit(_balanced(ready, "y", len(labels)))
-    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    ready.unpersist()
-    return spark.createDataFrame([(labels[i], w[i].tolist(), float(b[i])) for i in range(len(labels))], f"class {dict(train.dtypes)['label']}, w array<double>, b double"), best_c
+    dealt = hash_rank(train, ["label"], "item", seed)
+    rows = stage(dealt.select(F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.array(index.cast("int")).alias("y"), ((F.col("rank") - 1) % k).cast("int").alias("fold")), "probe-rows")
+    dim = rows.select(F.max(F.size("embedding"))).first()[0]
+    counts = np.zeros((k, len(labels)))
+    for r in rows.groupBy("fold", F.col("y")[0].alias("y")).count().collect():  # a row for each class and fold
+        counts[r["fold"], r["y"]] = r["count"]
+    whole = [fits.Model(len(labels), c, _balanced(counts.sum(axis=0))) for c in grid]
+    tried = [fits.Model(len(labels), c, _balanced(counts.sum(axis=0) - counts[f]), without=f) for c in grid for f in range(k)] if len(grid) > 1 else []
+    fits.fit(rows, whole + tried, dim)
+    best = 0
+    if tried:
+        cells = np.zeros((len(tried), len(labels), len(labels)), np.int64)
+        shared = spark.sparkContext.broadcast(tried)
+        seen = rows.mapInArrow(_held_counts(shared), "model long, label long, pred long, n long").groupBy("model", "label", "pred").agg(F.sum("n").alias("n"))
+        for r in seen.collect():  # models times classes squared
+            cells[r["model"], r["label"], r["pred"]] = r["n"]
+        score = [sum(macro_f1(cells[i * k + f]) for f in range(k)) / k for i in range(len(grid))]
+        for i in range(1, len(grid)):
+            best = i if score[i] > score[best] + 1e-12 else best
+    w = whole[best].x
+    return spark.createDataFrame([(labels[i], w[i, :-1].tolist(), float(w[i, -1])) for i in range(len(labels))], f"class {kind}, w array<double>, b double"), grid[best]
 
 
 def train_heads(train: DataFrame, val: DataFrame, classes: list, grid: tuple[float, ...] = (0.01, 0.1, 1.0), recall_floor: float = 0.95, precision_floor: float = 0.9, encoder: str = "unknown") -> DataFrame:
@@ -67,34 +90,41 @@ def train_heads(train: DataFrame, val: DataFrame, classes: list, grid: tuple[flo
 
     ``train`` and ``val`` are item, embedding and labels (array of classes). C is chosen by average precision on
     ``val``, the largest of equal ones; without positives there, it is the smallest. A class without positives in
-    ``train`` gets b = -10, one without negatives b = 10, both with t_lo = t_hi = 1.
+    ``train`` gets b = -10, one without negatives b = 10, both with t_lo = t_hi = 1. All classes and all C are fitted
+    together and scored on ``val`` in one pass.
     """
-    spark = train.sparkSession
-    ready, held = _vectors(train).persist(), _vectors(val).persist()
-    dim = ready.select(F.max(F.size("embedding"))).first()[0] or 0
-    n, out = ready.count(), []
-    for cls in classes:  # a few classes; each fit is distributed
-        y = F.array_contains("labels", cls).cast("int")
-        pos = ready.agg(F.sum(y)).first()[0] or 0
-        if pos in (0, n):
-            out.append((cls, [0.0] * dim, 10.0 if pos and pos == n else -10.0, 1.0, 1.0, float(grid[0]), encoder))
-            continue
-        part = _balanced(ready.withColumn("y", y.cast("double")), "y", 2)
-        best = None
-        for c in sorted(grid):
-            model = _regression(c, n, labelCol="y", family="binomial").fit(part)
-            w, b = [float(x) for x in model.coefficients], float(model.intercept)
-            scored = held.select(F.lit(str(cls)).alias("class"), sigmoid(dot(F.col("embedding"), F.array(*map(F.lit, w))) + F.lit(b)).alias("score"), y.alias("y"))
-            curve = pr_curve(scored)
-            ap = (average_precision(curve, 12).first() or {"ap": None})["ap"]
-            if best is None or ap is not None and ap >= (best[0] or 0.0):
-                band = unknown_band(curve, recall_floor, precision_floor).first()
-                best = (ap, c, w, b, band["t_lo"] if band else 0.0, band["t_hi"] if band else 1.0)
-        out.append((cls, best[2], best[3], float(best[4]), float(best[5]), float(best[1]), encoder))
-    ready.unpersist()
-    held.unpersist()
-    kind = "string" if classes and isinstance(classes[0], str) else "int"
-    return spark.createDataFrame(out, f"class {kind}, w array<double>, b double, t_lo double, t_hi double, c_reg double, encoder string")
+    spark, kind = train.sparkSession, "string" if classes and isinstance(classes[0], str) else "int"
+    schema = f"class {kind}, w array<double>, b double, t_lo double, t_hi double, c_reg double, encoder string"
+    marks = F.array(*(F.array_contains("labels", c).cast("int") for c in classes)).cast("array<int>")
+    rows = stage(train.select(F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.transform(marks, lambda x: F.coalesce(x, F.lit(0))).alias("y"), F.lit(0).alias("fold")), "head-rows")
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"), *(F.sum(F.col("y")[i]).alias(f"p{i}") for i in range(len(classes)))).first()
+    n, dim = sums["n"], sums["dim"] or 0
+    hits = [sums[f"p{i}"] or 0 for i in range(len(classes))]
+    models = [fits.Model(1, c, _balanced(np.array([n - hits[i], hits[i]])), target=i) for i in range(len(classes)) if 0 < hits[i] < n for c in sorted(grid)]
+    fits.fit(rows, models, dim)
+    found: dict[int, list] = {}
+    if models:
+        heads = spark.createDataFrame([(i, m.x[0, :-1].tolist(), float(m.x[0, -1]), m.target) for i, m in enumerate(models)], "class int, w array<double>, b double, target int")
+        held = val.select("item", "embedding", F.transform(marks, lambda x: F.coalesce(x, F.lit(0))).alias("y"))
+        curve = stage(pr_curve(apply_heads(held, heads).join(small(heads.select("class", "target")), "class").select("class", "score", F.get("y", F.col("target")).alias("y"))), "head-curves")
+        ap = F.when(F.max("npos") > 0, F.round(F.sum(F.try_divide("hits", "npos") * F.col("precision")), 12))
+        lo = F.coalesce(F.max(F.when(F.col("recall") >= recall_floor, F.col("threshold"))), F.lit(0.0))
+        hi = F.coalesce(F.min(F.when(F.col("precision") >= precision_floor, F.col("threshold"))), F.lit(1.0))
+        told = {r["class"]: r for r in curve.groupBy("class").agg(ap.alias("ap"), lo.alias("lo"), hi.alias("hi")).collect()}  # a row for each model
+        for i, m in enumerate(models):
+            r = told.get(i)
+            score = r["ap"] if r else None
+            best = found.get(m.target)
+            if best is None or score is not None and score >= (best[0] or 0.0):
+                found[m.target] = [score, m, r["lo"] if r else 0.0, r["hi"] if r else 1.0]
+    out = []
+    for i, cls in enumerate(classes):
+        if i in found:
+            _, m, lo, hi = found[i]
+            out.append((cls, m.x[0, :-1].tolist(), float(m.x[0, -1]), float(lo), float(hi), float(m.c), encoder))
+        else:
+            out.append((cls, [0.0] * dim, 10.0 if hits[i] and hits[i] == n else -10.0, 1.0, 1.0, float(grid[0]), encoder))
+    return spark.createDataFrame(out, schema)
 
 
 def apply_heads(windows: DataFrame, heads: DataFrame) -> DataFrame:

@@ -25,20 +25,23 @@ def test_entry_runs(spark):
 
 
 def test_every_label_gets_a_head_of_the_whole_grid(spark, monkeypatch):
-    from lumenframe.operators import heads
+    from lumenframe.operators import fits
 
-    tried, fit = set(), heads._regression
-    monkeypatch.setattr(heads, "_regression", lambda c, *a, **k: tried.add(c) or fit(c, *a, **k).setMaxIter(2))
+    tried, fit = [], fits.fit
+    monkeypatch.setattr(fits, "fit", lambda rows, models, dim: tried.append([(m.target, m.c) for m in models]) or fit(rows, models, dim))
+    monkeypatch.setattr(fits, "PASSES", 3)
     got = catalog.queries()["train_heads"](spark, SF).collect()
     labels = {r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().collect()}
     assert [r["class"] for r in got] == sorted(labels) and len(labels) == 10
-    assert tried == {0.01, 0.1, 1.0}
+    assert len(tried) == 1 and sorted(tried[0]) == [(i, c) for i in range(10) for c in (0.01, 0.1, 1.0)]
 
 
 def test_the_probe_tries_every_c_in_five_folds(spark, monkeypatch):
-    from lumenframe.operators import heads
+    from lumenframe.operators import fits
 
-    tried, fit = [], heads._regression
-    monkeypatch.setattr(heads, "_regression", lambda c, *a, **k: tried.append(c) or fit(c, *a, **k).setMaxIter(2))
+    tried, fit = [], fits.fit
+    monkeypatch.setattr(fits, "fit", lambda rows, models, dim: tried.append([(m.c, m.without) for m in models]) or fit(rows, models, dim))
+    monkeypatch.setattr(fits, "PASSES", 3)
     got = catalog.queries()["linear_probe"](spark, SF).collect()
-    assert len(got) == 10 and {c: tried[:-1].count(c) for c in tried[:-1]} == {0.1: 5, 1.0: 5, 10.0: 5, 100.0: 5}
+    assert len(got) == 10 and len(tried) == 1
+    assert sorted(x for x in tried[0] if x[1] is not None) == [(c, f) for c in (0.1, 1.0, 10.0, 100.0) for f in range(5)]
