@@ -284,15 +284,3 @@ def test_files(spark, tmp_path):
     writers.confusion_csv(cells, [0, 1], str(tmp_path / "conf"))
     assert "true\\pred,0,1\n0,1,2\n1,0,3" in "".join(f.read_text() for f in (tmp_path / "conf").rglob("*.csv"))
     assert writers.render("x: __A__", {"A": "1"}) == "x: 1"
-
-
-def test_stream_of_runs(spark, tmp_path):
-    from lumenframe.streaming.runs import stream_runs
-
-    rows = [("v", "c", float(i), s, f"2024-01-01 00:00:{i:02d}") for i, s in enumerate([0.1, 0.9, 0.8, 0.1, 0.7, 0.1])]
-    df = spark.createDataFrame(rows, "video string, class string, start_sec double, score double, ts string").withColumn("ts", F.to_timestamp("ts"))
-    df.write.parquet(str(tmp_path / "in"))
-    stream = stream_runs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 0.5)
-    q = stream.writeStream.format("memory").queryName("closed_runs").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r["start_sec"], r["end_sec"], r["n_windows"]) for r in spark.table("closed_runs").collect()) == [(1.0, 4.0, 2), (4.0, 6.0, 1)]
