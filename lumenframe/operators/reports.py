@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +9,10 @@ from lumenframe.functions.names import clamp
 from lumenframe.operators.classify import averages, confusion
 
 #: The metrics that a comparison shows first, in this order.
-HEADLINE = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_f1", "map", "median_first_rank")
+HEADLINE = (
+    "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1",
+    "v2t_r_at_1", "v2t_r_at_3", "v2t_r_at_5", "v2t_r_at_10", "t2v_r_at_1", "t2v_r_at_5", "t2v_r_at_10", "map", "median_first_rank",
+)
 
 
 def long_metrics(metrics: DataFrame, phase: str) -> DataFrame:
@@ -34,28 +33,29 @@ def run_matrix(reports: DataFrame, phases: list[str], metric: str = "f1") -> Dat
     return reports.groupBy("mode").pivot("phase", phases).agg(F.first(metric))
 
 
-def _numbers(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in documents:
-        out = []
-        for text in part:
-            flat: dict[str, float] = {}
-            todo = [("", json.loads(text))] if text else []
-            while todo:  # a stack, so that nesting may be of any depth that the parser takes
-                prefix, value = todo.pop()
-                if isinstance(value, dict):
-                    todo += [(f"{prefix}{k}.".lower(), v) for k, v in reversed(value.items())]
-                elif isinstance(value, int | float):
-                    flat[prefix.rstrip(".")] = float(value)
-            out.append(flat if text else None)
-        yield pd.Series(out)
-
-
 def flatten_json(text: Column) -> Column:
     """A JSON document of nested objects as map of dotted lower-case keys to numbers, at any depth; true and false are 1 and 0.
 
-    Text, lists and nulls are left out; of keys that differ in case only the last counts. Null documents are null.
+    Text, lists and nulls are left out; of equal keys, lower-case and dotted, the deepest counts and then the one that
+    sorts last. Null and empty documents are null; malformed ones, and objects with a key twice, are errors. The document is parsed once, as a variant, and
+    each step of a fold opens the objects of one level; it has no more levels than braces.
     """
-    return F.pandas_udf(_numbers, "map<string,double>")(text)
+    text, opened = F.nullif(text, F.lit("")), "struct<p: string, v: variant>"
+    kind = lambda x: F.schema_of_variant(x["v"])
+    number = lambda x: kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")
+    inside = lambda x: F.transform(F.map_entries(x["v"].cast("map<string, variant>")), lambda e: F.struct(F.lower(F.concat(x["p"], e["key"], F.lit("."))).alias("p"), e["value"].alias("v")))
+    plain = lambda x: F.struct(F.regexp_replace(x["p"], r"\.+$", "").alias("key"), x["v"].try_cast("double").alias("value"))
+
+    def step(state: Column, _: Column) -> Column:
+        objects = F.filter(state["todo"], lambda x: kind(x).startswith("OBJECT"))
+        found = F.transform(F.filter(state["todo"], number), plain)
+        return F.struct(F.flatten(F.transform(objects, inside)).cast(f"array<{opened}>").alias("todo"), F.concat(state["done"], found).alias("done"))
+
+    first = F.struct(F.array(F.struct(F.lit("").alias("p"), F.parse_json(text).alias("v"))).cast(f"array<{opened}>").alias("todo"), F.array().cast("array<struct<key: string, value: double>>").alias("done"))
+    done = F.aggregate(F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"\{"))), first, step, lambda s: s["done"])
+    last = F.filter(done, lambda x, i: ~F.exists(F.slice(done, i + 2, F.size(done)), lambda y: y["key"] == x["key"]))
+    whole = F.size(F.array_distinct(F.transform(done, lambda x: x["key"]))) == F.size(done)
+    return F.when(text.isNotNull(), F.map_from_entries(F.when(whole, done).otherwise(last)))
 
 
 def keys_like(flat: Column, part: str) -> Column:

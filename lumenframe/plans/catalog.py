@@ -412,9 +412,9 @@ def chunk_map(spark: SparkSession, sf: str) -> DataFrame:
     return curves.mean_ap(curves.average_precision(curves.pr_curve(_matrix(spark, sf))))
 
 
-@query(select("SELECT class, CASE WHEN max(npos) > 0 THEN round(coalesce(max(p) FILTER (r >= 0.5), 0), 4) END AS precision_at_recall FROM c GROUP BY class", _CURVE))
+@query(select("SELECT class, CASE WHEN max(npos) > 0 THEN round(coalesce(max(p) FILTER (r >= 0.9), 0), 4) END AS precision_at_recall FROM c GROUP BY class", _CURVE))
 def precision_at_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.precision_at_recall(curves.pr_curve(_matrix(spark, sf)), 0.5)
+    return curves.precision_at_recall(curves.pr_curve(_matrix(spark, sf)), 0.9)
 
 
 @query(select("SELECT class, round(lo, 6) AS t_lo, round(hi, 6) AS t_hi, CAST(lo >= hi AS INTEGER) AS crossed FROM (SELECT class, coalesce(max(threshold) FILTER (r >= 0.95), 0.0) AS lo, coalesce(min(threshold) FILTER (p >= 0.9), 1.0) AS hi FROM c GROUP BY class)", _CURVE))
@@ -611,6 +611,13 @@ def probe_lift(spark: SparkSession, sf: str) -> DataFrame:
     return reports.lift(probe, I.predictions(spark, sf).where("split = 'val'"), I.classes(spark, sf))
 
 
-@query(select("SELECT event_id, json_extract(props, '$.k')::DOUBLE AS k FROM events"))
+@query(
+    "SELECT event_id, unnest(['event.k', 'meta.deep.user', 'meta.value']) AS key, unnest([json_extract(props, '$.k')::DOUBLE, user_id::DOUBLE, value::DOUBLE]) AS value FROM events"
+)
 def flatten_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return I.table(spark, sf, "events").select("event_id", reports.flatten_json(F.col("props"))["k"].alias("k"))
+    """The numbers of a nested document for each event, whose text and empty list are left out."""
+    deep = F.struct(F.col("user_id").alias("User"), F.col("event_type").alias("type"))
+    rest = F.to_json(F.struct(F.col("value").alias("Value"), deep.alias("Deep"), F.array().cast("array<int>").alias("tags")))
+    document = F.concat(F.lit('{"Event":'), F.col("props"), F.lit(',"Meta":'), rest, F.lit("}"))
+    flat = I.table(spark, sf, "events").select("event_id", reports.flatten_json(document).alias("flat"))
+    return flat.select("event_id", F.explode("flat").alias("key", "value"))
