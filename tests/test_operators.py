@@ -202,6 +202,7 @@ def test_the_whole_grid_finds_what_the_small_one_cannot(spark, monkeypatch):
     # An event of three windows at 0.44, a blip of two at 0.9 and noise of three at 0.41: only 0.42 to 0.44 with three in a row is right.
     scores = series(spark, [0.0, 0.44, 0.44, 0.44, 0.0, 0.0, 0.9, 0.9, 0.0, 0.0, 0.41, 0.41, 0.41, 0.0])
     truth = spark.createDataFrame([("v", "c", 1.0, 5.0, 1)], "video string, class string, start_sec double, end_sec double, pos int")
+    monkeypatch.setattr(catalog.I, "days", lambda *_: None)
     monkeypatch.setattr(catalog.I, "trajectories", lambda *_: scores)
     monkeypatch.setattr(catalog, "_truth", lambda *_: truth)
     best = catalog.queries()["tune_thresholds_full"](spark, "").first()
