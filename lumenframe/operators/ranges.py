@@ -36,9 +36,10 @@ def running_sums(df: DataFrame, by: list[str], sums: dict[str, str], score: str
     return joined.select(*df.columns, *((F.col(f"_i_{n}") + F.col(f"_t_{n}")).alias(n) for n in sums), *(F.col(f"_w_{n}").alias(n) for n in whole))
 
 
-def numbers(df: DataFrame, order: list[str], name: str = "idx", ranges: int | None = None) -> DataFrame:
+def numbers(df: DataFrame, order: list[str | Column], name: str = "idx", ranges: int | None = None) -> DataFrame:
     """``df`` with ``name``, 0, 1, ... in ``order``: ranges are counted, a row for each, then numbered inside."""
-    cut = dealt(df, list(map(F.col, order)), "numbers", ranges)
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    cut = dealt(df, order, "numbers", ranges)
     counts = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))  # a row for each range
     inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order))

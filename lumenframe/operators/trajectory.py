@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.classify import small
+from lumenframe.operators.ranges import numbers
 from lumenframe.operators.series import merged_runs, with_halo
+from lumenframe.operators.validate import ValidationError, require_empty
 
 BY = ["video", "class"]
 #: Smoothed scores are rounded to so many digits, so that a threshold doesn't split what two ways of halving give.
@@ -84,6 +86,30 @@ def unknown_rate(flagged: DataFrame, warn: float = 0.2) -> DataFrame:
 
 
 def review_queue(flagged: DataFrame, negative: str, min_run: int = 2, chunk: float = 2.0) -> DataFrame:
-    """Runs of unknown windows of violations, for review, highest peak_p first, ties in order of video, class and time."""
+    """Runs of unknown windows of violations, for review, with their rank: highest peak_p first, ties in order of video, class and time."""
     found = runs(flagged.where(F.col("class") != negative), F.col("unknown") == 1, None, min_run, chunk)
-    return found.select(*BY, "start_sec", "end_sec", F.round("peak", 6).alias("peak_p")).orderBy(F.desc("peak_p"), *BY, "start_sec")
+    queue = found.select(*BY, "start_sec", "end_sec", F.round("peak", 6).alias("peak_p"))
+    return numbers(queue, [F.desc("peak_p"), *BY, "start_sec"], "rank").withColumn("rank", F.col("rank") + 1).orderBy("rank")
+
+
+def concatenated(parts: list[DataFrame], classes: list[str]) -> DataFrame:
+    """The wide score tables (video, start_sec, a column for each class) of several sources as one long table: video, class, start_sec, score.
+
+    Columns are taken by name, in any order; a part without one of the classes is an error, and so is a video that two
+    parts have. Columns of other classes are left out, null scores stay null. No parts are an error.
+    """
+    if not parts:
+        raise ValidationError("no tables to concatenate")
+    for i, part in enumerate(parts):
+        if lacking := [c for c in classes if c not in part.columns]:
+            raise ValidationError(f"table {i} has no column {lacking[0]}")
+    seen = None
+    for i, part in enumerate(parts):
+        one = part.select("video").distinct().withColumn("_part", F.lit(i))
+        seen = one if seen is None else seen.unionByName(one)
+    require_empty(seen.groupBy("video").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("video"), "videos in several tables")
+    out = None
+    for part in parts:
+        long = part.select("video", F.col("start_sec").cast("double").alias("start_sec"), *(F.col(f"`{c}`").cast("double").alias(c) for c in classes)).unpivot(["video", "start_sec"], classes, "class", "score")
+        out = long if out is None else out.unionByName(long)
+    return out.select(*BY, "start_sec", "score")

@@ -324,6 +324,14 @@ def median_filter(spark: SparkSession, sf: str) -> DataFrame:
     return trajectory.smooth(I.trajectories(spark, sf), 3).withColumn("score", F.round("score", 6))
 
 
+@query(select(f"SELECT video, class, start_sec, score FROM trajectories WHERE class <> '{NEGATIVE}'"))
+def concatenated_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Wide tables of two halves of the videos, as two scorers leave them, put together."""
+    long = stage(I.trajectories(spark, sf), "trajectories")
+    halves = [trajectory.wide(long.where(F.pmod("video", F.lit(2)) == i), VIOLATIONS, "score") for i in (0, 1)]
+    return trajectory.concatenated(halves, VIOLATIONS)
+
+
 _EVENT = "SELECT video, class, start_sec, end_sec, round(peak, 6) AS peak, round(mean, 6) AS mean, n_windows FROM "
 
 
@@ -360,7 +368,7 @@ def unknown_runs(spark: SparkSession, sf: str) -> DataFrame:
     return trajectory.runs(_unknown(spark, sf), F.col("unknown") == 1, chunk=CHUNK).select("video", "class", "start_sec", "end_sec", "n_windows")
 
 
-@query(select(f"SELECT video, class, start_sec, end_sec, round(peak, 6) AS peak_p FROM unknown WHERE n_windows >= 2 AND class <> '{NEGATIVE}'", _UNKNOWN))
+@query(select(f"SELECT *, row_number() OVER (ORDER BY peak_p DESC, video, class, start_sec) AS rank FROM (SELECT video, class, start_sec, end_sec, round(peak, 6) AS peak_p FROM unknown WHERE n_windows >= 2 AND class <> '{NEGATIVE}')", _UNKNOWN))
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     return trajectory.review_queue(_unknown(spark, sf), NEGATIVE, 2, CHUNK)
 

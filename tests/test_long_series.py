@@ -113,3 +113,21 @@ def test_staged_tables_can_be_cleaned(spark):
     staging.clean(spark)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(staging.folder(spark)).count()
+
+
+def test_tables_of_several_videos_are_put_together(spark):
+    from lumenframe.operators.validate import ValidationError
+
+    a = spark.createDataFrame([("v", 0.0, 0.1, 0.2, 9.0), ("v", 1.0, None, 0.4, 9.0)], "video string, start_sec double, x double, y double, other double")
+    b = spark.createDataFrame([(5.0, "w", 0.0)], "y double, video string, start_sec double").withColumn("x", F.lit(1.5))
+    got = sorted(map(tuple, trajectory.concatenated([a, b], ["x", "y"]).collect()), key=repr)
+    assert got == sorted([("v", "x", 0.0, 0.1), ("v", "x", 1.0, None), ("v", "y", 0.0, 0.2), ("v", "y", 1.0, 0.4), ("w", "x", 0.0, 1.5), ("w", "y", 0.0, 5.0)], key=repr)
+    for parts in ([a, b.drop("x")], [a, a], []):
+        with pytest.raises(ValidationError):
+            trajectory.concatenated(parts, ["x", "y"])
+
+
+def test_the_review_queue_has_ranks(spark):
+    rows = [(v, "c", float(t), p, 1) for v, p in (("a", 0.3), ("b", 0.5), ("d", 0.5)) for t in range(3)]
+    df = spark.createDataFrame(rows, "video string, class string, start_sec double, score double, unknown int")
+    assert [(r["video"], r["rank"]) for r in trajectory.review_queue(df, "n").collect()] == [("b", 1), ("d", 2), ("a", 3)]
