@@ -22,8 +22,8 @@ from lumenframe.llm.units import UnitEncoder
 EXAMPLES, EXAMPLE_WORDS, CALIBRATION = 4096, 4_000_000, 1024
 #: Neighbours that vote, examples in one block of the index, and the weight of the prior beside the votes.
 K, BLOCK, PRIOR_WEIGHT = 15, 64, 0.25
-#: A term must be in so many examples at least to be tested; terms that tell label 1 weigh so many times their TF-IDF.
-LEAST_DF, TELLING_WEIGHT = 3, 64.0
+#: A term must be in so many examples at least to be tested; how many times their TF-IDF terms that tell label 1 may weigh.
+LEAST_DF, TELLING_WEIGHTS = 3, (1.0, 4.0, 16.0, 64.0)
 #: Terms that one in so many examples has, and as many examples at least, are dense rows; texts whose scores by them are one product.
 COMMON, TOGETHER = 16, 128
 #: Blocks that are opened before there is a cosine to beat.
@@ -149,7 +149,7 @@ def counted(vocabulary: Vocabulary, flat: np.ndarray, sizes: np.ndarray) -> tupl
 
 @dataclass
 class Weights:
-    """TF-IDF weights of the terms: idf over all documents, times ``TELLING_WEIGHT`` for terms that tell label 1."""
+    """TF-IDF weights of the terms: idf over all documents, times one of ``TELLING_WEIGHTS`` for terms that tell label 1."""
 
     idf: np.ndarray
     unseen: float
@@ -356,7 +356,7 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
 
     ``labels`` (id, y) are the labels to learn from, as ``clean_labels`` makes them; about ``rows`` of them at most
     become examples. Terms are all words of a text and those word beginnings that tell label 1; terms that tell it
-    weigh ``TELLING_WEIGHT`` times their TF-IDF. Norms are over whole texts: a word of no example weighs as one that
+    weigh a number of times their TF-IDF that the examples choose (``choose_weight``). Norms are over whole texts: a word of no example weighs as one that
     is in no other document. Document frequencies are counted over all of ``df``. Scores are votes of the ``K``
     nearest examples, calibrated on votes on examples by the others. Evidence is the ids and cosines of these nearest.
 
@@ -397,7 +397,7 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     seen = map_arrow(sparse.select("term"), frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the vocabulary
     df_ = np.zeros(len(vocabulary))
     df_[seen["term"].to_numpy()] = seen["n"].to_numpy()
-    weights = Weights((np.log((total + 1) / (df_ + 1)) + 1) * np.where(vocabulary.tells, TELLING_WEIGHT, 1.0), math.log(total + 1) + 1)
+    idf, unseen = np.log((total + 1) / (df_ + 1)) + 1, math.log(total + 1) + 1
 
     first = np.cumsum(n_heads) - n_heads
     arrays = []
@@ -406,6 +406,7 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
         term, number = np.unique(np.concatenate((at, heads[spans(first[at], n_heads[at])])), return_inverse=True)
         arrays.append((term, np.bincount(number, weights=np.concatenate((count, np.repeat(count, n_heads[at]))), minlength=len(term)).astype(np.float64)))
     ids = examples.ids
+    weights = Weights(idf * np.where(vocabulary.tells, choose_weight(arrays, ids, y, idf, unseen), 1.0), unseen)
     index = build([(t, weights.unit(t, c, 0.0)) for t, c in arrays], ids, y, len(vocabulary))
     plain = np.array([not vocabulary.tells[t].any() for t, _ in arrays], bool)
     scorer = Scorer(weights, index, float(rate), float((y[plain].sum() + rate) / (plain.sum() + 1)))
@@ -425,6 +426,34 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
     return map_arrow(sparse, scores, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "score", "predicted", "evidence_ids", "evidence_cosines")
 
 
+def choose_weight(arrays: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, y: np.ndarray, idf: np.ndarray, unseen: float) -> float:
+    """How many times their TF-IDF terms that tell label 1 are to weigh: what foretells labels of examples best.
+
+    Every other example votes on the ones between, at most ``CALIBRATION`` // 2 of them, and its labels alone say which
+    terms tell label 1. The option whose calibrated votes have the least mean squared error wins, the smallest of equal ones.
+    """
+    known, asked = range(0, len(arrays), 2), [i for i in range(1, len(arrays), 2) if len(arrays[i][0])][: CALIBRATION // 2]
+    if len(TELLING_WEIGHTS) == 1 or not asked:
+        return TELLING_WEIGHTS[0]
+    term = np.concatenate([arrays[i][0] for i in known])
+    df = np.bincount(term, minlength=len(idf))
+    ones = np.bincount(term, weights=np.repeat(y[::2], [len(arrays[i][0]) for i in known]), minlength=len(idf)).astype(np.int64)
+    tells, n, pos = np.zeros(len(idf), bool), len(known), int(y[::2].sum())
+    seen = np.flatnonzero(df >= LEAST_DF)
+    if 0 < pos < n and len(seen):
+        tells[seen] = telling(df[seen], ones[seen], n, pos)
+    errors = []
+    for option in TELLING_WEIGHTS:
+        weights = Weights(idf * np.where(tells, option, 1.0), unseen)
+        index = build([(arrays[i][0], weights.unit(*arrays[i], 0.0)) for i in known], ids[::2], y[::2], len(idf))
+        scorer = Scorer(weights, index, (pos + 0.5) / (n + 1), (pos + 0.5) / (n + 1))
+        near = index.nearest([(arrays[i][0], weights.unit(*arrays[i], 0.0)) for i in asked])
+        votes, labels = np.array([scorer.vote(*x) for x in near]), y[asked]
+        scorer.calibrate(votes, labels)
+        errors.append((round(float(((np.interp(votes, scorer.raw, scorer.real) - labels) ** 2).mean()), 6), option))
+    return min(errors)[1]
+
+
 def _calibrate(scorer: Scorer, examples: Examples, arrays: list[tuple[np.ndarray, np.ndarray]]) -> None:
     """Calibrates on the votes that the first ``CALIBRATION`` examples get from the other ones."""
     place: dict[int, list[int]] = {}

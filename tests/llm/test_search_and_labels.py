@@ -225,6 +225,7 @@ def test_block_max_search_is_exact(monkeypatch, common, dense):
 def test_toxicity_equals_brute_force(spark, monkeypatch):
     """Scores and evidence of every document by plain dictionaries, one pair of texts after the other."""
     monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "TELLING_WEIGHTS", (64.0,))
     rng = random.Random(9)
     words = [f"word{i}" for i in range(60)]
     docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 40)) + ["Vilely"] * (i % 3 == 0 and i % 2) + ["vileness, vile"] * (i % 6 == 0) + [f"only{i}"])) for i in range(150)]
@@ -248,7 +249,7 @@ def test_toxicity_equals_brute_force(spark, monkeypatch):
                     terms[i][("h", h)] += n
     df = Counter(t for c in terms.values() for t in c)
     number = {("w", w): n for w, n in known.words.items()} | {("h", h): n for h, n in known.heads.items()}
-    idf = lambda t: (math.log((len(docs) + 1) / (df[t] + 1)) + 1) * (toxicity.TELLING_WEIGHT if known.tells[number[t]] else 1) if t in number else math.log(len(docs) + 1) + 1
+    idf = lambda t: (math.log((len(docs) + 1) / (df[t] + 1)) + 1) * (toxicity.TELLING_WEIGHTS[0] if known.tells[number[t]] else 1) if t in number else math.log(len(docs) + 1) + 1
     vector = {}
     for i, c in terms.items():
         w = {t: (1 + math.log(n)) * idf(t) for t, n in c.items()}
@@ -265,6 +266,24 @@ def test_toxicity_equals_brute_force(spark, monkeypatch):
     assert {i for i, r in got.items() if r["predicted"]} == vile and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_the_weight_of_telling_terms_is_chosen_by_the_examples():
+    """A word that tells label 1 among many others needs weight; where it says nothing, plain TF-IDF stays."""
+    rng = np.random.default_rng(0)
+    words = 400
+
+    def example(y, marks):
+        t = np.unique(np.append(rng.choice(words, 60, replace=False), [words] * (y and marks)))
+        return t.astype(np.int64), np.ones(len(t))
+
+    y = (np.arange(600) % 5 == 0).astype(np.int64)
+    for marks in (True, False):
+        arrays = [example(int(v), marks) for v in y]
+        idf = np.ones(words + 1)
+        got = toxicity.choose_weight(arrays, np.arange(600), y, idf, 1.0)
+        assert got > 1.0 if marks else got == 1.0
+    assert toxicity.choose_weight([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(1), 1.0) == toxicity.TELLING_WEIGHTS[0]
+
+
 def test_examples_are_bounded(spark, monkeypatch):
     frame = spark.createDataFrame([(i % 20, f"text number {i} of some words") for i in range(200)], "id long, t string")
     labels = toxicity.clean_labels(spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"))
