@@ -133,6 +133,16 @@ def without_listed(df: DataFrame, key: str, listed: DataFrame, most_bits: int =
     return marked.where(~listed_too).drop("_bits").unionByName(marked.where(listed_too).drop("_bits").join(listed, key, "left_anti"))
 
 
+def give_back() -> None:
+    """Returns a worker's unused memory to the system: the same process serves other operators next, beside other workers."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words (multiply and xor-shift rounds)."""
     x = x.astype(np.uint64, copy=True)

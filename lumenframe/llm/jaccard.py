@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import by_bytes, components, join_hot, map_arrow, mix64, only_listed, ragged, stage, texts_of
+from lumenframe.llm.common import by_bytes, components, give_back, join_hot, map_arrow, mix64, only_listed, ragged, stage, texts_of
 
 #: Words of an n-gram and the least similarity of a link.
 NGRAM, SIMILARITY = 5, 0.8
@@ -101,7 +101,8 @@ def _signatures(bands: int, rows: int, n: int) -> Callable:
                 two.append(int(np.bitwise_xor.reduce(mix64(g ^ _SEED)).view(np.int64)) if len(g) else 0)
                 sig.append(signature(g, bands, rows) if len(g) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b["id"], b["h"], pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(size, pa.int32()), ragged(np.concatenate(sig) if sig else np.zeros(0, np.int64), np.array([len(s) for s in sig]))], ["id", "h", "set1", "set2", "size", "bands"])
-        _hash_of.clear()  # the worker process serves other operators next
+        _hash_of.clear()
+        give_back()
 
     return run
 
@@ -148,23 +149,29 @@ def _links(similarity: float, n: int) -> Callable:
         ri = li if same else ri
         left = [grams[i] for i in li]
         both = intersections(left, left if same else [grams[i] for i in ri])
-        union = size[li][:, None] + size[ri][None, :] - both
-        linked = both >= similarity * union - 1e-9
-        if same:
-            np.fill_diagonal(linked, False)
+        grams.clear()
+        linked = np.zeros(both.shape, bool)
         classes, documents = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        classes[li] += linked.sum(axis=1)
-        documents[li] += linked @ copies[ri]
-        if not same:
-            classes[ri] += linked.sum(axis=0)
-            documents[ri] += linked.T @ copies[li]
-        root = ids.copy()
-        a, b = np.nonzero(linked)
-        while len(a):
-            low = np.minimum(root[li[a]], root[ri[b]])
+        rows = [np.arange(low, min(low + 256, len(li))) for low in range(0, len(li), 256)]
+        for part in rows:
+            union = size[li[part]][:, None] + size[ri][None, :] - both[part]
+            mine = both[part] >= similarity * union - 1e-9
+            if same:
+                mine[np.arange(len(part)), part] = False
+            linked[part] = mine
+            classes[li[part]] += mine.sum(axis=1)
+            documents[li[part]] += mine @ copies[ri]
+            if not same:
+                classes[ri] += mine.sum(axis=0)
+                documents[ri] += mine.T @ copies[li[part]]
+        del both
+        root, none = ids.copy(), np.iinfo(np.int64).max
+        while True:
             was = root.copy()
-            np.minimum.at(root, li[a], low)
-            np.minimum.at(root, ri[b], low)
+            for part in rows:
+                near, own = root[ri], root[li[part]]
+                root[li[part]] = np.minimum(own, np.where(linked[part], near[None], none).min(axis=1, initial=none))
+                root[ri] = np.minimum(root[ri], np.where(linked[part], root[li[part]][:, None], none).min(axis=0, initial=none))
             if (was == root).all():
                 break
         return pa.table({"node": ids, "links": classes, "documents": documents, "root": root})

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import bucket_of, by_bytes, map_arrow, ragged, spans, stage
+from lumenframe.llm.common import bucket_of, by_bytes, give_back, map_arrow, ragged, spans, stage
 from lumenframe.llm.units import UnitEncoder
 
 #: The fit's documented bounds: at most so many labelled texts are examples (the smallest hashes), with so many distinct
@@ -380,6 +380,8 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
         for b in by_bytes(batches, words):
             term, count, size, other = counted(known, *encoder.encode_many(b[words]))
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), ragged(term, size), ragged(count, size), pa.array(other)], [*names, "term", "cnt", "other"])
+        del encoder
+        give_back()
 
     schema = "".join(f"{n} {types[n]}, " for n in names) + "term array<int>, cnt array<int>, other double"
     sparse = stage(map_arrow(read, vectors, schema), "tox-vectors")
@@ -421,6 +423,7 @@ def score_texts(df: DataFrame, labels: DataFrame, text: str = "text", keep: tupl
             size = np.array([len(x[1]) for x in out], np.int64)
             flat = lambda i, kind: np.concatenate([x[i] for x in out]).astype(kind) if out else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), ragged(flat(1, np.int64), size), ragged(np.round(flat(2, np.float64), 9), size)], [*names, "score", "predicted", "evidence_ids", "evidence_cosines"])
+        give_back()
 
     schema = "".join(f"{n} {types[n]}, " for n in names) + "score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>"
     return map_arrow(sparse, scores, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "score", "predicted", "evidence_ids", "evidence_cosines")
