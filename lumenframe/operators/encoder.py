@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.grids import frame_indices
+from lumenframe.operators import index
 from lumenframe.operators.retrieval import search
+from lumenframe.operators.staging import stage
 from lumenframe.operators.validate import ValidationError, require_empty
 
 
@@ -94,8 +96,29 @@ def search_index(spark: SparkSession, path: str, query: str, encoder: Callable[[
     """The ``k`` (1 to 24) best rows of an index for a text: rank, item, file, caption, score. An empty query, or another encoder's index, is an error."""
     if not query.strip():
         raise ValidationError("empty query")
-    index = spark.read.schema("item string, caption string, file string, embedding array<float>, encoder string").parquet(path)
-    require_empty(index.where(F.col("encoder") != name).select("encoder").distinct(), f"the index isn't of the encoder {name}")
+    held = spark.read.schema("item string, caption string, file string, embedding array<float>, encoder string").parquet(path)
+    require_empty(held.where(F.col("encoder") != name).select("encoder").distinct(), f"the index isn't of the encoder {name}")
     vector = np.asarray(encoder([query.strip()])[0], np.float64)
     asked = spark.createDataFrame([((vector / max(float(np.linalg.norm(vector)), 1e-12)).tolist(),)], "embedding array<double>")
-    return search(index, asked, k).select("rank", "item", "file", "caption", F.round("score", 6).alias("score"))
+    return search(held, asked, k).select("rank", "item", "file", "caption", F.round("score", 6).alias("score"))
+
+
+def build_ball_index(rows: DataFrame, content: str, encoder: Callable[[list], np.ndarray], name: str, path: str, balls: int = index.BALLS, strict: bool = False) -> None:
+    """``build_index`` as an index in balls, for many queries at a time. Rows are encoded once, into a staged table."""
+    encoded = encode(rows, content, encoder, name, strict=strict).select("item", "caption", "file", "embedding", "encoder")
+    index.build(stage(encoded, "encoded"), path, balls)
+
+
+def search_texts(spark: SparkSession, path: str, texts: DataFrame, encoder: Callable[[list], np.ndarray], name: str, k: int = 5) -> DataFrame:
+    """The ``k`` (1 to 24) best rows of a ball index for each (query, text): query, rank, item, file, caption, score.
+
+    Exact, and only balls whose bound reaches a query's k-th score are read. Blank texts, a text that can't be encoded
+    and another encoder's index are errors.
+    """
+    require_empty(texts.where(F.coalesce(F.trim("text"), F.lit("")) == "").select("query"), "empty queries")
+    rows = spark.read.parquet(f"{path}/rows")
+    require_empty(rows.where(F.col("encoder") != name).select("encoder").distinct(), f"the index isn't of the encoder {name}")
+    asked = encode(texts.select("query", F.trim("text").alias("text")), "text", encoder, name, strict=True)
+    found, _ = index.search_many(spark, path, asked.select("query", "embedding"), max(1, min(24, k)))
+    named = rows.select("item", "file", "caption").dropDuplicates(["item"])
+    return found.join(named, "item").select("query", "rank", "item", "file", "caption", F.round("score", 6).alias("score"))

@@ -140,10 +140,10 @@ def search_topk(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT i.vec_id AS item, p.vec_id AS class, list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score FROM embeddings i, embeddings p WHERE i.vec_id % 2 = 1 AND p.vec_id % 2 = 0)) WHERE r = 1"
 )
 def zs_many_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """A prompt for every other row of the table: as many prompts as items, in passes of 64 KB."""
+    """A prompt for every other row of the table: as many prompts as items."""
     e = I.table(spark, sf, "embeddings")
     items = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("item"), "embedding")
-    best = blocked.top_prompts(items, e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("class"), "embedding"), 1, 1 << 16)
+    best = blocked.top_prompts(items, e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("class"), "embedding"))
     return best.select("item", F.col("class").alias("pred"), F.round("score", 6).alias("score"))
 
 

@@ -85,3 +85,21 @@ def test_an_index_of_few_or_no_rows(spark, tmp_path):
     index.build(df.limit(0), str(tmp_path / "b"))
     assert index.search_many(spark, str(tmp_path / "b"), asked, 5)[0].collect() == []
     assert index.search_many(spark, str(tmp_path / "a"), asked.limit(0), 5)[0].collect() == []
+
+
+def test_many_texts_are_searched_as_one_by_one(spark, tmp_path):
+    from lumenframe.operators import encoder
+    from lumenframe.operators.validate import ValidationError
+
+    rows = spark.createDataFrame([(f"i{i}", f"caption {i}", f"f{i}.mp4", f"text {i}") for i in range(60)], "item string, caption string, file string, content string")
+    encoder.build_index(rows, "content", encoder.hash_encoder, "hash", str(tmp_path / "plain"))
+    encoder.build_ball_index(rows, "content", encoder.hash_encoder, "hash", str(tmp_path / "balls"), 8)
+    asked = spark.createDataFrame([("a", " text 7 "), ("b", "text 50"), ("c", "of no row")], "query string, text string")
+    got = encoder.search_texts(spark, str(tmp_path / "balls"), asked, encoder.hash_encoder, "hash", 40)
+    assert got.columns == ["query", "rank", "item", "file", "caption", "score"] and got.count() == 72
+    for query, text in asked.collect():
+        one = encoder.search_index(spark, str(tmp_path / "plain"), text, encoder.hash_encoder, "hash", 40)
+        assert sorted(map(tuple, one.collect())) == sorted(tuple(r)[1:] for r in got.where(F.col("query") == query).collect())
+    for texts, name in ((spark.createDataFrame([("a", "  ")], "query string, text string"), "hash"), (asked, "other")):
+        with pytest.raises(ValidationError):
+            encoder.search_texts(spark, str(tmp_path / "balls"), texts, encoder.hash_encoder, name)
