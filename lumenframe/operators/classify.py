@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.vectors import dot, l2_normalize
+from lumenframe.functions.vectors import dot, half_up, l2_normalize
 
 #: Rows and bytes of a side up to which it is fetched once and broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16 << 20
@@ -82,7 +82,7 @@ def with_captions(items: DataFrame, captions: DataFrame, key: str = "label", cap
 
 def accuracy(pred: DataFrame) -> DataFrame:
     """n and accuracy; null without rows."""
-    return pred.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy"))
+    return pred.agg(F.count(F.lit(1)).alias("n"), half_up(F.avg((F.col("pred") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
 def confusion(pred: DataFrame, classes: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def per_class(cells: DataFrame, digits: int | None = 4) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     p, r = ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("support"))
     f1 = ratio(2.0 * F.col("tp"), F.col("predicted") + F.col("support"))
-    cut = (lambda x: F.round(x, digits)) if digits is not None else (lambda x: x)
+    cut = (lambda x: half_up(x, digits)) if digits is not None else (lambda x: x)
     return sums.select("class", cut(p).alias("precision"), cut(r).alias("recall"), cut(f1).alias("f1"), "support", "predicted")
 
 
@@ -112,7 +112,7 @@ def averages(cells: DataFrame, digits: int = 6) -> DataFrame:
     """Accuracy, macro averages over classes that are true or predicted somewhere, and averages weighted by support."""
     c = per_class(cells, None).withColumn("tp", F.col("recall") * F.col("support"))
     seen = (F.col("support") > 0) | (F.col("predicted") > 0)
-    macro = lambda m: F.round(F.avg(F.when(seen, F.col(m))), digits).alias(f"macro_{m}")
-    weighted = lambda m: F.round(F.sum(F.col(m) * F.col("support")) / F.sum("support"), digits).alias(f"weighted_{m}")
-    return c.agg(F.round(F.sum("tp") / F.sum("support"), digits).alias("accuracy"), *(f(m) for f in (macro, weighted) for m in ("precision", "recall", "f1")))
+    macro = lambda m: half_up(F.avg(F.when(seen, F.col(m))), digits).alias(f"macro_{m}")
+    weighted = lambda m: half_up(F.sum(F.col(m) * F.col("support")) / F.sum("support"), digits).alias(f"weighted_{m}")
+    return c.agg(half_up(F.sum("tp") / F.sum("support"), digits).alias("accuracy"), *(f(m) for f in (macro, weighted) for m in ("precision", "recall", "f1")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions.vectors import half_up
 from lumenframe.operators.classify import small
 from lumenframe.operators.ranges import running_sums
 
@@ -23,18 +24,18 @@ def pr_curve(scored: DataFrame) -> DataFrame:
 def average_precision(curve: DataFrame, digits: int = 4) -> DataFrame:
     """Step-wise average precision of each class (null without positives): class, support, ap."""
     ap = F.sum(F.try_divide(F.col("hits"), F.col("npos")) * F.col("precision"))
-    return curve.groupBy("class").agg(F.max("npos").alias("support"), F.when(F.max("npos") > 0, F.round(ap, digits)).alias("ap"))
+    return curve.groupBy("class").agg(F.max("npos").alias("support"), F.when(F.max("npos") > 0, half_up(ap, digits)).alias("ap"))
 
 
 def precision_at_recall(curve: DataFrame, floor: float = 0.9, digits: int = 4) -> DataFrame:
     """The best precision at a recall of ``floor`` or more, 0 if there is none; null without positives."""
     best = F.coalesce(F.max(F.when(F.col("recall") >= floor, F.col("precision"))), F.lit(0.0))
-    return curve.groupBy("class").agg(F.when(F.max("npos") > 0, F.round(best, digits)).alias("precision_at_recall"))
+    return curve.groupBy("class").agg(F.when(F.max("npos") > 0, half_up(best, digits)).alias("precision_at_recall"))
 
 
 def mean_ap(ap: DataFrame) -> DataFrame:
     """Mean of the rounded average precisions of classes with support; null if there are none."""
-    return ap.agg(F.round(F.avg("ap"), 4).alias("map"))
+    return ap.agg(half_up(F.avg("ap"), 4).alias("map"))
 
 
 def unknown_band(curve: DataFrame, recall_floor: float = 0.95, precision_floor: float = 0.9) -> DataFrame:

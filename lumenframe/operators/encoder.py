@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.grids import frame_indices
+from lumenframe.functions.vectors import half_up
 from lumenframe.operators import index
 from lumenframe.operators.retrieval import search
 from lumenframe.operators.staging import stage
@@ -100,7 +101,7 @@ def search_index(spark: SparkSession, path: str, query: str, encoder: Callable[[
     require_empty(held.where(F.col("encoder") != name).select("encoder").distinct(), f"the index isn't of the encoder {name}")
     vector = np.asarray(encoder([query.strip()])[0], np.float64)
     asked = spark.createDataFrame([((vector / max(float(np.linalg.norm(vector)), 1e-12)).tolist(),)], "embedding array<double>")
-    return search(held, asked, k).select("rank", "item", "file", "caption", F.round("score", 6).alias("score"))
+    return search(held, asked, k).select("rank", "item", "file", "caption", half_up("score", 6).alias("score"))
 
 
 def build_ball_index(rows: DataFrame, content: str, encoder: Callable[[list], np.ndarray], name: str, path: str, balls: int = index.BALLS, strict: bool = False) -> None:
@@ -121,4 +122,4 @@ def search_texts(spark: SparkSession, path: str, texts: DataFrame, encoder: Call
     asked = encode(texts.select("query", F.trim("text").alias("text")), "text", encoder, name, strict=True)
     found, _ = index.search_many(spark, path, asked.select("query", "embedding"), max(1, min(24, k)))
     named = rows.select("item", "file", "caption").dropDuplicates(["item"])
-    return found.join(named, "item").select("query", "rank", "item", "file", "caption", F.round("score", 6).alias("score"))
+    return found.join(named, "item").select("query", "rank", "item", "file", "caption", half_up("score", 6).alias("score"))

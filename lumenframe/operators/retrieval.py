@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.vectors import dot
+from lumenframe.functions.vectors import dot, half_up
 from lumenframe.operators.ranges import running_sums
 
 
@@ -27,13 +27,13 @@ def ranked(scores: DataFrame, by: str, order: str) -> DataFrame:
 
 def retrieval_log(scores: DataFrame, top: int = 10) -> DataFrame:
     """Each item's ``top`` best classes, all if there are fewer: item, label, rank, class, score, hit."""
-    return ranked(scores, "item", "class").where(F.col("rank") <= top).select("item", "label", "rank", "class", F.round("score", 6).alias("score"), (F.col("class") == F.col("label")).cast("int").alias("hit"))
+    return ranked(scores, "item", "class").where(F.col("rank") <= top).select("item", "label", "rank", "class", half_up("score", 6).alias("score"), (F.col("class") == F.col("label")).cast("int").alias("hit"))
 
 
 def item_recall(scores: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Share of items whose own class is among the k best: n and r_at_k, one row."""
     mine = ranked(scores, "item", "class").where(F.col("class") == F.col("label"))
-    return mine.agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"r_at_{k}") for k in ks))
+    return mine.agg(F.count(F.lit(1)).alias("n"), *(half_up(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"r_at_{k}") for k in ks))
 
 
 def class_ranking(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -51,4 +51,4 @@ def class_ranking(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFr
 def class_recall(scores: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Share of classes with a relevant item among the k best, mean average precision and median first rank, one row."""
     c = class_ranking(scores, ks)
-    return c.agg(*(F.round(F.avg(f"hit_at_{k}"), 6).alias(f"r_at_{k}") for k in ks), F.round(F.avg("ap"), 6).alias("map"), F.percentile("first_rank", 0.5).alias("median_first_rank"))
+    return c.agg(*(half_up(F.avg(f"hit_at_{k}"), 6).alias(f"r_at_{k}") for k in ks), half_up(F.avg("ap"), 6).alias("map"), F.percentile("first_rank", 0.5).alias("median_first_rank"))

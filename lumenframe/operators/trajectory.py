@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.functions.vectors import half_up
 from lumenframe.operators.classify import small
 from lumenframe.operators.ranges import numbers
 from lumenframe.operators.series import merged_runs, with_halo
@@ -25,7 +26,7 @@ def smooth(scores: DataFrame, window: int) -> DataFrame:
         return scores
     half = window // 2
     w = Window.partitionBy(*BY, "_block").orderBy("start_sec").rowsBetween(-half, half)
-    smoothed = with_halo(scores, BY, half).withColumn("score", F.round(F.percentile("score", 0.5).over(w), DIGITS))
+    smoothed = with_halo(scores, BY, half).withColumn("score", F.percentile("score", 0.5).over(w)).withColumn("score", half_up("score", DIGITS))
     return smoothed.where("_own").select(scores.columns)
 
 
@@ -51,13 +52,14 @@ def events(scores: DataFrame, thresholds: DataFrame, mode: str = "glue", chunk:
         w = Window.partitionBy(*BY, "_block").orderBy("start_sec")
         score = F.col("score")
         for size in sizes:
-            score = F.when(F.col("window") == size, F.round(F.percentile("score", 0.5).over(w.rowsBetween(-(size // 2), size // 2)), DIGITS)).otherwise(score)
+            score = F.when(F.col("window") == size, F.percentile("score", 0.5).over(w.rowsBetween(-(size // 2), size // 2))).otherwise(score)
         if sizes:
-            joined = with_halo(joined, BY, max(sizes) // 2).withColumn("score", score).where("_own").drop("_own", "_block")
+            cut = F.when(F.col("window") > 1, half_up("score", DIGITS)).otherwise(F.col("score"))
+            joined = with_halo(joined, BY, max(sizes) // 2).withColumn("score", score).where("_own").withColumn("score", cut).drop("_own", "_block")
     keys = [*BY, "min_consec"]
     found = runs(joined, F.col("score") >= F.col("threshold"), keys, 1, chunk)
     found = found.where(F.col("n_windows") >= F.col("min_consec")) if mode == "glue" else found
-    return found.select(*BY, "start_sec", "end_sec", F.round("peak", digits).alias("peak"), F.round("mean", digits).alias("mean"), "n_windows")
+    return found.select(*BY, "start_sec", "end_sec", half_up("peak", digits).alias("peak"), half_up("mean", digits).alias("mean"), "n_windows")
 
 
 def flags(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -82,13 +84,13 @@ def unknown_flags(probs: DataFrame, heads: DataFrame) -> DataFrame:
 def unknown_rate(flagged: DataFrame, warn: float = 0.2) -> DataFrame:
     """Share of unknown windows of each class, rounded, and whether it is above ``warn``."""
     rate = F.avg(F.col("unknown").cast("double"))
-    return flagged.groupBy("class").agg(F.round(rate, 4).alias("unknown_rate"), (rate > warn).cast("int").alias("warn"))
+    return flagged.groupBy("class").agg(half_up(rate, 4).alias("unknown_rate"), (rate > warn).cast("int").alias("warn"))
 
 
 def review_queue(flagged: DataFrame, negative: str, min_run: int = 2, chunk: float = 2.0) -> DataFrame:
     """Runs of unknown windows of violations, for review, with their rank: highest peak_p first, ties in order of video, class and time."""
     found = runs(flagged.where(F.col("class") != negative), F.col("unknown") == 1, None, min_run, chunk)
-    queue = found.select(*BY, "start_sec", "end_sec", F.round("peak", 6).alias("peak_p"))
+    queue = found.select(*BY, "start_sec", "end_sec", half_up("peak", 6).alias("peak_p"))
     return numbers(queue, [F.desc("peak_p"), *BY, "start_sec"], "rank").withColumn("rank", F.col("rank") + 1).orderBy("rank")
 
 

@@ -44,12 +44,12 @@ def oracle_sql() -> dict[str, str]:
 
 @query(select("SELECT item, label, pred, round(score, 6) AS score FROM pred"))
 def zs_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    return I.predictions(spark, sf).select("item", "label", "pred", F.round("score", 6).alias("score"))
+    return I.predictions(spark, sf).select("item", "label", "pred", vectors.half_up("score", 6).alias("score"))
 
 
 @query(select("SELECT item, class, round(score, 6) AS score FROM scores"))
 def zs_scores_long(spark: SparkSession, sf: str) -> DataFrame:
-    return I.scores_long(spark, sf).select("item", "class", F.round("score", 6).alias("score"))
+    return I.scores_long(spark, sf).select("item", "class", vectors.half_up("score", 6).alias("score"))
 
 
 @query(select("SELECT count(*) AS n, round(avg(CAST(pred = label AS INTEGER)), 6) AS accuracy FROM pred WHERE split = 'val'"))
@@ -81,13 +81,13 @@ def macro_weighted_prf(spark: SparkSession, sf: str) -> DataFrame:
 @query(select("SELECT round(avg(CAST(pred = label AS INTEGER)) FILTER (split = 'val'), 6) AS val_accuracy, round(avg(CAST(pred = label AS INTEGER)) FILTER (split = 'train'), 6) AS train_accuracy FROM pred"))
 def other_split_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     hit = (F.col("pred") == F.col("label")).cast("double")
-    return I.predictions(spark, sf).agg(*(F.round(F.avg(F.when(F.col("split") == s, hit)), 6).alias(f"{s}_accuracy") for s in ("val", "train")))
+    return I.predictions(spark, sf).agg(*(vectors.half_up(F.avg(F.when(F.col("split") == s, hit)), 6).alias(f"{s}_accuracy") for s in ("val", "train")))
 
 
 @query(select("SELECT vec_id AS item, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS squared, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12)) AS u FROM embeddings)"))
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     u = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), vectors.l2_normalize(F.col("embedding")).alias("u"))
-    return u.select("item", F.round(vectors.dot(F.col("u"), F.col("u")), 6).alias("squared"), F.round(F.element_at("u", 1), 6).alias("first"))
+    return u.select("item", vectors.half_up(vectors.dot(F.col("u"), F.col("u")), 6).alias("squared"), vectors.half_up(F.element_at("u", 1), 6).alias("first"))
 
 
 @query(
@@ -100,7 +100,7 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def sim_scores(spark: SparkSession, sf: str) -> DataFrame:
-    wide = I.scores_long(spark, sf).where("split = 'val'").groupBy("item").pivot("class", list(range(10))).agg(F.round(F.first("score"), 6))
+    wide = I.scores_long(spark, sf).where("split = 'val'").groupBy("item").pivot("class", list(range(10))).agg(vectors.half_up(F.first("score"), 6))
     pred = I.predictions(spark, sf).where("split = 'val'").select("item", "label", "pred", (F.col("label") == F.col("pred")).cast("int").alias("correct"))
     named = wide.select("item", *(F.col(str(c)).alias(f"s{c}") for c in range(10)))
     return sampling.numbered(pred, "item").join(named, "item")
@@ -132,7 +132,7 @@ def retrieval_log_top10(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT item, CAST(row_number() OVER (ORDER BY score DESC, item) AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT e.vec_id AS item, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 ORDER BY score DESC, item LIMIT 5)")
 def search_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
-    return retrieval.search(e, e.where("item = 1"), 5).select("item", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+    return retrieval.search(e, e.where("item = 1"), 5).select("item", F.col("rank").cast("int").alias("rank"), vectors.half_up("score", 6).alias("score"))
 
 
 @query(
@@ -144,7 +144,7 @@ def zs_many_prompts(spark: SparkSession, sf: str) -> DataFrame:
     e = I.table(spark, sf, "embeddings")
     items = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("item"), "embedding")
     best = blocked.top_prompts(items, e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("class"), "embedding"))
-    return best.select("item", F.col("class").alias("pred"), F.round("score", 6).alias("score"))
+    return best.select("item", F.col("class").alias("pred"), vectors.half_up("score", 6).alias("score"))
 
 
 @query(
@@ -157,7 +157,7 @@ def index_search(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
     index.build(e, path)
     found, _ = index.search_many(spark, path, e.where("item % 25 = 0").withColumnRenamed("item", "query"), 5)
-    return found.withColumn("score", F.round("score", 6))
+    return found.withColumn("score", vectors.half_up("score", 6))
 
 
 # Splits and samples
@@ -265,7 +265,7 @@ def _matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(select("SELECT video, class, start_sec, round(score, 6) AS score, y FROM matrix", GRID))
 def label_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return _matrix(spark, sf).withColumn("score", F.round("score", 6))
+    return _matrix(spark, sf).withColumn("score", vectors.half_up("score", 6))
 
 
 @query(select(f"SELECT video, start_sec, '{NEGATIVE}' AS class, 1 - max(y) AS y FROM matrix WHERE class <> '{NEGATIVE}' GROUP BY ALL", GRID))
@@ -321,7 +321,7 @@ def lesson_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(select("SELECT video, class, start_sec, round(median(score) OVER (PARTITION BY video, class ORDER BY start_sec ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS score FROM trajectories"))
 def median_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return trajectory.smooth(I.trajectories(spark, sf), 3).withColumn("score", F.round("score", 6))
+    return trajectory.smooth(I.trajectories(spark, sf), 3).withColumn("score", vectors.half_up("score", 6))
 
 
 @query(select(f"SELECT video, class, start_sec, score FROM trajectories WHERE class <> '{NEGATIVE}'"))
@@ -407,7 +407,7 @@ c AS (SELECT *, tp / n AS p, CASE WHEN npos > 0 THEN tp / npos END AS r FROM cur
 
 @query(select("SELECT class, round(threshold, 6) AS threshold, tp, n, round(p, 6) AS precision, round(r, 6) AS recall FROM c", _CURVE))
 def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.pr_curve(_matrix(spark, sf)).select("class", F.round("threshold", 6).alias("threshold"), "tp", "n", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return curves.pr_curve(_matrix(spark, sf)).select("class", vectors.half_up("threshold", 6).alias("threshold"), "tp", "n", vectors.half_up("precision", 6).alias("precision"), vectors.half_up("recall", 6).alias("recall"))
 
 
 @query(select("SELECT class, max(npos) AS support, CASE WHEN max(npos) > 0 THEN round(sum(hits / npos * p), 4) END AS ap FROM c GROUP BY class", _CURVE))
@@ -427,7 +427,7 @@ def precision_at_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(select("SELECT class, round(lo, 6) AS t_lo, round(hi, 6) AS t_hi, CAST(lo >= hi AS INTEGER) AS crossed FROM (SELECT class, coalesce(max(threshold) FILTER (r >= 0.95), 0.0) AS lo, coalesce(min(threshold) FILTER (p >= 0.9), 1.0) AS hi FROM c GROUP BY class)", _CURVE))
 def unknown_band(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.unknown_band(curves.pr_curve(_matrix(spark, sf))).select("class", F.round("t_lo", 6).alias("t_lo"), F.round("t_hi", 6).alias("t_hi"), "crossed")
+    return curves.unknown_band(curves.pr_curve(_matrix(spark, sf))).select("class", vectors.half_up("t_lo", 6).alias("t_lo"), vectors.half_up("t_hi", 6).alias("t_hi"), "crossed")
 
 
 @query(select(f"SELECT a.class AS i, b.class AS j, CAST(sum(a.y * CAST(b.score >= coalesce(t.threshold, 0.25) AS INTEGER)) AS BIGINT) AS n FROM matrix a JOIN matrix b ON a.video = b.video AND a.start_sec = b.start_sec LEFT JOIN taxonomy t ON t.class = b.class WHERE a.class <> '{NEGATIVE}' AND b.class <> '{NEGATIVE}' GROUP BY ALL", GRID))
@@ -485,7 +485,7 @@ _HEADS = "hs AS (SELECT item, label, class, 1 / (1 + exp(-(10 * score - 5))) AS
 
 @query(select("SELECT item, label, class, round(p, 6) AS score FROM hs", _HEADS))
 def head_score(spark: SparkSession, sf: str) -> DataFrame:
-    return heads.apply_heads(I.items(spark, sf).drop("split"), I.heads(spark, sf)).withColumn("score", F.round("score", 6))
+    return heads.apply_heads(I.items(spark, sf).drop("split"), I.heads(spark, sf)).withColumn("score", vectors.half_up("score", 6))
 
 
 @query(select("SELECT item, class, CASE WHEN p >= 0.6 THEN 'positive' WHEN p >= 0.2 THEN 'unknown' ELSE 'negative' END AS decision FROM hs", _HEADS))
@@ -557,7 +557,7 @@ def events_json(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
     weights, c = heads.linear_probe(I.items(spark, sf).where("split = 'train'").drop("split"))
-    return weights.select("class", F.round("b", 6).alias("b"), F.size("w").alias("dim"), F.lit(c).alias("best_c"))
+    return weights.select("class", vectors.half_up("b", 6).alias("b"), F.size("w").alias("dim"), F.lit(c).alias("best_c"))
 
 
 @query()
@@ -565,7 +565,7 @@ def train_heads(spark: SparkSession, sf: str) -> DataFrame:
     items = I.items(spark, sf).withColumn("labels", F.array("label"))
     labels = sorted(r["label"] for r in items.select("label").distinct().collect())  # a row for each class
     out = heads.train_heads(items.where("split = 'train'"), items.where("split = 'val'"), labels)
-    return out.select("class", F.size("w").alias("dim"), F.round("b", 6).alias("b"), F.round("t_lo", 6).alias("t_lo"), F.round("t_hi", 6).alias("t_hi"), "c_reg")
+    return out.select("class", F.size("w").alias("dim"), vectors.half_up("b", 6).alias("b"), vectors.half_up("t_lo", 6).alias("t_lo"), vectors.half_up("t_hi", 6).alias("t_hi"), "c_reg")
 
 
 

@@ -25,6 +25,20 @@ def test_moving_median(spark):
     assert by_start(trajectory.smooth(s, 1), "score") == by_start(s, "score")
 
 
+def test_rounding_is_that_of_sql(spark):
+    """A mean of four windows that ends in 5 at the seventh digit: its product with 10^6 lies below the half."""
+    import duckdb
+
+    t = spark.createDataFrame([("c", 0.3, 1, 1)], "class string, threshold double, window int, min_consec int")
+    found = trajectory.events(series(spark, [0.0, 0.67555, 0.5023, 0.4592, 0.4587]), t).first()
+    assert (found["mean"], found["peak"], found["n_windows"]) == (0.523937, 0.67555, 4)
+    values = [0.5239375, 0.8989874999999998, 2.5e-7, 1.5, -1.5, -0.5239375, 0.0, 1e300, float("inf"), *(i / 80000 + j for i in range(400) for j in (0, 3, -7))]
+    for digits in (0, 4, 6):
+        want = [duckdb.execute("SELECT round(?::DOUBLE, ?)", [x, digits]).fetchone()[0] for x in values]
+        assert [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").coalesce(1).select(vectors.half_up("x", digits)).collect()] == want
+    assert math.isnan(spark.range(1).select(vectors.half_up(F.lit(math.nan), 6)).first()[0])
+
+
 @pytest.mark.parametrize("k,want", [(1, [(0.0, 2.0, 0.5, 0.5, 1), (2.0, 5.0, 0.8, 0.65, 2)]), (2, [(2.0, 5.0, 0.8, 0.65, 2)])])
 def test_runs_after_smoothing(spark, k, want):
     t = spark.createDataFrame([("c", 0.5, 3, k)], "class string, threshold double, window int, min_consec int")
