@@ -39,24 +39,34 @@ def flatten_json(text: Column) -> Column:
 
     Text, lists and nulls are left out; of equal keys, lower-case and dotted, the deepest counts and then the one that
     sorts last. Null and empty documents are null; malformed ones, and objects with a key twice, are errors. The document is parsed once, as a variant, and
-    each step of a fold opens the objects of one level; it has no more levels than braces.
+    each step of a fold opens the objects of one level; it has no more levels than braces. Each value's kind is looked at once,
+    and what several expressions read is bound to a lambda's variable: Spark evaluates what stands in a lambda anew for each mention.
     """
-    text, opened = F.nullif(text, F.lit("")), "struct<p: string, v: variant>"
-    kind = lambda x: F.schema_of_variant(x["v"])
-    number = lambda x: kind(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")
-    inside = lambda x: F.transform(F.map_entries(x["v"].cast("map<string, variant>")), lambda e: F.struct(F.lower(F.concat(x["p"], e["key"], F.lit("."))).alias("p"), e["value"].alias("v")))
-    plain = lambda x: F.struct(F.regexp_replace(x["p"], r"\.+$", "").alias("key"), x["v"].try_cast("double").alias("value"))
+    text, opened = F.nullif(text, F.lit("")), "struct<p: string, m: map<string, variant>, n: double>"
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+
+    def seen(p: Column, v: Column) -> Column:
+        """A value at ``p``: ``m`` if it is an object, ``n`` if it is a number, neither for all others."""
+        number = F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")
+        kinds = lambda m: F.struct(p.alias("p"), m.alias("m"), F.when(m.isNull() & number, v.try_cast("double")).alias("n"))
+        return bound(v.try_cast("map<string, variant>"), kinds)
 
     def step(state: Column, _: Column) -> Column:
-        objects = F.filter(state["todo"], lambda x: kind(x).startswith("OBJECT"))
-        found = F.transform(F.filter(state["todo"], number), plain)
+        inside = lambda x: F.transform(F.map_entries(x["m"]), lambda e: seen(F.lower(F.concat(x["p"], e["key"], F.lit("."))), e["value"]))
+        objects = F.filter(state["todo"], lambda x: x["m"].isNotNull())
+        found = F.transform(F.filter(state["todo"], lambda x: x["n"].isNotNull()), lambda x: F.struct(F.rtrim(x["p"], F.lit(".")).alias("key"), x["n"].alias("value")))
         return F.struct(F.flatten(F.transform(objects, inside)).cast(f"array<{opened}>").alias("todo"), F.concat(state["done"], found).alias("done"))
 
-    first = F.struct(F.array(F.struct(F.lit("").alias("p"), F.parse_json(text).alias("v"))).cast(f"array<{opened}>").alias("todo"), F.array().cast("array<struct<key: string, value: double>>").alias("done"))
-    done = F.aggregate(F.sequence(F.lit(0), F.regexp_count(text, F.lit(r"\{"))), first, step, lambda s: s["done"])
-    last = F.filter(done, lambda x, i: ~F.exists(F.slice(done, i + 2, F.size(done)), lambda y: y["key"] == x["key"]))
-    whole = F.size(F.array_distinct(F.transform(done, lambda x: x["key"]))) == F.size(done)
-    return F.when(text.isNotNull(), F.map_from_entries(F.when(whole, done).otherwise(last)))
+    def as_map(done: Column) -> Column:
+        last = F.filter(done, lambda x, i: ~F.exists(F.slice(done, i + 2, F.size(done)), lambda y: y["key"] == x["key"]))
+        whole = F.size(F.array_distinct(F.transform(done, lambda x: x["key"]))) == F.size(done)
+        return F.map_from_entries(F.when(whole, done).otherwise(last))
+
+    def flat(t: Column) -> Column:
+        first = F.struct(F.array(bound(F.parse_json(t), lambda v: seen(F.lit(""), v))).cast(f"array<{opened}>").alias("todo"), F.array().cast("array<struct<key: string, value: double>>").alias("done"))
+        return bound(F.aggregate(F.sequence(F.lit(0), F.regexp_count(t, F.lit(r"\{"))), first, step, lambda s: s["done"]), as_map)
+
+    return F.when(text.isNotNull(), bound(text, flat))
 
 
 def keys_like(flat: Column, part: str) -> Column:

@@ -628,4 +628,5 @@ def flatten_numbers(spark: SparkSession, sf: str) -> DataFrame:
     rest = F.to_json(F.struct(F.col("value").alias("Value"), deep.alias("Deep"), F.array().cast("array<int>").alias("tags")))
     document = F.concat(F.lit('{"Event":'), F.col("props"), F.lit(',"Meta":'), rest, F.lit("}"))
     flat = I.table(spark, sf, "events").select("event_id", reports.flatten_json(document).alias("flat"))
-    return flat.select("event_id", F.explode("flat").alias("key", "value"))
+    # The outer form, since for the inner one Spark would add a filter on the map's size, and flatten each document for that too.
+    return flat.select("event_id", F.explode_outer("flat").alias("key", "value")).where("key IS NOT NULL")

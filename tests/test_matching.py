@@ -84,3 +84,18 @@ def test_numbers_are_read_without_a_python_worker(spark):
     out = df.select(reports.flatten_json(F.col("t")).alias("f"))
     assert [r["f"] for r in out.collect()] == [{"b.a": 2.0, "b.x": 3.0, "a.y": 1e-7, "f": 0.0}, {"big": 1.2345678901234568e29}, None]
     assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_document_is_parsed_once(spark):
+    from lumenframe.plans import catalog
+
+    plan = catalog.queries()["flatten_numbers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.lower().count("parsejson("), plan.count("aggregate(")) == (1, 1)
+
+
+def test_numbers_of_a_document_with_keys_that_meet(spark):
+    """Dotted keys meet those of nested objects, in the same level and across levels; no row for documents without numbers."""
+    doc = json.dumps({f"k{i}": {"a": i, "A": -i} for i in range(150)} | {f"K{i}.a": 0 for i in range(150)} | {"n": None, "s": "5"})
+    df = spark.createDataFrame([(0, doc), (1, '{"t": [1]}'), (2, None)], "i int, t string")
+    got = df.select("i", F.explode_outer(reports.flatten_json(F.col("t")))).where("key IS NOT NULL").collect()
+    assert {(r["i"], r["key"]): r["value"] for r in got} == {(0, f"k{i}.a"): float(i) for i in range(150)} and len(got) == 150
